@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import line_dedup, media, neighbours, packing, sharding
+from evalframe.llm import language, lattice, line_dedup, media, mixing, neighbours, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def fold(modulus: int) -> Column:
+    """Whether a document is held out: crc32(doc_id as text) mod `modulus` is 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; the model learns from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs, ~fold(4)))
+    return found.select("doc_id", fold(4).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3, repeating, over their sources."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the model learns from those that are not held out."""
+    import public_tokenizers
+
+    return lattice.score(table(spark, sf_dir, "documents"), fold(7), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as content-defined chunks and read back."""
     read = media.media_column(table(spark, sf_dir, "documents"))
@@ -78,6 +102,9 @@ qualify row_number() over (partition by query_id order by score desc, vec_id) <=
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op3_language_id": op3_language_id,
+    "op5_entropy_mix": op5_entropy_mix,
+    "op7_subword_lattice": op7_subword_lattice,
     "op4_chunked_media": op4_chunked_media,
     "op6_pack_binary": op6_pack_binary,
     "op9_block_neighbours": op9_block_neighbours,
