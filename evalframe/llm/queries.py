@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import language, lattice, line_dedup, media, mixing, neighbours, packing, sharding
+from evalframe.llm import language, lattice, line_dedup, media, mixing, neighbours, ngram_join, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by five-word shingles at a Jaccard similarity of 0.8."""
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def fold(modulus: int) -> Column:
     """Whether a document is held out: crc32(doc_id as text) mod `modulus` is 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
@@ -102,6 +107,7 @@ qualify row_number() over (partition by query_id order by score desc, vec_id) <=
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op5_entropy_mix": op5_entropy_mix,
     "op7_subword_lattice": op7_subword_lattice,
