@@ -30,10 +30,10 @@ def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(LAST))
     each = ",".join(f"element_at(l, i + {k})" for k in range(span))
     windows = (
-        docs.select(key.alias("__doc"), lines_of(F.col("text")).alias("l"))
+        docs.select(key.alias("__doc"), F.xxhash64("text").alias("__version"), lines_of(F.col("text")).alias("l"))
         .where(F.size("l") >= span)
-        .select("__doc", F.explode(F.expr(f"transform(sequence(1, size(l) - {span - 1}), i -> struct(i as at, xxhash64({each}) as h1, xxhash64(17, {each}) as h2))")).alias("w"))
-        .select("__doc", "w.*")
+        .select("__doc", "__version", F.explode(F.expr(f"transform(sequence(1, size(l) - {span - 1}), i -> struct(i as at, xxhash64({each}) as h1, xxhash64(17, {each}) as h2))")).alias("w"))
+        .select("__doc", "__version", "w.*")
     )
     repeated = (
         windows.groupBy("h1", "h2")
@@ -42,8 +42,8 @@ def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
         .select("h1", "h2", "first")
     )
     later = windows.join(repeated, ["h1", "h2"]).where(F.struct("__doc", "at") > F.col("first"))
-    covered = later.groupBy("__doc").agg(F.collect_set("at").alias("__starts"))
-    found = docs.withColumn("__doc", key).join(covered, "__doc", "left").withColumn("__lines", lines_of(F.col("text")))
+    covered = later.groupBy("__doc", "__version").agg(F.collect_set("at").alias("__starts"))
+    found = docs.withColumn("__doc", key).withColumn("__version", F.xxhash64("text")).join(covered, ["__doc", "__version"], "left").withColumn("__lines", lines_of(F.col("text")))
     # Covered positions as a sorted list without repeats; kept lines are the others.
     gone = F.expr(f"array_distinct(flatten(transform(coalesce(__starts, array()), s -> sequence(s, s + {span - 1}))))")
     found = found.withColumn("__gone", F.map_from_entries(F.transform(gone, lambda p: F.struct(p, F.lit(True)))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import language, lattice, line_dedup, media, mixing, neighbours, ngram_join, packing, sharding
+from evalframe.llm import language, lattice, line_dedup, media, mixing, neighbours, ngram_join, packing, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op6_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without 13-word windows that start in a smaller document."""
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of embeddings whose vec_id is divisible by 20, against all rows."""
     rows = table(spark, sf_dir, "embeddings")
@@ -105,6 +111,18 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
 """
 
+OP8_SQL = r"""
+with t as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 11)) i from t where len(ws) >= 13),
+w as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') s from p),
+f as (select s, min(doc_id) low, max(doc_id) high from w group by s having min(doc_id) < max(doc_id)),
+gone as (select distinct w.doc_id, unnest(range(i, i + 13)) i from w join f on w.s = f.s where w.doc_id > f.low),
+g as (select doc_id, list(i) gone from gone group by doc_id)
+select t.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(len(gone), 0) as bigint) n_removed,
+  sha256(array_to_string(case when gone is null then ws else list_filter(ws, lambda x, i: not list_contains(gone, i)) end, ' ')) kept_sha256
+from t left join g on t.doc_id = g.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_ngram_join": op2_ngram_join,
@@ -113,7 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_subword_lattice": op7_subword_lattice,
     "op4_chunked_media": op4_chunked_media,
     "op6_pack_binary": op6_pack_binary,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_block_neighbours": op9_block_neighbours,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op9_block_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_block_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL}

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from evalframe.llm import line_dedup, media, neighbours, packing, sharding
 
-ODD = [(0, None), (1, ""), (2, "a"), (2, "a"), (None, "x y\nz"), (3, "é ß " * 4000), (4, "a\nb\nc"), (5, "a\nb\nc"), (6, "\n\n\n\n")]
+ODD = [(0, None), (1, ""), (2, "a"), (2, "a"), (None, "x y\nz"), (3, "é ß " * 4000), (4, "a\nb\nc"), (5, "a\nb\nc"), (6, "\n\n\n\n"), (2, "a\nb\nc\nd")]
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3)])
