@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from evalframe.plans import curation, evaluation, extraction, regions, rollups  # noqa: F401
+from evalframe.plans.base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "a23_accuracy_by_category"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
