@@ -19,8 +19,10 @@ def contaminated(docs: DataFrame, key: str, targets: DataFrame, n: int) -> DataF
 
     The targets' n-grams meet the documents' in a semi join; only matches are counted.
     """
-    own = docs.select(key, F.explode(F.array_distinct(grams(words(F.lower("text")), n))).alias("s"))
-    known = targets.select(F.explode(F.array_distinct(grams(words(F.lower("text")), n))).alias("s")).distinct()
+    # Words are a column of their own, so that they aren't split again for every n-gram.
+    split = lambda df, *c: df.select(*c, words(F.lower("text")).alias("w"))
+    own = split(docs, key).select(key, F.explode(F.array_distinct(grams(F.col("w"), n))).alias("s"))
+    known = split(targets).select(F.explode(F.array_distinct(grams(F.col("w"), n))).alias("s")).distinct()
     return own.join(known, "s", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
 
 

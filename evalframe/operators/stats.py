@@ -49,27 +49,26 @@ def battles(orders: DataFrame) -> DataFrame:
     return rows.where("a is not null and a <> b").select("a", "b", F.when(F.col("x") > F.col("y"), 1.0).when(F.col("x") < F.col("y"), 0.0).otherwise(0.5).alias("w"))
 
 
-def bradley_terry(rows: DataFrame, a: str, b: str, w: str, baseline: str, rounds: int = 200) -> DataFrame:
-    """Maximum-likelihood ratings (scale 400, base 10, baseline at 1000). Battles are summed by pair first; the pair table alone, one
-    row for each two models, takes part in the minorise-maximise rounds."""
-    from evalframe.sources.io import durable
+def bradley_terry(rows: DataFrame, a: str, b: str, w: str, baseline: str) -> DataFrame:
+    """Maximum-likelihood ratings (scale 400, base 10, baseline at 1000) by a logistic fit without intercept.
 
-    both = rows.select(F.col(a).alias("i"), F.col(b).alias("j"), F.col(w).alias("w")).union(rows.select(F.col(b), F.col(a), 1 - F.col(w)))
-    pairs = durable(both.groupBy("i", "j").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")))
-    wins = pairs.groupBy("i").agg(F.sum("w").alias("won"))
-    p = durable(wins.select("i", F.lit(1.0).alias("p")))
-    for k in range(rounds):
-        other = p.select(F.col("i").alias("j"), F.col("p").alias("q"))
-        new = pairs.join(p, "i").join(other, "j").groupBy("i").agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("d")).join(wins, "i").select("i", (F.col("won") / F.col("d")).alias("p"))
-        if k % 10 == 9:
-            new = durable(new)
-            gap = new.join(p.withColumnRenamed("p", "was"), "i").agg(F.max(F.abs(F.log(F.col("p")) - F.log(F.col("was"))))).first()[0]
-            p = new
-            if gap is None or gap < 1e-10:
-                break
-        p = new
-    anchor = p.where(F.col("i") == baseline).select(F.col("p").alias("base"))
-    return p.join(F.broadcast(anchor)).select(F.col("i").alias("model"), F.round(1000 + 400 * F.log10(F.col("p") / F.col("base")), 2).alias("rating"))
+    Battles are summed to one row for each ordered pair of models first; a tie is half a win for either side.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    spark = rows.sparkSession
+    pairs = rows.groupBy(F.col(a).alias("i"), F.col(b).alias("j")).agg(F.sum(w).alias("won"), F.sum(1 - F.col(w)).alias("lost"))
+    models = [r.m for r in pairs.select(F.col("i").alias("m")).union(pairs.select("j")).distinct().orderBy("m").collect()]
+    signs = [(F.col("i") == m).cast("double") - (F.col("j") == m).cast("double") for m in models]
+    both = pairs.select("*", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("won").alias("k")), F.struct(F.lit(0.0).alias("y"), F.col("lost").alias("k")))).alias("o"))
+    data = both.where("o.k > 0").select(F.col("o.y").alias("label"), F.col("o.k").alias("weight"), *[s.alias(f"f{n}") for n, s in enumerate(signs)])
+    data = VectorAssembler(inputCols=[f"f{n}" for n in range(len(models))], outputCol="features").transform(data)
+    fit = LogisticRegression(fitIntercept=False, regParam=0.0, weightCol="weight", maxIter=200, tol=1e-12, standardization=False).fit(data)
+    scale = 400 / 2.302585092994046
+    base = float(fit.coefficients[models.index(baseline)])
+    made = [(m, round(1000 + scale * (float(c) - base), 2)) for m, c in zip(models, fit.coefficients, strict=True)]
+    return spark.createDataFrame(made, "model string, rating double")
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:

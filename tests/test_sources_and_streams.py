@@ -16,7 +16,7 @@ def test_json_lines_with_bad_ones(spark, tmp_path):
     path = f"{tmp_path}/stats_shard*.jsonl"
     assert {r.id for r in io.read_jsonl(spark, path, "id long, x string").collect()} == {1, 3}
     every = io.read_jsonl(spark, path, "id long, x string", True)
-    assert every.where("_corrupt_record is not null").count() == 1
+    assert len([r for r in every.collect() if r._corrupt_record]) == 1
     assert {(r.id, r.v) for r in every.where("id is not null").select("id", io.from_file_name(r"_(v\d)").alias("v")).collect()} >= {(1, "v1"), (3, "v2")}
     kinds = [("shard1", "one"), ("shard", "any")]
     assert {r.k for r in every.select(io.first_match(F.col("file_name"), kinds).alias("k")).collect()} == {"any", "one"}
