@@ -18,8 +18,10 @@ from evalframe.llm.common import connected, durable, hash_runs, hash_words, mix,
 #: (never fewer than the prefix that the bound needs).
 SMALL, SHARE = 64, 0.4
 LIMIT = np.uint64(int(SHARE * 2**64))
-#: Members of one n-gram's list that meet in one block of the product.
-BLOCK = 64
+#: Members of one n-gram's list that make up one side of a block of the product.
+BLOCK = 256
+#: Columns of the incidence that a block multiplies at a time.
+SLAB = 8192
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -233,18 +235,22 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     tried = None
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
-        spans = now.groupBy("g").agg(F.min(F.struct("component", "cid", "n") if round_ % 2 == 0 else F.struct("component", F.xxhash64("cid").alias("h"), "cid", "n")).alias("lead"), F.max("component").alias("last"), F.count(F.lit(1)).alias("size")).where("lead.component < last")
+        lead = F.min(F.struct("component", "cid", "n") if round_ % 2 == 0 else F.struct("component", F.xxhash64("cid").alias("h"), "cid", "n"))
+        members = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"m{seed}") for seed in (1, 2)]
+        spans = now.groupBy("g").agg(lead.alias("lead"), F.max("component").alias("last"), F.count(F.lit(1)).alias("size"), *members).where("lead.component < last")
+        # Lists with the same members ask the same; one of them is enough.
+        spans = spans.groupBy("size", "m1", "m2").agg(F.min(F.struct("g", "lead")).alias("one")).select("size", "one.*")
         open_ = now.join(spans, "g")
         if round_ < stars:
-            pairs = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b", "n as a_n", "lead.n as b_n")
+            pairs = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b", "n as a_n", "lead.n as b_n").where(sizes_fit(percent))
         else:
-            pairs = block_pairs(open_)
-        pairs = pairs.where(sizes_fit(percent)).select("a", "b").distinct()
+            pairs = block_pairs(open_, shared, percent)
+        pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        near = durable(bounded(pairs, shared, percent))
+        near = durable(bounded(pairs, shared, percent)) if round_ < stars else pairs
         if near.limit(1).count():
             new = durable(verified(near, classes, docs, k, percent))
             links = new if links is None else links.union(new)
@@ -278,14 +284,44 @@ def pack_grams(lists: DataFrame) -> DataFrame:
     return lists.select("cid", "n", "within", "gs").mapInArrow(run, "cid long, n long, within long, shared binary")
 
 
-def block_pairs(open_: DataFrame) -> DataFrame:
-    """All pairs of different components within each list: members are dealt into chunks of about BLOCK, and each two chunks
-    of a list meet in one group."""
-    dealt = open_.selectExpr("g", "cid", "n", "component", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
-    sent = dealt.selectExpr("g", "struct(own, cid, n, component) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
-    met = sent.groupBy("g", "i", "j").agg(F.collect_list("m").alias("ms"))
-    pairs = met.selectExpr("i", "j", "ms", "explode(ms) as x").selectExpr("explode(filter(ms, y -> y.component <> x.component and y.cid > x.cid and (i = j or y.own <> x.own))) as y", "x")
-    return pairs.selectExpr("x.cid as a", "y.cid as b", "x.n as a_n", "y.n as b_n")
+def block_pairs(open_: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in the lists that can still link. Members of a list are dealt into chunks of about
+    BLOCK, each two chunks of it meet in one block, and a block multiplies its part of the incidence: rows that leave
+    it have passed the bounds, so none stands for a pair that is counted and dropped."""
+    dealt = open_.join(shared.drop("n"), "cid").selectExpr("g", "cid", "n", "within", "shared", "component", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
+    sent = dealt.selectExpr("g", "struct(own, cid, component, n, within, shared) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
+    met = sent.groupBy("g", "i", "j").agg(F.collect_list("m").alias("ms")).select("i", "j", "ms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for row in range(batch.num_rows):
+                members = batch.column("ms")[row].values
+                own, cid, component, n, within = (members.field(c).to_numpy(zero_copy_only=False) for c in ("own", "cid", "component", "n", "within"))
+                grams = [np.frombuffer(x, np.uint64) for x in members.field("shared").to_pylist()]
+                found, at = np.unique(np.concatenate(grams), return_inverse=True)
+                # Columns in slabs, so that a block of long sets stays small; counts add up over them.
+                order = np.argsort(at, kind="stable")
+                who, at = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[order], at[order]
+                count = np.zeros((len(grams), len(grams)), np.float64)
+                for slab in range(0, len(found), SLAB):
+                    lo, hi = np.searchsorted(at, (slab, slab + SLAB))
+                    incidence = np.zeros((len(grams), min(SLAB, len(found) - slab)), np.float32)
+                    incidence[who[lo:hi], at[lo:hi] - slab] = 1
+                    count += incidence @ incidence.T
+                rest, sizes = n - within, n[:, None] + n[None, :]
+                keep = (count + np.minimum(rest[:, None], rest[None, :])) * (100 + percent) >= percent * sizes
+                keep &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+                keep &= (component[:, None] != component[None, :]) & (cid[:, None] < cid[None, :])
+                if batch.column("i")[row].as_py() != batch.column("j")[row].as_py():
+                    keep &= own[:, None] != own[None, :]
+                a, b = np.nonzero(keep)
+                left.append(cid[a])
+                right.append(cid[b])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
