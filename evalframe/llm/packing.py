@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,34 +13,48 @@ from pyspark.sql import functions as F
 
 from evalframe.llm.common import slices
 
-#: Words whose ids each worker remembers; beyond it, the memory starts anew.
-REMEMBERED = 300_000
+#: Words whose ids each worker remembers; later ones are encoded again wherever they occur.
+REMEMBERED = 700_000
+#: A word of letters that symbols other than the apostrophe follow: the tokenizer parts it there as well.
+TAIL = re.compile(r"([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
 
 _tokenizers: dict[str, object] = {}
 _known: dict[str, dict[str, bytes]] = {}
 
 
+def lowered(text: str) -> str:
+    """Lower case, as the tokenizer makes it; texts it would treat otherwise (not composed, special tokens) stay."""
+    plain = "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))
+    return text.lower() if plain else text
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins words across it, so each word between blanks is encoded once and
-    its ids remembered.
+    The tokenizer ignores case, drops white space and joins nothing across it, so each word between blanks is encoded
+    once and its ids remembered.
     """
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
-    known = _known.setdefault(path, {})
-    words = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-    fresh = list({w for ws in words for w in ws if w not in known})
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list({w for ws in words for w in ws})
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        for word, code in zip(part, _tokenizers[path].encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(code.ids, dtype="<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) for ws in words]
+    kept = _known.setdefault(path, {})
+    words = [lowered(t).replace("\n", " ").split(" ") for t in texts]
+    full = len(kept) >= REMEMBERED
+    fresh = {w for w in set().union(*words) if w not in kept}
+    tails = {w: TAIL.fullmatch(w) for w in fresh}
+    parts = {p for w, m in tails.items() for p in (m.groups() if m else (w,)) if p not in kept}
+    part = list(parts)
+    new: dict[str, bytes] = {}
+    for word, code in zip(part, _tokenizers[path].encode_batch_fast(part, add_special_tokens=False), strict=True):
+        new[word] = np.asarray(code.ids, dtype="<u4").tobytes()
+    for word, m in tails.items():
+        if m:
+            new[word] = b"".join([new[p] if p in new else kept[p] for p in m.groups()])
+    if not full:
+        kept.update(new)
+        return [b"".join([kept[w] for w in ws]) for ws in words]
+    return [b"".join([kept[w] if w in kept else new[w] for w in ws]) for ws in words]
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
