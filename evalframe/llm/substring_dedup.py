@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,20 +80,45 @@ def windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("doc", "version", "text", "gs").mapInArrow(run, "h long, h2 int, doc long, version long, at int")
 
 
+def beside_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `shared` to rows (g, new, doc) that come sorted by g, new ones first: another row has the same g and the first of them is new.
+
+    Rows at a partition's edge, whose neighbours are elsewhere, count as shared. Only one batch is held at a time.
+    """
+    held, before, new_head = None, None, True
+    for batch in chain((b for b in batches if b.num_rows), [None]):
+        if held is not None:
+            g, new = held.column("g").to_numpy(), held.column("new").to_numpy(zero_copy_only=False)
+            after = None if batch is None else batch.column("g")[0].as_py()
+            same = np.concatenate([[before is None or before == g[0]], g[1:] == g[:-1], [after is None or after == g[-1]]])
+            head = np.maximum.accumulate(np.where(same[:-1], -1, np.arange(len(g))))
+            by_new = np.where(head < 0, new_head, new[head])
+            yield pa.RecordBatch.from_arrays([held.column("g"), held.column("doc"), pa.array((same[:-1] | same[1:]) & by_new)], ["g", "doc", "shared"])
+            before, new_head = g[-1], by_new[-1]
+        held = batch
+
+
 class Index:
     """Runs of postings sorted by fingerprint, in a folder all executors share. Runs are only ever added or merged, never changed."""
 
+    SCHEMA = "g long, doc long, shared boolean"
+
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder, self.runs = spark, folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", []
 
     def add(self, rows: DataFrame) -> DataFrame:
+        """Writes rows (g, doc) as a run; `shared` tells those whose fingerprint the run has more than once."""
         path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.sort("g", "doc").write.option("compression", "zstd").parquet(path)
+        self.merged(rows.select("g", F.lit(True).alias("new"), "doc")).write.option("compression", "zstd").parquet(path)
         self.runs.append(path)
-        return self.spark.read.schema("g long, doc long").parquet(path)
+        return self.spark.read.schema(self.SCHEMA).parquet(path)
+
+    @classmethod
+    def merged(cls, rows: DataFrame) -> DataFrame:
+        return rows.sort("g", F.desc("new"), "doc").mapInArrow(beside_equals, cls.SCHEMA)
 
     def rows(self) -> DataFrame | None:
-        return self.spark.read.schema("g long, doc long").parquet(*self.runs) if self.runs else None
+        return self.spark.read.schema(self.SCHEMA).parquet(*self.runs).select("g", "doc") if self.runs else None
 
     def compact(self, fan_in: int = FAN_IN) -> None:
         """Merges all runs into one sorted run when there are `fan_in` of them."""
@@ -101,32 +127,32 @@ class Index:
             self.add(old.distinct())
 
 
-def repeats(batch: DataFrame, corpus: DataFrame, index: Index, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, version, starts) of the batch: places of windows whose words also start in a document with a smaller doc, be it of the batch or
-    of earlier batches in the index. The batch's run joins the index.
+def candidates(batch: DataFrame, index: Index, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(g, doc): fingerprints that a document of the batch shares with another one of the batch or of the index, with all documents that have
+    them. A fingerprint that one document alone has rules its windows out. The batch's run joins the index.
 
-    `batch` and `corpus` hold doc, text and version (a hash that parts the texts of rows which share a doc); the corpus has the texts of all documents in the index. A fingerprint that
-    one document alone has, out of batch and index, rules its windows out. The others' windows are made anew from the
-    texts of the batch and of those earlier documents that share them, and compared by 96-bit hashes.
+    Batch and runs meet in one merge by fingerprint, so a fingerprint of many documents is spread over tasks. A few listed
+    fingerprints may be of one document alone; that costs work, but doesn't change what is found.
     """
     history = index.rows()
-    run = index.add(postings(batch.select("doc", "text"), window, gram))
-    here = run.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    if history is None:
-        shared = here.where("low < high").select("g")
-        lists = run.join(shared, "g")
-    else:
-        before = history.groupBy("g").agg(F.min("doc").alias("was"), F.max("doc").alias("was2")).join(here, "g", "right")
-        shared = written(before.where("low < high or was <> low or was2 <> low").select("g", F.col("was").isNotNull().alias("old")), "shared")
-        lists = run.join(shared.select("g"), "g").union(history.join(shared.where("old").select("g"), "g"))
-    per = lists.groupBy("doc").agg(F.collect_set("g").alias("gs"))
-    found = windows(corpus.join(per, "doc"), window, gram)
-    rows = written(found, "windows")
-    firsts = rows.groupBy("h", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "h2", "low")
-    later = rows.join(firsts, ["h", "h2"]).where("doc > low")
+    run = index.add(postings(batch, window, gram))
     if history is not None:
-        later = later.join(batch.select("doc").distinct(), "doc", "left_semi")
+        run = Index.merged(history.select("g", F.lit(False).alias("new"), "doc").union(run.select("g", F.lit(True), "doc")))
+    found = run.where("shared").select("g", "doc")
     index.compact()
+    return found
+
+
+def repeats(corpus: DataFrame, listed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc, version, starts): places of windows whose words also start in a document with a smaller doc.
+
+    `corpus` holds doc, text and version (a hash that parts the texts of rows which share a doc), `listed` the candidates (g, doc).
+    The windows with listed fingerprints are made anew from the texts and compared by 96-bit hashes.
+    """
+    per = listed.groupBy("doc").agg(F.collect_set("g").alias("gs"))
+    rows = written(windows(corpus.join(per, "doc"), window, gram), "windows")
+    firsts = rows.groupBy("h", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "h2", "low")
+    later = rows.join(firsts, ["h", "h2"]).where("doc > low")
     return later.groupBy("doc", "version").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
@@ -167,13 +193,12 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, gr
     spark = docs.sparkSession
     corpus = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
     low, high = corpus.where("doc_id is not null").agg(F.min("doc"), F.max("doc")).first()
-    index, found = Index(spark), None
+    index, listed = Index(spark), None
     edges = [(low or 0) + ((high or 0) - (low or 0)) * k // batches for k in range(1, batches)] + [LAST]
     for k, edge in enumerate(edges):
         batch = corpus.where(F.col("doc") <= edge)
-        seen = batch
         if k:
             batch = batch.where(F.col("doc") > edges[k - 1])
-        some = repeats(batch, seen, index, window, gram)
-        found = some if found is None else found.union(some)
-    return strip(corpus, found, window).select("doc_id", "text", "n_words", "n_removed")
+        some = candidates(batch.select("doc", "text"), index, window, gram)
+        listed = some if listed is None else listed.union(some)
+    return strip(corpus, repeats(corpus, listed, window, gram), window).select("doc_id", "text", "n_words", "n_removed")

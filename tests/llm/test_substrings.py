@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from evalframe.llm import substring_dedup
@@ -58,3 +59,11 @@ def test_runs_are_sorted_and_merge(spark):
     assert len(index.runs) == 4
     index.compact(4)
     assert len(index.runs) == 1 and sorted(map(tuple, index.rows().collect())) == before
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_marks_do_not_depend_on_arrow_batches(size):
+    rows = sorted((g, not new, d) for g, new, d in [(1, True, 5), (2, False, 1), (2, False, 2), (2, False, 9), (3, True, 4), (3, False, 1), (3, False, 2), (5, False, 1), (6, True, 1), (7, True, 1)])
+    table = pa.table({"g": [r[0] for r in rows], "new": [not r[1] for r in rows], "doc": [r[2] for r in rows]})
+    got = [(r["g"], r["shared"]) for b in substring_dedup.beside_equals(iter(table.to_batches(size))) for r in b.to_pylist()]
+    assert got == [(1, True), *[(2, False)] * 3, *[(3, True)] * 3, (5, False), (6, False), (7, True)]
