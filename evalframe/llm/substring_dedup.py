@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import hash_runs, hash_words, shared_dir, slices, text_bytes, word_spans, written
+from evalframe.llm.common import hash_runs, hash_words, mix, shared_dir, slices, text_bytes, word_spans, written
 
 #: Words of a window, and of the grams among which a window's fingerprint is the least hash.
 WINDOW, GRAM = 13, 6
@@ -59,8 +59,11 @@ def postings(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "g long, doc long")
 
 
-def windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, h2, doc, version, at) of those windows whose fingerprint is in the document's list `gs`: a 96-bit hash of the words and the place."""
+def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(s, h2, doc, version, at, hs): spans of neighbouring windows with one fingerprint of the document's list `gs`, the place of the first and the
+    hashes of all. Equal windows have equal (h, h2), equal spans equal (s, h2): 96 bits each. Copies of a passage mostly have equal spans.
+    """
+    most = window - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +77,20 @@ def windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 pairs = np.stack([row.astype(np.uint64), g], axis=1)
                 kind = np.dtype([("r", np.uint64), ("g", np.uint64)])
                 keep = np.isin(pairs.copy().view(kind).ravel(), listed.copy().view(kind).ravel())
-                h2 = (g[keep] >> np.uint64(33)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(h2), pa.array(ids[row[keep]].astype(np.int64)), pa.array(versions[row[keep]].astype(np.int64)), pa.array(at[keep].astype(np.int32))], ["h", "h2", "doc", "version", "at"])
-
-    return docs.select("doc", "version", "text", "gs").mapInArrow(run, "h long, h2 int, doc long, version long, at int")
+                row, at, g, h = row[keep], at[keep], g[keep], h[keep]
+                n = len(h)
+                new = np.ones(n, bool)
+                new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (at[1:] != at[:-1] + 1)
+                place = np.arange(n)
+                new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % most == 0
+                first = np.flatnonzero(new)
+                length = np.diff(np.append(first, n))
+                whole = mix(np.add.reduceat(mix(h + (place - np.repeat(first, length)).astype(np.uint64)), first) + length.astype(np.uint64)) if n else h
+                hs = pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), pa.array(h.view(np.int64)))
+                h2, row = (g[first] >> np.uint64(33)).astype(np.int32), row[first]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(h2), pa.array(ids[row].astype(np.int64)), pa.array(versions[row].astype(np.int64)), pa.array(at[first].astype(np.int32)), hs], ["s", "h2", "doc", "version", "at", "hs"])
+
+    return docs.select("doc", "version", "text", "gs").mapInArrow(run, "s long, h2 int, doc long, version long, at int, hs array<long>")
 
 
 def beside_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +160,17 @@ def repeats(corpus: DataFrame, listed: DataFrame, window: int = WINDOW, gram: in
     """(doc, version, starts): places of windows whose words also start in a document with a smaller doc.
 
     `corpus` holds doc, text and version (a hash that parts the texts of rows which share a doc), `listed` the candidates (g, doc).
-    The windows with listed fingerprints are made anew from the texts and compared by 96-bit hashes.
+    The windows with listed fingerprints are made anew from the texts, in spans. A span that an earlier document has goes
+    whole; windows are compared one by one only for the first documents of each span, which have all there are.
     """
     per = listed.groupBy("doc").agg(F.collect_set("g").alias("gs"))
-    rows = written(windows(corpus.join(per, "doc"), window, gram), "windows")
-    firsts = rows.groupBy("h", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "h2", "low")
-    later = rows.join(firsts, ["h", "h2"]).where("doc > low")
-    return later.groupBy("doc", "version").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    rows = written(spans(corpus.join(per, "doc"), window, gram), "spans")
+    met = rows.join(rows.groupBy("s", "h2").agg(F.min("doc").alias("low")), ["s", "h2"])
+    copies = met.where("doc > low").select("doc", "version", F.explode(F.sequence("at", F.col("at") + F.size("hs") - 1)).alias("at"))
+    firsts = met.where("doc = low").select("h2", "doc", "version", "at", F.posexplode("hs").alias("k", "h")).withColumn("at", F.expr("at + k")).drop("k")
+    least = firsts.groupBy("h", "h2").agg(F.min("doc").alias("low"))
+    later = firsts.join(least, ["h", "h2"]).where("doc > low").select("doc", "version", "at")
+    return copies.union(later).groupBy("doc", "version").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
 def strip(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
