@@ -166,8 +166,9 @@ def repeats(corpus: DataFrame, listed: DataFrame, window: int = WINDOW, gram: in
     per = listed.groupBy("doc").agg(F.collect_set("g").alias("gs"))
     rows = written(spans(corpus.join(per, "doc"), window, gram), "spans")
     met = rows.join(rows.groupBy("s", "h2").agg(F.min("doc").alias("low")), ["s", "h2"])
-    copies = met.where("doc > low").select("doc", "version", F.explode(F.sequence("at", F.col("at") + F.size("hs") - 1)).alias("at"))
-    firsts = met.where("doc = low").select("h2", "doc", "version", "at", F.posexplode("hs").alias("k", "h")).withColumn("at", F.expr("at + k")).drop("k")
+    met = written(met.select("doc", "version", "at", F.size("hs").alias("n"), F.when(F.col("doc") == F.col("low"), F.col("hs")).alias("hs"), "h2"), "met")
+    copies = met.where("hs is null").select("doc", "version", F.explode(F.expr("sequence(at, at + n - 1)")).alias("at"))
+    firsts = met.where("hs is not null").select("h2", "doc", "version", "at", F.posexplode("hs").alias("k", "h")).withColumn("at", F.expr("at + k")).drop("k")
     least = firsts.groupBy("h", "h2").agg(F.min("doc").alias("low"))
     later = firsts.join(least, ["h", "h2"]).where("doc > low").select("doc", "version", "at")
     return copies.union(later).groupBy("doc", "version").agg(F.sort_array(F.collect_set("at")).alias("starts"))
