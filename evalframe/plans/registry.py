@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalframe.plans import curation, evaluation, extraction, regions, rollups  # noqa: F401
+from evalframe.plans import curation, evaluation, extraction, regions, rollups, shaping  # noqa: F401
 from evalframe.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a23_accuracy_by_category"
