@@ -49,6 +49,10 @@ def postings(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 row, _, g, _ = window_hashes(part, window, gram)
+                # Neighbours mostly share a fingerprint; without those, there is less to sort.
+                head = np.ones(len(g), bool)
+                head[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+                row, g = row[head], g[head]
                 order = np.lexsort((g, row))
                 row, g = row[order], g[order]
                 new = np.ones(len(g), bool)
@@ -72,11 +76,14 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 ids, versions = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
                 lists = part.column("gs")
                 owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                # A window stays if the pair (row, fingerprint) is listed.
-                listed = np.stack([owner.astype(np.uint64), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)], axis=1)
-                pairs = np.stack([row.astype(np.uint64), g], axis=1)
-                kind = np.dtype([("r", np.uint64), ("g", np.uint64)])
-                keep = np.isin(pairs.copy().view(kind).ravel(), listed.copy().view(kind).ravel())
+                # A window stays if its fingerprint is listed for its row. Pairs are told apart by one number; a chance
+                # equality lets a window in that is then compared like the others.
+                listed = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + mix(owner.astype(np.uint64)))
+                head = np.ones(len(g), bool)
+                head[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+                asked = g[head] + mix(row[head].astype(np.uint64))
+                known = listed[np.minimum(np.searchsorted(listed, asked), len(listed) - 1)] == asked if len(listed) else np.zeros(len(asked), bool)
+                keep = known[np.cumsum(head) - 1]
                 row, at, g, h = row[keep], at[keep], g[keep], h[keep]
                 n = len(h)
                 new = np.ones(n, bool)
