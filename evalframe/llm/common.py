@@ -51,6 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of durable stages that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table made by `written`, once all that was computed from it is itself durable."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(table.sparkSession, folder)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import hash_runs, hash_words, mix, shared_dir, slices, text_bytes, word_spans, written
+from evalframe.llm.common import discard, hash_runs, hash_words, mix, remove, shared_dir, slices, text_bytes, word_spans, written
 
 #: Words of a window, and of the grams among which a window's fingerprint is the least hash.
 WINDOW, GRAM = 13, 6
@@ -113,32 +113,36 @@ def beside_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             same = np.concatenate([[before is None or before == g[0]], g[1:] == g[:-1], [after is None or after == g[-1]]])
             head = np.maximum.accumulate(np.where(same[:-1], -1, np.arange(len(g))))
             by_new = np.where(head < 0, new_head, new[head])
-            yield pa.RecordBatch.from_arrays([held.column("g"), held.column("doc"), pa.array((same[:-1] | same[1:]) & by_new)], ["g", "doc", "shared"])
+            yield pa.RecordBatch.from_arrays([held.column("g"), held.column("doc"), held.column("new"), pa.array((same[:-1] | same[1:]) & by_new)], ["g", "doc", "new", "shared"])
             before, new_head = g[-1], by_new[-1]
         held = batch
 
 
 class Index:
-    """Runs of postings sorted by fingerprint, in a folder all executors share. Runs are only ever added or merged, never changed."""
+    """Runs of postings sorted by fingerprint, in a folder all executors share. Runs are only ever added or merged, never changed.
 
-    SCHEMA = "g long, doc long, shared boolean"
+    A run's file holds the batch's postings (`new`) and, beside them in the same order, the older ones that they met.
+    """
+
+    SCHEMA = "g long, doc long, new boolean, shared boolean"
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder, self.runs = spark, folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", []
 
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Writes rows (g, doc) as a run; `shared` tells those whose fingerprint the run has more than once."""
+    def add(self, rows: DataFrame, met: DataFrame | None = None) -> DataFrame:
+        """Writes rows (g, doc) as a run, merged with the postings `met` by one sort. Returns (g, doc) of all whose
+        fingerprint another row of the merge has and one of `rows`."""
         path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        self.merged(rows.select("g", F.lit(True).alias("new"), "doc")).write.option("compression", "zstd").parquet(path)
+        merge = rows.select("g", F.lit(True).alias("new"), "doc")
+        if met is not None:
+            merge = merge.union(met.select("g", F.lit(False), "doc"))
+        marked = merge.sort("g", F.desc("new"), "doc").mapInArrow(beside_equals, self.SCHEMA)
+        marked.where("new or shared").write.option("compression", "zstd").parquet(path)
         self.runs.append(path)
-        return self.spark.read.schema(self.SCHEMA).parquet(path)
-
-    @classmethod
-    def merged(cls, rows: DataFrame) -> DataFrame:
-        return rows.sort("g", F.desc("new"), "doc").mapInArrow(beside_equals, cls.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(path).where("shared").select("g", "doc")
 
     def rows(self) -> DataFrame | None:
-        return self.spark.read.schema(self.SCHEMA).parquet(*self.runs).select("g", "doc") if self.runs else None
+        return self.spark.read.schema(self.SCHEMA).parquet(*self.runs).where("new").select("g", "doc") if self.runs else None
 
     def compact(self, fan_in: int = FAN_IN) -> None:
         """Merges all runs into one sorted run when there are `fan_in` of them."""
@@ -146,6 +150,11 @@ class Index:
             old, self.runs = self.rows(), []
             self.add(old.distinct())
 
+    def drop(self) -> None:
+        """Deletes all runs, those merged since included."""
+        remove(self.spark, self.folder)
+        self.runs = []
+
 
 def candidates(batch: DataFrame, index: Index, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(g, doc): fingerprints that a document of the batch shares with another one of the batch or of the index, with all documents that have
@@ -154,31 +163,28 @@ def candidates(batch: DataFrame, index: Index, window: int = WINDOW, gram: int =
     Batch and runs meet in one merge by fingerprint, so a fingerprint of many documents is spread over tasks. A few listed
     fingerprints may be of one document alone; that costs work, but doesn't change what is found.
     """
-    history = index.rows()
-    run = index.add(postings(batch, window, gram))
-    if history is not None:
-        run = Index.merged(history.select("g", F.lit(False).alias("new"), "doc").union(run.select("g", F.lit(True), "doc")))
-    found = run.where("shared").select("g", "doc")
+    found = index.add(postings(batch, window, gram), index.rows())
     index.compact()
     return found
 
 
-def repeats(corpus: DataFrame, listed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, version, starts): places of windows whose words also start in a document with a smaller doc.
+def repeats(corpus: DataFrame, per: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc, version, runs): places of windows whose words also start in a document with a smaller doc, as runs (at, n) of neighbours.
 
-    `corpus` holds doc, text and version (a hash that parts the texts of rows which share a doc), `listed` the candidates (g, doc).
-    The windows with listed fingerprints are made anew from the texts, in spans. A span that an earlier document has goes
-    whole; windows are compared one by one only for the first documents of each span, which have all there are.
+    `corpus` holds doc, text and version (a hash that parts the texts of rows which share a doc), `per` each document's
+    candidates (doc, gs). The windows with listed fingerprints are made anew from the texts, in spans. A span that an
+    earlier document has goes whole; windows are compared one by one only for the first documents of each span, which
+    have all there are.
     """
-    per = listed.groupBy("doc").agg(F.collect_set("g").alias("gs"))
     rows = written(spans(corpus.join(per, "doc"), window, gram), "spans")
     met = rows.join(rows.groupBy("s", "h2").agg(F.min("doc").alias("low")), ["s", "h2"])
     met = written(met.select("doc", "version", "at", F.size("hs").alias("n"), F.when(F.col("doc") == F.col("low"), F.col("hs")).alias("hs"), "h2"), "met")
-    copies = met.where("hs is null").select("doc", "version", F.explode(F.expr("sequence(at, at + n - 1)")).alias("at"))
+    discard(rows)
+    copies = met.where("hs is null").select("doc", "version", "at", "n")
     firsts = met.where("hs is not null").select("h2", "doc", "version", "at", F.posexplode("hs").alias("k", "h")).withColumn("at", F.expr("at + k")).drop("k")
     least = firsts.groupBy("h", "h2").agg(F.min("doc").alias("low"))
-    later = firsts.join(least, ["h", "h2"]).where("doc > low").select("doc", "version", "at")
-    return copies.union(later).groupBy("doc", "version").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    later = firsts.join(least, ["h", "h2"]).where("doc > low").select("doc", "version", "at", F.lit(1).alias("n"))
+    return copies.union(later).groupBy("doc", "version").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
 def strip(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -187,22 +193,22 @@ def strip(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
+            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 gone = np.zeros(len(words) + 1, np.int32)
-                if starts.as_py():
-                    at = np.array(starts.as_py())
+                if runs.is_valid:
+                    at, n = (runs.values.field(c).to_numpy() for c in ("at", "n"))
                     np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
+                    np.add.at(gone, at + n - 1 + window, -1)
                 kept = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
                 texts.append(b" ".join(kept).decode())
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
-            rest = [n for n in batch.schema.names if n not in ("text", "starts")]
+            rest = [n for n in batch.schema.names if n not in ("text", "runs")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*rest, "text", "n_words", "n_removed"])
 
     met = docs.join(found, ["doc", "version"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name not in ("text", "starts"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name not in ("text", "runs"))
     return met.mapInArrow(run, f"{fields}, text string, n_words long, n_removed long")
 
 
@@ -226,4 +232,6 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, gr
             batch = batch.where(F.col("doc") > edges[k - 1])
         some = candidates(batch.select("doc", "text"), index, window, gram)
         listed = some if listed is None else listed.union(some)
-    return strip(corpus, repeats(corpus, listed, window, gram), window).select("doc_id", "text", "n_words", "n_removed")
+    per = written(listed.groupBy("doc").agg(F.collect_set("g").alias("gs")), "listed")
+    index.drop()
+    return strip(corpus, repeats(corpus, per, window, gram), window).select("doc_id", "text", "n_words", "n_removed")

@@ -59,6 +59,17 @@ def test_runs_are_sorted_and_merge(spark):
     assert len(index.runs) == 4
     index.compact(4)
     assert len(index.runs) == 1 and sorted(map(tuple, index.rows().collect())) == before
+    index.drop()
+    assert index.rows() is None
+
+
+def test_run_lists_what_it_met(spark):
+    index = substring_dedup.Index(spark)
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "g long, doc long")
+    index.add(rows((1, 1), (2, 1), (2, 2), (3, 2), *((g, g) for g in range(100, 400))))
+    found = index.add(rows((2, 5), (3, 5), (4, 5), *((g, g) for g in range(500, 800))), index.rows())
+    assert {(2, 1), (2, 2), (2, 5), (3, 2), (3, 5)} <= set(map(tuple, found.collect()))
+    assert len(set(map(tuple, index.rows().collect()))) == index.rows().count() == 607
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
