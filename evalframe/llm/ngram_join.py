@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import connected, durable, hash_runs, hash_words, mix, slices, text_bytes, word_spans, written
+from evalframe.llm.common import connected, discard, durable, hash_runs, hash_words, mix, slices, text_bytes, word_spans, written
 
 #: Sets of up to SMALL n-grams are indexed whole; of larger ones, the n-grams that hash into this share of the hash space
 #: (never fewer than the prefix that the bound needs).
@@ -193,7 +193,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return product_counts(pairs, made).select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+    links = durable(product_counts(pairs, made).select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long"))
+    discard(made)
+    return links
 
 
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -214,21 +216,28 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     classes = durable(groups.withColumn("cid", F.monotonically_increasing_id()))
     # Any row of a class has its set.
     indexed = written(rows.select("rid", "stored", "grams").join(classes.select("rid", "cid", "n"), "rid").select("cid", "n", "stored", "grams"), "indexed")
+    # From here on, documents go by their signatures, and each table goes when those made from it are durable.
+    signed = written(rows.select("doc_id", "n", "s1", "s2"), "signatures")
+    discard(rows)
 
     total = indexed.agg(F.sum("stored")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
     many = repeated_grams(indexed, parts)
     held = written(explode_grams(indexed).join(many, "g"), "held")
     info = inside_counts(indexed)
+    discard(indexed)
     for _ in range(2):
         # Out: classes with more n-grams of their own than a link may miss. Their n-grams no longer count for others.
         alive = held.groupBy("cid").agg(F.count_if(F.expr(INSIDE)).alias("dup")).join(info, "cid").where(f"within - dup <= n - ({percent} * n + 99) div 100").select("cid")
         own = held.join(alive, "cid").select("g", "cid")
-        held = written(own.join(own.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "g"), "held")
+        fewer = written(own.join(own.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "g"), "held")
+        discard(held)
+        held = fewer
     info = info.join(held.select("cid").distinct(), "cid")
     lists = written(prefixes(info, held, percent), "lists")
     shared = held.where(INSIDE).groupBy("cid").agg(F.sort_array(F.collect_list("g")).alias("gs"))
     shared = durable(pack_grams(info.join(shared, "cid", "left")))
+    discard(held)
 
     part_of = durable(lists.select("cid").distinct().withColumn("component", F.col("cid")))
     links = None
@@ -252,14 +261,14 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         tried = pairs if tried is None else tried.union(pairs)
         near = durable(bounded(pairs, shared, percent)) if round_ < stars else pairs
         if near.limit(1).count():
-            new = durable(verified(near, classes, docs, k, percent))
+            new = verified(near, classes, docs, k, percent)
             links = new if links is None else links.union(new)
             parted = connected(links)
             part_of = durable(part_of.join(parted.withColumnRenamed("component", "c").withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("c", "component").alias("component")))
     # A component goes by the smallest document of its classes.
     named = classes.join(part_of, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return rows, named.join(smallest, "component").select("s1", "s2", "n", "component_id")
+    return signed, named.join(smallest, "component").select("s1", "s2", "n", "component_id")
 
 
 def inside_counts(indexed: DataFrame) -> DataFrame:
