@@ -23,9 +23,16 @@ _known: dict[str, dict[str, bytes]] = {}
 
 
 def lowered(text: str) -> str:
-    """Lower case, as the tokenizer makes it; texts it would treat otherwise (not composed, special tokens) stay."""
-    plain = "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))
-    return text.lower() if plain else text
+    """Lower case, as the tokenizer makes it; texts it would treat otherwise (not composed, special tokens) stay.
+
+    The tokenizer goes character by character, so no capital sigma becomes a final one, and it composes before it lowers,
+    so a text whose lower case would compose anew (H and a macron below) stays as well.
+    """
+    if text.isascii():
+        return text if "<|" in text else text.lower()
+    low = text.replace("\u03a3", "\u03c3").lower()
+    plain = "<|" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+    return low if plain else text
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:

@@ -98,6 +98,16 @@ def test_pack(docs_of):
     assert packing.pack(docs_of([]), path).count() == 0
 
 
+def test_pack_lowers_like_the_tokenizer(docs_of):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rows = list(enumerate(["ΟΔΟΣ", "ΟΔΟΣ, ΑΣ ΟΔΟς", "H\u0331 T\u0308 W\u030a J\u030c", "Α\u0342 Υ\u0313", "İ É ẞ"]))
+    got = sorted(packing.pack(docs_of(rows), path).collect(), key=lambda r: r.start)
+    for doc, text in rows:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
+        assert b"".join(r.ids for r in got if r.doc_id == doc) == np.array(ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("sent", [media.SENT_BYTES, 0])
 def test_media_round_trip(docs_of, sent):
     rng = random.Random(5)
