@@ -78,6 +78,24 @@ def tile(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, top
         yield i, x_ids[rest][best], scores[best]
 
 
+def dealt(asked: DataFrame, held: DataFrame, most: int) -> DataFrame:
+    """Every pair of blocks of equal dims, once: dims, q_ids, q, ids, vectors. `most` is about the number of blocks held.
+
+    Vector blocks are dealt evenly to keys of which each hashes to a partition of its own, and query blocks are copied to
+    each key. So a task joins all queries with its part of the vectors, and pairs move no further.
+    """
+    spark = held.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = spark.range(32 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("at")).agg(F.min("id").alias("id"))
+    keys = F.array(*(F.lit(r.id).cast("long") for r in ids.orderBy("at").limit(max(1, most)).collect()))
+    n = min(parts, max(1, most))
+    x = held.repartition(n).select(F.element_at(keys, F.spark_partition_id() % F.size(keys) + 1).alias("key"), "dims", "ids", "vectors")
+    q = asked.select(F.explode(keys).alias("key"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
+    met = q.repartition(parts, "key").hint("merge").join(x.repartition(parts, "key"), "key")
+    # Written as a difference, so that the keys alone deal the rows.
+    return met.where("q_dims - dims = 0").select("dims", "q_ids", "q", "ids", "vectors")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, block: int = BLOCK) -> DataFrame:
     """Each query's `top` rows of `vectors` of largest inner product, its own id left out: query_id, rank, vec_id, score.
 
@@ -86,14 +104,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, block: int =
     rows without an id and vectors that are null, zero or hold null or non-finite components take no part. Of repeated
     ids each row is a candidate. Fewer candidates than `top` are all returned; an empty side gives no rows.
 
-    Vectors travel as blocks; each block of queries meets each block of vectors once, spread over all tasks, and
-    hands on `top` rows a query, merged by a heap for each query over its tiles' sorted lists.
+    Vectors travel as blocks; each block of queries meets each block of vectors once, where `dealt` joins them, and
+    hands on `top` rows a query, merged by a heap for each query over its tiles' sorted lists. The exchanges carry the
+    vectors twice and the queries once for each part of the vectors, of which there are as many as shuffle partitions.
     """
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked, held = blocks(clean(queries), block), blocks(clean(vectors), block)
-    pairs = asked.select("dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q")).join(held, "dims").repartition(parts)
+    pairs = dealt(blocks(clean(queries), block), blocks(clean(vectors), block), -(-vectors.count() // block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

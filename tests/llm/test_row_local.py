@@ -166,3 +166,20 @@ def test_neighbours(spark):
         for block in (64, 2048):
             got = sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 20, block).collect())
             assert got == brute_nearest(wide, 20)
+
+
+def test_neighbours_deal_blocks_evenly(spark):
+    held = spark.range(64).selectExpr("8L as dims", "cast(cast(id as string) as binary) as ids", "cast('x' as binary) as vectors").repartition(3)
+    asked = spark.range(3).selectExpr("8L as dims", "cast(cast(id as string) as binary) as ids", "cast('q' as binary) as vectors")
+    met = neighbours.dealt(asked, held.union(asked.selectExpr("9L as dims", "ids", "vectors")), 64)
+    pairs = [(bytes(r.q_ids), bytes(r.ids)) for r in met.collect()]
+    assert len(pairs) == len({*pairs}) == 3 * 64
+    loads = met.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(loads) == 8 and max(loads) <= 2 * 3 * 64 / 8
+
+
+def test_neighbours_move_no_pairs(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
+    plan = neighbours.nearest(df, df)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "hashpartitioning(dims" not in plan and "RoundRobin" not in above and above.count("Exchange") == 1
