@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import mix, slices, written
+from evalframe.llm.common import discard, mix, slices, written
 
 UNIT = 192
 LEAST, MASK_BITS, MOST = 1024, 11, 16384
@@ -72,15 +72,15 @@ def features(payload: bytes) -> str:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq, digest) of every chunk, without its bytes."""
+    """(row, digest) of every chunk, without its bytes; `row` is a hash of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [(d, hashlib.sha256(c).digest()) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for c in chunks(pad(t)[1])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "digest"])
+                rows = [(k, hashlib.sha256(c).digest()) for k, t in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True) for c in chunks(pad(t)[1])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["row", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary")
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "row long, digest binary")
 
 
 STORED = "doc_id long, n_bytes long, digests array<binary>, frames array<binary>, handed array<struct<digest: binary, frame: binary>>"
@@ -91,23 +91,32 @@ def store(docs: DataFrame, sent_bytes: int = SENT_BYTES) -> tuple[DataFrame, Dat
 
     A media row holds the ordered chunk list (digests) and a zstd frame for each chunk that occurs once in the corpus;
     a chunk that occurs again anywhere has a null frame there and one row (digest, frame) in the shared table. The
-    exchange that counts chunks carries digests alone, summed before it. While the repeated digests fit in
-    `sent_bytes` (a quarter of it in their own bytes), every task gets them and bytes of other chunks never move;
-    beyond it, chunks meet the digests in a join and gather again by row, with the same result.
+    exchanges that count chunks carry digests alone. While the repeated digests fit in `sent_bytes` (a quarter of it in
+    their own bytes), every task gets them and texts never move; beyond it, digests meet the repeated ones in a join, and
+    each text meets the list of those it holds in another, with the same result. Nothing is sent to the driver then.
     """
     spark = docs.sparkSession
-    common = written(digests(docs).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "shared-digests")
+    every = written(digests(docs), "digests")
+    common = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "shared-digests")
     few = common.count() * 128 <= sent_bytes
     sent = spark.sparkContext.broadcast({bytes(r.digest) for r in common.toLocalIterator()} if few else set())
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
+    if few:
+        texts = texts.withColumn("again", F.lit(None).cast("array<binary>"))
+    else:
+        # Rows of equal hash share a list, which then only holds more of the repeated digests than each needs.
+        again = every.join(common.hint("merge"), "digest").groupBy("row").agg(F.collect_set("digest").alias("again"))
+        texts = texts.join(again.hint("merge"), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, shared = zstandard.ZstdCompressor(level=3), sent.value
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, seen = [], set()
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for doc, text, again in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "again")), strict=True):
                     size, payload = pad(text)
                     own = chunks(payload)
+                    shared = sent.value if few else {*(again or ())}
                     names = [hashlib.sha256(c).digest() for c in own]
                     new = {d: c for d, c in zip(names, own, strict=True) if d in shared and d not in seen}
                     seen.update(new)
@@ -119,17 +128,10 @@ def store(docs: DataFrame, sent_bytes: int = SENT_BYTES) -> tuple[DataFrame, Dat
                     ["doc_id", "n_bytes", "digests", "frames", "handed"],
                 )
 
-    media = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STORED), "media")
-    if few:
-        # Equal digests hold equal bytes, so any copy of those handed on, one a slice at most, will do.
-        return media.drop("handed"), written(media.select(F.explode("handed").alias("c")).select("c.*").dropDuplicates(["digest"]), "shared-chunks")
-    rows = media.withColumn("__row", F.monotonically_increasing_id())
-    single = rows.select("__row", F.posexplode(F.arrays_zip("digests", "frames")).alias("seq", "c")).select("__row", "seq", F.col("c.digests").alias("digest"), F.col("c.frames").alias("frame"))
-    unique = written(single.select("digest", "frame").join(common, "digest").dropDuplicates(["digest"]), "shared-chunks")
-    parted = single.join(common.withColumn("again", F.lit(True)), "digest", "left").withColumn("frame", F.when(F.col("again").isNull(), F.col("frame")))
-    lists = parted.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("seq", "frame"))).alias("l"))
-    lean = rows.select("__row", "doc_id", "n_bytes", "digests").join(lists, "__row")
-    return written(lean.select("doc_id", "n_bytes", "digests", F.col("l.frame").alias("frames")), "media"), unique
+    media = written(texts.select("doc_id", "text", "again").mapInArrow(run, STORED), "media")
+    discard(every)
+    # Equal digests hold equal bytes, so any copy of those handed on, one a slice at most, will do.
+    return media.drop("handed"), written(media.select(F.explode("handed").alias("c")).select("c.*").dropDuplicates(["digest"]), "shared-chunks")
 
 
 def rebuild(media: DataFrame, unique: DataFrame) -> DataFrame:
@@ -182,8 +184,9 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     Payload: UTF-8 with bytes 32 up to a positive multiple of 192; a null or empty text is 192 blanks. Repeated rows,
     and rows of null or equal doc_id, give a row each. Extra columns take no part. An empty table gives no rows.
+    Repeated digests meet the texts in joins at every size.
     """
-    return describe(rebuild(*store(docs)))
+    return describe(rebuild(*store(docs, 0)))
 
 
 __all__ = ["chunks", "container", "describe", "features", "media_column", "pad", "rebuild", "store"]

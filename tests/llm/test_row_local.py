@@ -127,6 +127,17 @@ def test_media_round_trip(docs_of, sent):
     assert media.media_column(docs_of([])).count() == 0
 
 
+def test_media_column_sends_no_digests_to_the_driver(docs_of, monkeypatch):
+    long = "".join(random.Random(6).choice("abcdefgh") for _ in range(20_000))
+    docs = docs_of([*ODD, (10, long), (11, long), (12, None), (12, long)])
+    sent = []
+    broadcast = type(docs.sparkSession.sparkContext).broadcast
+    monkeypatch.setattr(type(docs.sparkSession.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    got = sorted((r.doc_id is None, r.doc_id or 0, (r.n_bytes, bytes(r.payload))) for r in media.media_column(docs).collect())
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, media.pad(r.text)) for r in docs.collect())
+    assert not any(sent)
+
+
 def test_chunks_follow_content():
     rng = random.Random(1)
     a = bytes(rng.randrange(256) for _ in range(100_000))
