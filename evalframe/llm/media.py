@@ -57,10 +57,15 @@ def chunks(payload: bytes) -> list[bytes]:
 
 
 def container(parts: list[bytes]) -> bytes:
-    """The stored form of one medium: the number of chunks, each chunk's length and digest, then the chunks."""
+    """A logical form of one medium, never written: the number of chunks, each chunk's length and digest, then the chunks."""
     return struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(p)) + hashlib.sha256(p).digest() for p in parts) + b"".join(parts)
 
 
+def kept(names: list[bytes], frames: list[bytes]) -> bytes:
+    """The bytes that are written for one medium, those in the shared table included: all digests, then all frames."""
+    return b"".join(names) + b"".join(frames)
+
+
 def features(payload: bytes) -> str:
     """Mean, deviation, zero crossings about the mean and entropy of the samples, with fixed decimals."""
     x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64)
@@ -156,7 +161,8 @@ def rebuild(media: DataFrame, unique: DataFrame) -> DataFrame:
 def describe(media: DataFrame) -> DataFrame:
     """Decodes rebuilt rows, verifies each chunk against its digest, and returns the payloads with their features.
 
-    Returns doc_id, n_bytes, payload, stored (the container) and feature. A chunk that doesn't match fails the job.
+    Returns doc_id, n_bytes, payload, stored (the container, made from the chunks), kept (the digests and frames that
+    were read) and feature. A chunk that doesn't match fails the job.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +176,13 @@ def describe(media: DataFrame) -> DataFrame:
                     if [hashlib.sha256(p).digest() for p in parts] != names:
                         raise ValueError(f"a chunk of document {doc} differs from its digest")
                     payload = b"".join(parts)
-                    rows.append((doc, size, payload, container(parts), features(payload)))
+                    rows.append((doc, size, payload, container(parts), kept(names, frames), features(payload)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()))],
-                    ["doc_id", "n_bytes", "payload", "stored", "feature"],
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()))],
+                    ["doc_id", "n_bytes", "payload", "stored", "kept", "feature"],
                 )
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload binary, stored binary, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload binary, stored binary, kept binary, feature string")
 
 
 def media_column(docs: DataFrame) -> DataFrame:

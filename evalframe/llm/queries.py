@@ -59,12 +59,12 @@ def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts stored as content-defined chunks and read back."""
+    """All texts stored as content-defined chunks and read back; media_bytes and media_sha256 are those of the digests and frames read."""
     read = media.media_column(table(spark, sf_dir, "documents"))
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("stored").cast("long").alias("media_bytes"),
-        F.sha2("stored", 256).alias("media_sha256"), "feature",
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("kept").cast("long").alias("media_bytes"),
+        F.sha2("kept", 256).alias("media_sha256"), "feature",
     )
 
 

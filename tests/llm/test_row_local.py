@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from evalframe.llm import line_dedup, media, neighbours, packing, sharding
+from evalframe.llm import line_dedup, media, neighbours, packing, queries, sharding
 
 ODD = [(0, None), (1, ""), (2, "a"), (2, "a"), (None, "x y\nz"), (3, "é ß " * 4000), (4, "a\nb\nc"), (5, "a\nb\nc"), (6, "\n\n\n\n"), (2, "a\nb\nc\nd")]
 
@@ -138,6 +138,20 @@ def test_media_column_sends_no_digests_to_the_driver(docs_of, monkeypatch):
     assert not any(sent)
 
 
+def test_media_columns_tell_of_the_stored_bytes(docs_of, spark, tmp_path):
+    long = "".join(random.Random(7).choice("abcdefgh") for _ in range(20_000))
+    docs = docs_of([(1, long), (2, long), (3, "a" * 5000), (4, None)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stored, unique = media.store(docs, 0)
+    shared = {bytes(r.digest): bytes(r.frame) for r in unique.collect()}
+    want = {}
+    for r in stored.collect():
+        names = [bytes(d) for d in r.digests]
+        held = b"".join(names) + b"".join(shared[d] if f is None else bytes(f) for d, f in zip(names, r.frames, strict=True))
+        want[r.doc_id] = (len(held), hashlib.sha256(held).hexdigest())
+    assert {r.doc_id: (r.media_bytes, r.media_sha256) for r in queries.op4_chunked_media(spark, str(tmp_path)).collect()} == want
+
+
 def test_chunks_follow_content():
     rng = random.Random(1)
     a = bytes(rng.randrange(256) for _ in range(100_000))
