@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalframe.sources.io import durable
+
 
 def unit(seed: int, *keys: str) -> Column:
     """A number in [0, 1) drawn from a row's keys and a seed alone."""
@@ -59,6 +61,21 @@ def indexed(df: DataFrame, order: str, skip: int = 0, limit: int | None = None,
     return rows.where(F.pmod(i - skip, F.lit(shards)) == shard)
 
 
+def positions(df: DataFrame, keys: Sequence[str], name: str = "position") -> DataFrame:
+    """Adds each row's place from 0 in the order of `keys`, nulls first; rows equal in all of them are ordered arbitrarily.
+
+    Range partitions are sorted and made durable, so that places can't change, and each adds the rows of those before it.
+    Only these counts, one row a partition, meet in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = durable(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    rows = ordered.withColumn("__part", F.shiftright("__at", 33))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
+    placed = rows.join(F.broadcast(starts), "__part")
+    return placed.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit(2**33 - 1))).drop("__part", "__at", "__start")
+
+
 def area_share(boxes: Column, width: Column, height: Column) -> Column:
     """Sum of box areas (overlaps count twice) over the image's, at most 1; 1 without boxes or size."""
     area = F.aggregate(boxes, F.lit(0.0), lambda a, b: a + F.greatest(b[2] - b[0], F.lit(0.0)) * F.greatest(b[3] - b[1], F.lit(0.0)))

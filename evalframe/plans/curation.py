@@ -106,7 +106,7 @@ def j15_model_delta(t):
 
 @query("with s as (select row_number() over (order by s_suppkey) - 1 k, s_suppkey, s_acctbal from supplier) select c_custkey, coalesce(s_acctbal, c_acctbal) score from customer left join s on c_custkey = s.k * 3")
 def j18_splice_subset(t):
-    new = t.supplier.select(((F.row_number().over(Window.orderBy("s_suppkey")) - 1) * 3).cast("long").alias("c_custkey"), "s_acctbal")
+    new = curate.positions(t.supplier.select("s_suppkey", "s_acctbal"), ["s_suppkey"]).select((F.col("position") * 3).alias("c_custkey"), "s_acctbal")
     return t.customer.join(new, "c_custkey", "left").select("c_custkey", F.coalesce("s_acctbal", "c_acctbal").alias("score"))
 
 
@@ -157,8 +157,8 @@ def w20_coverage_at_k(t):
 
 @query("select conv_id, turn, cast((row_number() over (order by length(text), conv_id, turn) - 1) // 32 as bigint) batch from conversations")
 def w16_length_batches(t):
-    n = F.row_number().over(Window.orderBy(F.length("text"), "conv_id", "turn")) - 1
-    return t.conversations.select("conv_id", "turn", F.floor(n / 32).alias("batch"))
+    rows = t.conversations.select("conv_id", "turn", F.length("text").alias("n"))
+    return curate.positions(rows, ["n", "conv_id", "turn"]).select("conv_id", "turn", F.expr("position div 32").alias("batch"))
 
 
 @query()
