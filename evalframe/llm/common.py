@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ TO_LOWER[65:91] += 32
 #: An odd multiplier, and its inverse modulo 2**64, of the rolling word hash.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
-SLICE_BYTES = 4 << 20
+#: Text bytes that a Python worker takes at a time; each byte costs some dozens in passing arrays.
+SLICE_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """The finished tables in a folder, by name."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in system.listStatus(path)] if system.exists(path) else []
+    return sorted(f"{folder}/{p.getName()}" for p in found if system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table made by `written`, once all that was computed from it is itself durable."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
@@ -102,6 +113,40 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(first)
 
 
+def squeezed(docs: DataFrame, level: int = 3) -> DataFrame:
+    """The rows with `text` replaced by `packed`, its UTF-8 bytes as a zstd frame (a null text is empty): whole texts that an
+    exchange must carry take less than half of their bytes so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=level)
+        for batch in batches:
+            rest = [n for n in batch.schema.names if n != "text"]
+            for part in slices(batch, "text"):
+                frames = pa.array([squeeze.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), frames], [*rest, "packed"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return docs.mapInArrow(run, f"{fields}, packed binary")
+
+
+def restored(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` text bytes each, with `packed` turned back into `text`; a longer text stands alone."""
+    inflate = zstandard.ZstdDecompressor()
+    for batch in batches:
+        rest = [n for n in batch.schema.names if n != "packed"]
+        frames = batch.column("packed")
+        first, texts, total = 0, [], 0
+        for i in range(batch.num_rows + 1):
+            text = inflate.decompress(frames[i].as_py()).decode() if i < batch.num_rows else None
+            if texts and (text is None or total + len(text) > most):
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(texts, pa.string())], [*rest, "text"])
+                first, texts, total = i, [], 0
+            if text is not None:
+                texts.append(text)
+                total += len(text)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row and the offsets of each text in them; a null text is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
