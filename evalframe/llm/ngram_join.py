@@ -12,22 +12,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import connected, discard, durable, hash_runs, hash_words, mix, slices, text_bytes, word_spans, written
+from evalframe.llm.common import TO_LOWER, connected, discard, durable, hash_runs, hash_words, mix, slices, text_bytes, word_spans, written
 
 #: Sets of up to SMALL n-grams are indexed whole; of larger ones, the n-grams that hash into this share of the hash space
 #: (never fewer than the prefix that the bound needs).
 SMALL, SHARE = 64, 0.4
 LIMIT = np.uint64(int(SHARE * 2**64))
 #: Members of one n-gram's list that make up one side of a block of the product.
-BLOCK = 256
-#: Columns of the incidence that a block multiplies at a time.
-SLAB = 8192
+BLOCK = 512
+#: N-grams of one block of columns when their holders are counted.
+COLUMNS = 500_000
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     """The sorted distinct k-word n-gram hashes of each text of a slice; of fewer words, one for the whole sequence."""
-    from evalframe.llm.common import TO_LOWER
-
     data, offsets = text_bytes(batch.column("text"))
     data = TO_LOWER[data]
     starts, ends, text = word_spans(data, offsets)
@@ -117,7 +115,8 @@ INSIDE = f"(g >= 0 and g < {int(LIMIT)})"
 
 
 def prefixes(classes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(g, cid, n) of the n-grams at which linked classes must meet.
+    """(g, cid, n, r, own) of the n-grams at which linked classes must meet; r is the n-gram's rank in its class, own how many
+    that class alone has.
 
     One order holds for all n-grams: inside the indexed part of the hash space by how many classes hold it, then by
     hash; the rest after them by hash. Two linked sets share an n-gram among the first misses + 1 of each. Ranks count
@@ -130,43 +129,28 @@ def prefixes(classes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     )
     single = F.col("within") - F.col("dup")
     allowed = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    met = ranked.join(classes.select("cid", "n", "within"), "cid").where(F.col("r") + single <= allowed)
-    return met.select("g", "cid", "n")
+    met = ranked.join(classes.select("cid", "n", "within"), "cid").withColumn("own", single).withColumn("r", F.col("r") + single).where(F.col("r") <= allowed)
+    return met.select("g", "cid", "n", "r", "own")
 
 
-def sizes_fit(percent: int) -> str:
-    """Two sets can link only if the smaller has at least `percent` of the larger's n-grams."""
-    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+def can_link(percent: int) -> str:
+    """Two sets whose first common n-gram has ranks a_r and b_r share at most it and what follows it in the shorter rest; that
+    must reach the overlap which a link of sets of a_n and b_n needs."""
+    return f"(1 + least(a_n - a_r, b_n - b_r)) * (100 + {percent}) >= {percent} * (a_n + b_n) and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
 
 
-def product_counts(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Adds each pair's arrays (columns a_* and b_* of `arrays`' cid and other columns)."""
-    left = arrays.select(*[F.col(c).alias(f"a_{c}") for c in arrays.columns])
-    right = arrays.select(*[F.col(c).alias(f"b_{c}") for c in arrays.columns])
+def with_rows(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds the columns of both classes' rows as a_* and b_*."""
+    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
     return pairs.join(left, F.col("a") == F.col("a_cid")).join(right, F.col("b") == F.col("b_cid"))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
-
 def bounded(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that can still link: overlap counts over the indexed n-grams plus all that the smaller rest could add."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            columns = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_within", "b_within", "a_shared", "b_shared"))
-            for na, nb, wa, wb, ga, gb in zip(*columns, strict=True):
-                count = overlap(np.frombuffer(ga, np.uint64), np.frombuffer(gb, np.uint64))
-                keep.append((count + min(na - wa, nb - wb)) * (100 + percent) >= percent * (na + nb))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    wide = product_counts(pairs, shared).where(sizes_fit(percent))
-    return wide.select("a", "b", "a_n", "b_n", "a_within", "b_within", "a_shared", "b_shared").mapInArrow(run, "a long, b long")
+    wide = with_rows(pairs, shared)
+    most = "size(array_intersect(a_shared, b_shared)) + least(a_n - a_within, b_n - b_within)"
+    return wide.where(f"({most}) * (100 + {percent}) >= {percent} * (a_n + b_n)").select("a", "b")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -180,20 +164,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                 found = shingle_sets(part, k)
                 sums = pa.array(np.array([int(s.sum(dtype=np.uint64)) for s in found], dtype=np.uint64).astype(np.int64))
                 same = pc.equal(sums, part.column("s1"))
-                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([s.tobytes() for s in found], pa.binary())], ["cid", "set"]).filter(same)
-
-    made = written(texts.mapInArrow(sets, "cid long, set binary"), "sets")
+                ends = np.cumsum([0, *(len(s) for s in found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("cid"), lists], ["cid", "set"]).filter(same)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                common = overlap(x, y)
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = durable(product_counts(pairs, made).select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long"))
+    made = written(texts.mapInArrow(sets, "cid long, set array<long>"), "sets")
+    wide = with_rows(pairs, made).withColumn("common", F.expr("size(array_intersect(a_set, b_set))"))
+    links = durable(wide.where(f"100 * common >= {percent} * (size(a_set) + size(b_set) - common)").select("a", "b"))
     discard(made)
     return links
 
@@ -204,7 +181,8 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     1. Documents with equal sets form a class; only classes are joined, so copies never pair.
     2. n-grams held by one class alone can't link anything; a class with more of them than it may miss is out. What is
        left is the incidence's lists of classes by n-gram, cut to the prefixes at which linked classes must meet.
-    3. Star rounds: in each list that still spans components, its first class meets the members of other components. Pairs are
+    3. Star rounds: in each list that still spans components, one class meets the members of other components: first the one with
+       the fewest n-grams of its own, as the text has that near copies were made from, then one by hash. Pairs are
        counted, bounded and verified; links join components. A list whose members have come together is done, so a
        large family of near copies costs a multiple of its size and not its square.
     4. All pairs of different components in the lists that are left meet in blocks of BLOCK members, so that no link is
@@ -221,7 +199,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     discard(rows)
 
     total = indexed.agg(F.sum("stored")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // COLUMNS) + 1)
     many = repeated_grams(indexed, parts)
     held = written(explode_grams(indexed).join(many, "g"), "held")
     info = inside_counts(indexed)
@@ -235,8 +213,8 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         held = fewer
     info = info.join(held.select("cid").distinct(), "cid")
     lists = written(prefixes(info, held, percent), "lists")
-    shared = held.where(INSIDE).groupBy("cid").agg(F.sort_array(F.collect_list("g")).alias("gs"))
-    shared = durable(pack_grams(info.join(shared, "cid", "left")))
+    shared = held.where(INSIDE).groupBy("cid").agg(F.collect_list("g").alias("shared"))
+    shared = written(info.join(shared, "cid", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))), "shared")
     discard(held)
 
     part_of = durable(lists.select("cid").distinct().withColumn("component", F.col("cid")))
@@ -244,22 +222,22 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     tried = None
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
-        lead = F.min(F.struct("component", "cid", "n") if round_ % 2 == 0 else F.struct("component", F.xxhash64("cid").alias("h"), "cid", "n"))
+        lead = F.min(F.struct("own" if round_ % 2 == 0 else F.xxhash64("cid").alias("own"), "cid", "component", "n", "r"))
         members = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"m{seed}") for seed in (1, 2)]
-        spans = now.groupBy("g").agg(lead.alias("lead"), F.max("component").alias("last"), F.count(F.lit(1)).alias("size"), *members).where("lead.component < last")
+        spans = now.groupBy("g").agg(lead.alias("lead"), F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("size"), *members).where("first < last")
         # Lists with the same members ask the same; one of them is enough.
         spans = spans.groupBy("size", "m1", "m2").agg(F.min(F.struct("g", "lead")).alias("one")).select("size", "one.*")
         open_ = now.join(spans, "g")
         if round_ < stars:
-            pairs = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b", "n as a_n", "lead.n as b_n").where(sizes_fit(percent))
+            pairs = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b", "n as a_n", "lead.n as b_n", "r as a_r", "lead.r as b_r").where(can_link(percent))
         else:
-            pairs = block_pairs(open_, shared, percent)
+            pairs = block_pairs(open_, percent)
         pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        near = durable(bounded(pairs, shared, percent)) if round_ < stars else pairs
+        near = durable(bounded(pairs, shared, percent))
         if near.limit(1).count():
             new = verified(near, classes, docs, k, percent)
             links = new if links is None else links.union(new)
@@ -282,51 +260,35 @@ def inside_counts(indexed: DataFrame) -> DataFrame:
     return durable(indexed.select("cid", "n", "grams").mapInArrow(run, "cid long, n long, within long"))
 
 
-def pack_grams(lists: DataFrame) -> DataFrame:
-    """A class's repeated n-grams as one sorted binary array."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.array(x.as_py() or [], dtype=np.int64).tobytes() for x in batch.column("gs")]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("within"), pa.array(raw, pa.binary())], ["cid", "n", "within", "shared"])
-
-    return lists.select("cid", "n", "within", "gs").mapInArrow(run, "cid long, n long, within long, shared binary")
-
-
-def block_pairs(open_: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in the lists that can still link. Members of a list are dealt into chunks of about
-    BLOCK, each two chunks of it meet in one block, and a block multiplies its part of the incidence: rows that leave
-    it have passed the bounds, so none stands for a pair that is counted and dropped."""
-    dealt = open_.join(shared.drop("n"), "cid").selectExpr("g", "cid", "n", "within", "shared", "component", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
-    sent = dealt.selectExpr("g", "struct(own, cid, component, n, within, shared) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
+    BLOCK and each two chunks of it meet in one block, so no list makes a large group; a block holds ids, sizes and
+    ranks alone, and pairs below the bound don't leave it."""
+    dealt = open_.selectExpr("g", "cid", "n", "r", "component", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
+    sent = dealt.selectExpr("g", "struct(own, cid, component, n, r) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
     met = sent.groupBy("g", "i", "j").agg(F.collect_list("m").alias("ms")).select("i", "j", "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for row in range(batch.num_rows):
-                members = batch.column("ms")[row].values
-                own, cid, component, n, within = (members.field(c).to_numpy(zero_copy_only=False) for c in ("own", "cid", "component", "n", "within"))
-                grams = [np.frombuffer(x, np.uint64) for x in members.field("shared").to_pylist()]
-                found, at = np.unique(np.concatenate(grams), return_inverse=True)
-                # Columns in slabs, so that a block of long sets stays small; counts add up over them.
-                order = np.argsort(at, kind="stable")
-                who, at = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[order], at[order]
-                count = np.zeros((len(grams), len(grams)), np.float64)
-                for slab in range(0, len(found), SLAB):
-                    lo, hi = np.searchsorted(at, (slab, slab + SLAB))
-                    incidence = np.zeros((len(grams), min(SLAB, len(found) - slab)), np.float32)
-                    incidence[who[lo:hi], at[lo:hi] - slab] = 1
-                    count += incidence @ incidence.T
-                rest, sizes = n - within, n[:, None] + n[None, :]
-                keep = (count + np.minimum(rest[:, None], rest[None, :])) * (100 + percent) >= percent * sizes
-                keep &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-                keep &= (component[:, None] != component[None, :]) & (cid[:, None] < cid[None, :])
-                if batch.column("i")[row].as_py() != batch.column("j")[row].as_py():
-                    keep &= own[:, None] != own[None, :]
+            lists = batch.column("ms")
+            ends = lists.offsets.to_numpy()
+            own, cid, component, n, r = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("own", "cid", "component", "n", "r"))
+            crossing = (batch.column("i").to_numpy() != batch.column("j").to_numpy()).tolist()
+            left, right, held = [], [], 0
+            for lo, hi, two in zip(ends[:-1].tolist(), ends[1:].tolist(), crossing, strict=True):
+                n_, c_, p_, last = n[lo:hi], cid[lo:hi], component[lo:hi], n[lo:hi] - r[lo:hi]
+                keep = (p_[:, None] != p_[None, :]) & (c_[:, None] < c_[None, :])
+                keep &= (1 + np.minimum(last[:, None], last[None, :])) * (100 + percent) >= percent * (n_[:, None] + n_[None, :])
+                keep &= 100 * np.minimum(n_[:, None], n_[None, :]) >= percent * np.maximum(n_[:, None], n_[None, :])
+                if two:
+                    keep &= own[lo:hi, None] != own[None, lo:hi]
                 a, b = np.nonzero(keep)
-                left.append(cid[a])
-                right.append(cid[b])
+                left.append(c_[a])
+                right.append(c_[b])
+                held += len(a)
+                if held > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    left, right, held = [], [], 0
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
