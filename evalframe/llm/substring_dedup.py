@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -12,12 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import discard, hash_runs, hash_words, mix, remove, shared_dir, slices, text_bytes, word_spans, written
+from evalframe.llm.common import discard, hash_runs, hash_words, mix, remove, restored, shared_dir, slices, squeezed, subfolders, text_bytes, word_spans, written
 
 #: Words of a window, and of the grams among which a window's fingerprint is the least hash.
 WINDOW, GRAM = 13, 6
-#: Runs that an index may hold before they are merged into one.
-FAN_IN = 4
+#: Runs that an index may hold; the merge that would add one more than it makes a single run of all.
+FAN_IN = 2
 LAST = 2**63 - 1
 
 
@@ -64,40 +65,40 @@ def postings(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(s, h2, doc, version, at, hs): spans of neighbouring windows with one fingerprint of the document's list `gs`, the place of the first and the
-    hashes of all. Equal windows have equal (h, h2), equal spans equal (s, h2): 96 bits each. Copies of a passage mostly have equal spans.
+    """(g, s, doc, version, at, hs): spans of neighbouring windows with one fingerprint g of the document's list `gs`, the place of the first
+    and the hashes of all. Equal windows have equal (g, h), equal spans equal (g, s): 128 bits each. Copies of a passage
+    mostly have equal spans.
     """
     most = window - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, at, g, h = window_hashes(part, window, gram)
-                ids, versions = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
-                lists = part.column("gs")
-                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                # A window stays if its fingerprint is listed for its row. Pairs are told apart by one number; a chance
-                # equality lets a window in that is then compared like the others.
-                listed = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + mix(owner.astype(np.uint64)))
-                head = np.ones(len(g), bool)
-                head[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
-                asked = g[head] + mix(row[head].astype(np.uint64))
-                known = listed[np.minimum(np.searchsorted(listed, asked), len(listed) - 1)] == asked if len(listed) else np.zeros(len(asked), bool)
-                keep = known[np.cumsum(head) - 1]
-                row, at, g, h = row[keep], at[keep], g[keep], h[keep]
-                n = len(h)
-                new = np.ones(n, bool)
-                new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (at[1:] != at[:-1] + 1)
-                place = np.arange(n)
-                new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % most == 0
-                first = np.flatnonzero(new)
-                length = np.diff(np.append(first, n))
-                whole = mix(np.add.reduceat(mix(h + (place - np.repeat(first, length)).astype(np.uint64)), first) + length.astype(np.uint64)) if n else h
-                hs = pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), pa.array(h.view(np.int64)))
-                h2, row = (g[first] >> np.uint64(33)).astype(np.int32), row[first]
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(h2), pa.array(ids[row].astype(np.int64)), pa.array(versions[row].astype(np.int64)), pa.array(at[first].astype(np.int32)), hs], ["s", "h2", "doc", "version", "at", "hs"])
-
-    return docs.select("doc", "version", "text", "gs").mapInArrow(run, "s long, h2 int, doc long, version long, at int, hs array<long>")
+        for part in restored(batches):
+            row, at, g, h = window_hashes(part, window, gram)
+            ids, versions = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
+            lists = part.column("gs")
+            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            # A window stays if its fingerprint is listed for its row. Pairs are told apart by one number; a chance
+            # equality lets a window in that is then compared like the others.
+            listed = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + mix(owner.astype(np.uint64)))
+            head = np.ones(len(g), bool)
+            head[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+            asked = g[head] + mix(row[head].astype(np.uint64))
+            known = listed[np.minimum(np.searchsorted(listed, asked), len(listed) - 1)] == asked if len(listed) else np.zeros(len(asked), bool)
+            keep = known[np.cumsum(head) - 1]
+            row, at, g, h = row[keep], at[keep], g[keep], h[keep]
+            n = len(h)
+            new = np.ones(n, bool)
+            new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (at[1:] != at[:-1] + 1)
+            place = np.arange(n)
+            new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % most == 0
+            first = np.flatnonzero(new)
+            length = np.diff(np.append(first, n))
+            whole = mix(np.add.reduceat(mix(h + (place - np.repeat(first, length)).astype(np.uint64)), first) + length.astype(np.uint64)) if n else h
+            hs = pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), pa.array(h.view(np.int64)))
+            row = row[first]
+            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[row].astype(np.int64)), pa.array(versions[row].astype(np.int64)), pa.array(at[first].astype(np.int32)), hs], ["g", "s", "doc", "version", "at", "hs"])
+
+    return docs.select("doc", "version", "packed", "gs").mapInArrow(run, "g long, s long, doc long, version long, at int, hs array<long>")
 
 
 def beside_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,79 +120,89 @@ def beside_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Index:
-    """Runs of postings sorted by fingerprint, in a folder all executors share. Runs are only ever added or merged, never changed.
+    """Runs of postings (g, doc) sorted by fingerprint, in a folder all executors share. A run is never changed: a batch adds one, and
+    the merge that would make more than `fan_in` of them writes all postings as a single run, after which the others go.
 
-    A run's file holds the batch's postings (`new`) and, beside them in the same order, the older ones that they met.
+    A run's file holds its own postings (`held`) and, beside them in the same order, the older ones that they met. An
+    index on a folder that has runs goes on from them.
     """
 
-    SCHEMA = "g long, doc long, new boolean, shared boolean"
+    SCHEMA = "g long, doc long, held boolean, shared boolean"
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder, self.runs = spark, folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", []
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = FAN_IN):
+        self.spark, self.fan_in = spark, fan_in
+        self.folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        self.runs = subfolders(spark, self.folder) if folder else []
 
-    def add(self, rows: DataFrame, met: DataFrame | None = None) -> DataFrame:
-        """Writes rows (g, doc) as a run, merged with the postings `met` by one sort. Returns (g, doc) of all whose
-        fingerprint another row of the merge has and one of `rows`."""
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Merges rows (g, doc) with the postings of all runs and writes them as a run. Returns, as a written table, (g, doc) of all
+        whose fingerprint another posting has and one of `rows`."""
+        compact = bool(self.runs) and len(self.runs) + 1 >= self.fan_in
+        path = f"{self.folder}/run-{len(self.runs)}-{uuid.uuid4().hex}"
         merge = rows.select("g", F.lit(True).alias("new"), "doc")
-        if met is not None:
-            merge = merge.union(met.select("g", F.lit(False), "doc"))
-        marked = merge.sort("g", F.desc("new"), "doc").mapInArrow(beside_equals, self.SCHEMA)
-        marked.where("new or shared").write.option("compression", "zstd").parquet(path)
+        if self.runs:
+            merge = merge.union(self.rows().select("g", F.lit(False), "doc"))
+        marked = merge.sort("g", F.desc("new"), "doc").mapInArrow(beside_equals, "g long, doc long, new boolean, shared boolean")
+        held = F.lit(True) if compact else F.col("new")
+        marked.select("g", "doc", held.alias("held"), "shared").where("held or shared").write.option("compression", "zstd").parquet(path)
+        found = written(self.read([path]).where("shared").select("g", "doc"), "found")
+        if compact:
+            for run in self.runs:
+                remove(self.spark, run)
+            self.runs = []
         self.runs.append(path)
-        return self.spark.read.schema(self.SCHEMA).parquet(path).where("shared").select("g", "doc")
+        return found
 
-    def rows(self) -> DataFrame | None:
-        return self.spark.read.schema(self.SCHEMA).parquet(*self.runs).where("new").select("g", "doc") if self.runs else None
+    def read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*runs)
 
-    def compact(self, fan_in: int = FAN_IN) -> None:
-        """Merges all runs into one sorted run when there are `fan_in` of them."""
-        if len(self.runs) >= fan_in:
-            old, self.runs = self.rows(), []
-            self.add(old.distinct())
+    def rows(self) -> DataFrame | None:
+        return self.read(self.runs).where("held").select("g", "doc") if self.runs else None
 
     def drop(self) -> None:
-        """Deletes all runs, those merged since included."""
+        """Deletes all runs."""
         remove(self.spark, self.folder)
         self.runs = []
 
 
 def candidates(batch: DataFrame, index: Index, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(g, doc): fingerprints that a document of the batch shares with another one of the batch or of the index, with all documents that have
-    them. A fingerprint that one document alone has rules its windows out. The batch's run joins the index.
+    them. A fingerprint that one document alone has rules its windows out. The batch's postings join the index.
 
     Batch and runs meet in one merge by fingerprint, so a fingerprint of many documents is spread over tasks. A few listed
     fingerprints may be of one document alone; that costs work, but doesn't change what is found.
     """
-    found = index.add(postings(batch, window, gram), index.rows())
-    index.compact()
-    return found
+    return index.add(postings(batch, window, gram))
 
 
 def repeats(corpus: DataFrame, per: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, version, runs): places of windows whose words also start in a document with a smaller doc, as runs (at, n) of neighbours.
 
-    `corpus` holds doc, text and version (a hash that parts the texts of rows which share a doc), `per` each document's
-    candidates (doc, gs). The windows with listed fingerprints are made anew from the texts, in spans. A span that an
-    earlier document has goes whole; windows are compared one by one only for the first documents of each span, which
-    have all there are.
+    `corpus` holds doc, packed text and version (a hash that parts the texts of rows which share a doc), `per` each
+    document's candidates (doc, gs). The windows with listed fingerprints are made anew from the texts, in spans. A span
+    that an earlier document has goes whole; windows are compared one by one only where spans of one fingerprint differ,
+    and then for the first documents of each span, which have all there are.
     """
     rows = written(spans(corpus.join(per, "doc"), window, gram), "spans")
-    met = rows.join(rows.groupBy("s", "h2").agg(F.min("doc").alias("low")), ["s", "h2"])
-    met = written(met.select("doc", "version", "at", F.size("hs").alias("n"), F.when(F.col("doc") == F.col("low"), F.col("hs")).alias("hs"), "h2"), "met")
+    # A table, so that the join meets rows and not the aggregation that made them: a span of very many documents is split there.
+    firsts = written(rows.groupBy("g", "s").agg(F.min("doc").alias("low")), "firsts")
+    several = firsts.groupBy("g").agg((F.min("s") < F.max("s")).alias("several"))
+    met = rows.join(firsts.join(several, "g"), ["g", "s"]).where("doc > low or several")
+    met = written(met.select("g", "doc", "version", "at", F.size("hs").alias("n"), F.when(F.col("doc") == F.col("low"), F.col("hs")).alias("hs")), "met")
     discard(rows)
+    discard(firsts)
     copies = met.where("hs is null").select("doc", "version", "at", "n")
-    firsts = met.where("hs is not null").select("h2", "doc", "version", "at", F.posexplode("hs").alias("k", "h")).withColumn("at", F.expr("at + k")).drop("k")
-    least = firsts.groupBy("h", "h2").agg(F.min("doc").alias("low"))
-    later = firsts.join(least, ["h", "h2"]).where("doc > low").select("doc", "version", "at", F.lit(1).alias("n"))
+    single = met.where("hs is not null").select("g", "doc", "version", "at", F.posexplode("hs").alias("k", "h")).withColumn("at", F.expr("at + k")).drop("k")
+    least = written(single.groupBy("g", "h").agg(F.min("doc").alias("low")), "least")
+    later = single.join(least, ["g", "h"]).where("doc > low").select("doc", "version", "at", F.lit(1).alias("n"))
     return copies.union(later).groupBy("doc", "version").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
 def strip(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents (doc, text and others) with covered words removed: kept words joined by one blank. Adds n_words and n_removed."""
+    """The documents (doc, packed text and others) with covered words removed, as text: kept words joined by one blank. Adds n_words and n_removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in restored(batches):
             texts, n_words, n_removed = [], [], []
             for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
                 words = (text.as_py() or "").encode().split()
@@ -208,7 +219,7 @@ def strip(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*rest, "text", "n_words", "n_removed"])
 
     met = docs.join(found, ["doc", "version"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name not in ("text", "runs"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name not in ("packed", "runs"))
     return met.mapInArrow(run, f"{fields}, text string, n_words long, n_removed long")
 
 
@@ -221,17 +232,18 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, gr
     blank), n_words and n_removed. A null text has no words; a null doc_id counts as the largest; rows that share a
     doc_id count as one document and don't repeat each other. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     corpus = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
     low, high = corpus.where("doc_id is not null").agg(F.min("doc"), F.max("doc")).first()
-    index, listed = Index(spark), None
+    index, listed = Index(docs.sparkSession), []
     edges = [(low or 0) + ((high or 0) - (low or 0)) * k // batches for k in range(1, batches)] + [LAST]
     for k, edge in enumerate(edges):
         batch = corpus.where(F.col("doc") <= edge)
         if k:
             batch = batch.where(F.col("doc") > edges[k - 1])
-        some = candidates(batch.select("doc", "text"), index, window, gram)
-        listed = some if listed is None else listed.union(some)
-    per = written(listed.groupBy("doc").agg(F.collect_set("g").alias("gs")), "listed")
+        listed.append(candidates(batch.select("doc", "text"), index, window, gram))
     index.drop()
-    return strip(corpus, repeats(corpus, per, window, gram), window).select("doc_id", "text", "n_words", "n_removed")
+    per = written(reduce(DataFrame.union, listed).groupBy("doc").agg(F.collect_set("g").alias("gs")), "listed")
+    for found in listed:
+        discard(found)
+    packed = squeezed(corpus)
+    return strip(packed, repeats(packed, per, window, gram), window).select("doc_id", "text", "n_words", "n_removed")

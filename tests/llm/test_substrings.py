@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evalframe.llm import substring_dedup
 
@@ -41,6 +42,8 @@ def test_dedup(docs_of, batches):
         rows.append((i, rng.choice([" ", "\n", "\x0b "]).join(body)))
     rows += [(200 + i, " ".join(shared[4])) for i in range(40)]
     rows += [(300, None), (301, ""), (302, "a " * 12), (303, "a " * 30), (304, "a " * 30), (None, " ".join(shared[3])), (None, "a " * 20), (305, "b " * 90 + "é ß"), (305, "b " * 90 + "é ß"), (50, "b " * 20)]
+    long = [f"v{rng.randrange(10**6)}" for _ in range(90_000)]  # longer than a slice
+    rows += [(400, " ".join(long)), (401, " ".join(long[:70_000] + ["x"] + long[70_000:]))]
     rng.shuffle(rows)
     got = substring_dedup.dedup_substrings(docs_of(rows).selectExpr("*", "1 as n_words", "2 as doc"), batches).collect()
     assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in got), key=str) == brute(rows)
@@ -51,25 +54,48 @@ def test_no_rows(docs_of):
 
 
 def test_runs_are_sorted_and_merge(spark):
-    index = substring_dedup.Index(spark)
-    for k in range(4):
-        index.add(spark.createDataFrame([(g, k) for g in range(50 - k, 0, -1)], "g long, doc long"))
-    before = sorted(map(tuple, index.rows().collect()))
-    index.compact(5)
-    assert len(index.runs) == 4
-    index.compact(4)
-    assert len(index.runs) == 1 and sorted(map(tuple, index.rows().collect())) == before
+    index = substring_dedup.Index(spark, fan_in=4)
+    made = [[(g, k) for g in range(50 - k, 0, -1)] for k in range(5)]
+    for k, rows in enumerate(made):
+        index.add(spark.createDataFrame(rows, "g long, doc long"))
+        assert len(index.runs) == (1, 2, 3, 1, 2)[k]
+        assert sorted(map(tuple, index.rows().collect())) == sorted(r for m in made[: k + 1] for r in m)
+    for run in index.runs:
+        gs = [r.g for r in index.read([run]).coalesce(1).collect()]
+        assert gs == sorted(gs)
     index.drop()
     assert index.rows() is None
 
 
 def test_run_lists_what_it_met(spark):
-    index = substring_dedup.Index(spark)
+    index = substring_dedup.Index(spark, fan_in=3)
     rows = lambda *pairs: spark.createDataFrame(list(pairs), "g long, doc long")
     index.add(rows((1, 1), (2, 1), (2, 2), (3, 2), *((g, g) for g in range(100, 400))))
-    found = index.add(rows((2, 5), (3, 5), (4, 5), *((g, g) for g in range(500, 800))), index.rows())
+    found = index.add(rows((2, 5), (3, 5), (4, 5), *((g, g) for g in range(500, 800))))
     assert {(2, 1), (2, 2), (2, 5), (3, 2), (3, 5)} <= set(map(tuple, found.collect()))
     assert len(set(map(tuple, index.rows().collect()))) == index.rows().count() == 607
+    again = substring_dedup.Index(spark, index.folder, 3)  # read from its folder, given a third batch, merged into one run
+    assert sorted(again.runs) == sorted(index.runs)
+    met = set(map(tuple, again.add(rows((1, 9), (4, 9), (150, 9))).collect()))
+    assert {(1, 1), (1, 9), (4, 5), (4, 9), (150, 150), (150, 9)} <= met and (2, 5) not in met
+    assert len(again.runs) == 1 and again.rows().count() == 610
+
+
+def test_a_later_batch_of_a_stored_index_equals_brute_force(spark, docs_of):
+    rng = random.Random(4)
+    body = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    rows = [(i, body(60)) for i in range(40)]
+    rows += [(40 + i, body(20) + " " + rows[i][1] + " " + body(20)) for i in range(20)]
+    index = substring_dedup.Index(spark)
+    table = lambda some: docs_of(some).selectExpr("doc_id as doc", "text")
+    for lo, hi in ((0, 20), (20, 40)):
+        substring_dedup.candidates(table(rows[lo:hi]), index)
+    index = substring_dedup.Index(spark, index.folder)
+    listed = substring_dedup.candidates(table(rows[40:]), index)
+    per = listed.groupBy("doc").agg(F.collect_set("g").alias("gs"))
+    corpus = substring_dedup.squeezed(docs_of(rows).selectExpr("doc_id", "doc_id as doc", "0L as version", "text"))
+    got = substring_dedup.strip(corpus, substring_dedup.repeats(corpus, per)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in got), key=str) == brute(rows)
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
