@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +11,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import discard, mix, slices, written
+from evalframe.llm.common import discard, mix, restored, slices, squeezed, written
 
 UNIT = 192
 LEAST, MASK_BITS, MOST = 1024, 11, 16384
-#: Shared digests are sent to every task up to so many bytes, and joined by an exchange beyond it.
-SENT_BYTES = 16 << 20
+#: Compression of texts on their way and of stored frames.
+LEVEL = 9
 
 #: One random 64-bit number for each byte value.
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -56,11 +55,6 @@ def chunks(payload: bytes) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def container(parts: list[bytes]) -> bytes:
-    """A logical form of one medium, never written: the number of chunks, each chunk's length and digest, then the chunks."""
-    return struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(p)) + hashlib.sha256(p).digest() for p in parts) + b"".join(parts)
-
-
 def kept(names: list[bytes], frames: list[bytes]) -> bytes:
     """The bytes that are written for one medium, those in the shared table included: all digests, then all frames."""
     return b"".join(names) + b"".join(frames)
@@ -91,50 +85,41 @@ def digests(docs: DataFrame) -> DataFrame:
 STORED = "doc_id long, n_bytes long, digests array<binary>, frames array<binary>, handed array<struct<digest: binary, frame: binary>>"
 
 
-def store(docs: DataFrame, sent_bytes: int = SENT_BYTES) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The media column and the table of shared chunks, both as written tables.
 
     A media row holds the ordered chunk list (digests) and a zstd frame for each chunk that occurs once in the corpus;
-    a chunk that occurs again anywhere has a null frame there and one row (digest, frame) in the shared table. The
-    exchanges that count chunks carry digests alone. While the repeated digests fit in `sent_bytes` (a quarter of it in
-    their own bytes), every task gets them and texts never move; beyond it, digests meet the repeated ones in a join, and
-    each text meets the list of those it holds in another, with the same result. Nothing is sent to the driver then.
+    a chunk that occurs again anywhere has a null frame there and one row (digest, frame) in the shared table. Digests
+    alone are counted; they meet the repeated ones in a join, and each text, as one compressed frame, meets the list of
+    those it holds in another. Nothing is sent to the driver.
     """
-    spark = docs.sparkSession
     every = written(digests(docs), "digests")
     common = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "shared-digests")
-    few = common.count() * 128 <= sent_bytes
-    sent = spark.sparkContext.broadcast({bytes(r.digest) for r in common.toLocalIterator()} if few else set())
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
-    if few:
-        texts = texts.withColumn("again", F.lit(None).cast("array<binary>"))
-    else:
-        # Rows of equal hash share a list, which then only holds more of the repeated digests than each needs.
-        again = every.join(common.hint("merge"), "digest").groupBy("row").agg(F.collect_set("digest").alias("again"))
-        texts = texts.join(again.hint("merge"), "row", "left")
+    # Rows of equal hash share a list, which then only holds more of the repeated digests than each needs.
+    again = every.join(common.hint("merge"), "digest").groupBy("row").agg(F.collect_set("digest").alias("again"))
+    texts = squeezed(docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text"), LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, seen = [], set()
-                for doc, text, again in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "again")), strict=True):
-                    size, payload = pad(text)
-                    own = chunks(payload)
-                    shared = sent.value if few else {*(again or ())}
-                    names = [hashlib.sha256(c).digest() for c in own]
-                    new = {d: c for d, c in zip(names, own, strict=True) if d in shared and d not in seen}
-                    seen.update(new)
-                    frames = [None if d in shared else squeeze.compress(c) for d, c in zip(names, own, strict=True)]
-                    rows.append((doc, size, names, frames, [{"digest": d, "frame": squeeze.compress(c)} for d, c in new.items()]))
-                pair = pa.list_(pa.struct([("digest", pa.binary()), ("frame", pa.binary())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pair))],
-                    ["doc_id", "n_bytes", "digests", "frames", "handed"],
-                )
-
-    media = written(texts.select("doc_id", "text", "again").mapInArrow(run, STORED), "media")
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        for part in restored(batches):
+            rows, seen = [], set()
+            for doc, text, again in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "again")), strict=True):
+                size, payload = pad(text)
+                own, shared = chunks(payload), {*(again or ())}
+                names = [hashlib.sha256(c).digest() for c in own]
+                new = {d: c for d, c in zip(names, own, strict=True) if d in shared and d not in seen}
+                seen.update(new)
+                frames = [None if d in shared else squeeze.compress(c) for d, c in zip(names, own, strict=True)]
+                rows.append((doc, size, names, frames, [{"digest": d, "frame": squeeze.compress(c)} for d, c in new.items()]))
+            pair = pa.list_(pa.struct([("digest", pa.binary()), ("frame", pa.binary())]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pair))],
+                ["doc_id", "n_bytes", "digests", "frames", "handed"],
+            )
+
+    media = written(texts.join(again.hint("merge"), "row", "left").select("doc_id", "packed", "again").mapInArrow(run, STORED), "media")
     discard(every)
+    discard(common)
     # Equal digests hold equal bytes, so any copy of those handed on, one a slice at most, will do.
     return media.drop("handed"), written(media.select(F.explode("handed").alias("c")).select("c.*").dropDuplicates(["digest"]), "shared-chunks")
 
@@ -161,28 +146,28 @@ def rebuild(media: DataFrame, unique: DataFrame) -> DataFrame:
 def describe(media: DataFrame) -> DataFrame:
     """Decodes rebuilt rows, verifies each chunk against its digest, and returns the payloads with their features.
 
-    Returns doc_id, n_bytes, payload, stored (the container, made from the chunks), kept (the digests and frames that
-    were read) and feature. A chunk that doesn't match fails the job.
+    Returns doc_id, n_bytes, payload, kept (the digests and frames that were read) and feature. A chunk that doesn't
+    match fails the job.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 rows = []
                 for doc, size, names, frames in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "digests", "frames")), strict=True):
                     parts = [inflate.decompress(f) for f in frames]
                     if [hashlib.sha256(p).digest() for p in parts] != names:
                         raise ValueError(f"a chunk of document {doc} differs from its digest")
                     payload = b"".join(parts)
-                    rows.append((doc, size, payload, container(parts), kept(names, frames), features(payload)))
+                    rows.append((doc, size, payload, kept(names, frames), features(payload)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()))],
-                    ["doc_id", "n_bytes", "payload", "stored", "kept", "feature"],
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()))],
+                    ["doc_id", "n_bytes", "payload", "kept", "feature"],
                 )
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload binary, stored binary, kept binary, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload binary, kept binary, feature string")
 
 
 def media_column(docs: DataFrame) -> DataFrame:
@@ -192,7 +177,7 @@ def media_column(docs: DataFrame) -> DataFrame:
     and rows of null or equal doc_id, give a row each. Extra columns take no part. An empty table gives no rows.
     Repeated digests meet the texts in joins at every size.
     """
-    return describe(rebuild(*store(docs, 0)))
+    return describe(rebuild(*store(docs)))
 
 
-__all__ = ["chunks", "container", "describe", "features", "media_column", "pad", "rebuild", "store"]
+__all__ = ["chunks", "describe", "features", "media_column", "pad", "rebuild", "store"]
