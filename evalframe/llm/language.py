@@ -16,6 +16,8 @@ from evalframe.llm.common import durable, slices
 DIMS, FIT_ROWS, CENTROIDS = 8192, 1500, 4
 #: A text is rejected when its cosine falls below this share of what the fit's own documents of its length reach at the 1% point.
 REJECT_SHARE = 0.4
+#: Counts of up to so many languages (some 100 kB) are sent to every task; more meet the rows in an exchange.
+SENT_LANGUAGES = 2000
 #: Length classes (powers of two of letters) of the rejection distances.
 LENGTHS = 16
 
@@ -38,8 +40,11 @@ def counts_of(text: str) -> np.ndarray:
 
 
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    x = np.stack([counts_of(t) for t in texts]) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.empty((len(texts), DIMS), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = counts_of(t) * idf
+        x[i] /= max(float(np.linalg.norm(x[i])), 1e-12)
+    return x
 
 
 def length_class(text: str) -> int:
@@ -56,14 +61,18 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     c = np.stack(centres)
     for _ in range(rounds):
         own = (x @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).T).argmax(axis=1)
-        c = np.stack([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
+        one = (own == np.arange(len(c))[:, None]).astype(x.dtype)
+        c = np.where(one.any(axis=1, keepdims=True), one @ x / np.maximum(one.sum(axis=1, keepdims=True), 1), c)
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
 def fit_sample(docs: DataFrame, trains: Column, most: int) -> DataFrame:
     """Up to `most` training rows of each language: those whose id hashes lowest. The counts cover all rows."""
     rows = docs.where(trains & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")).alias("h"))
-    counts = rows.groupBy("lang").count()
+    # One row a language; texts only move once their hash has passed.
+    counts = durable(rows.groupBy("lang").count())
+    if counts.count() <= SENT_LANGUAGES:
+        counts = F.broadcast(counts)
     share = F.lit(float(2**64)) * F.least(F.lit(1.0), F.lit(1.2 * most) / F.col("count")) - float(2**63)
     near = rows.join(counts, "lang").where(F.col("h").cast("double") <= share)
     ranked = near.withColumn("rank", F.expr("row_number() over (partition by lang order by h)"))
@@ -125,18 +134,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Reads whole texts and nothing else of a row. A null text, or one without a letter, is `und` with score 0 and
     rejected; so is any text if the model saw no training rows. A text too far from every centroid keeps the nearest
-    language and is marked rejected. Row-local.
+    language and is marked rejected; of equally near centroids the first in order of language wins. Equal texts, repeated
+    rows too, get equal answers. Row-local.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 texts = [letters_of(t) for t in part.column("text").to_pylist()]
                 langs, scores, far = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 own = [i for i, t in enumerate(texts) if t] if model.langs else []
-                for at in range(0, len(own), 500):
-                    some = own[at : at + 500]
+                for at in range(0, len(own), 250):
+                    some = own[at : at + 250]
                     found, scores[some], far[some] = model.predict([texts[i] for i in some])
                     for i, lang in zip(some, found, strict=True):
                         langs[i] = lang
