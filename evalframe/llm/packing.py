@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from evalframe.llm.common import slices
 
-#: Words whose ids each worker remembers; later ones are encoded again wherever they occur.
-REMEMBERED = 700_000
+#: Words whose ids each worker remembers; with more it starts anew.
+REMEMBERED = 200_000
 #: A word of letters that symbols other than the apostrophe follow: the tokenizer parts it there as well.
 TAIL = re.compile(r"([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -47,7 +47,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         _tokenizers[path] = Tokenizer.from_file(path)
     kept = _known.setdefault(path, {})
     words = [lowered(t).replace("\n", " ").split(" ") for t in texts]
-    full = len(kept) >= REMEMBERED
+    if len(kept) >= REMEMBERED:
+        kept.clear()
     fresh = {w for w in set().union(*words) if w not in kept}
     tails = {w: TAIL.fullmatch(w) for w in fresh}
     parts = {p for w, m in tails.items() for p in (m.groups() if m else (w,)) if p not in kept}
@@ -58,10 +59,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     for word, m in tails.items():
         if m:
             new[word] = b"".join([new[p] if p in new else kept[p] for p in m.groups()])
-    if not full:
-        kept.update(new)
-        return [b"".join([kept[w] for w in ws]) for ws in words]
-    return [b"".join([kept[w] if w in kept else new[w] for w in ws]) for ws in words]
+    kept.update(new)
+    return [b"".join([kept[w] for w in ws]) for ws in words]
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -76,14 +75,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, most: int = 2048
     `most` is a power of two. Each piece is a sequence, so none crosses documents and none holds padding; sequences
     of equal length (`bucket`) batch together. Returns one row per piece: doc_id, start, length, bucket (log2 of
     the length), doc_tokens, sequence_id (unique, arbitrary), offset (0) and ids (little-endian 32-bit). A null or
-    empty text has the end id alone; repeated rows and rows of null or equal doc_id are packed row by row.
+    empty text has the end id alone; repeated rows and rows of null or equal doc_id are packed row by row; extra columns take no part.
     Row-local: no exchange, memory bounded by slices of a batch and the longest document.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 out: list[list] = [[], [], [], [], []]
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts, tokenizer_path), strict=True):
