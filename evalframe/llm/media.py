@@ -55,6 +55,11 @@ def chunks(payload: bytes) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def digest_of(chunk: bytes) -> bytes:
+    """The first 128 bits of the SHA-256."""
+    return hashlib.sha256(chunk).digest()[:16]
+
+
 def kept(names: list[bytes], frames: list[bytes]) -> bytes:
     """The bytes that are written for one medium, those in the shared table included: all digests, then all frames."""
     return b"".join(names) + b"".join(frames)
@@ -76,7 +81,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [(k, hashlib.sha256(c).digest()) for k, t in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True) for c in chunks(pad(t)[1])]
+                rows = [(k, digest_of(c)) for k, t in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True) for c in chunks(pad(t)[1])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["row", "digest"])
 
     return docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "row long, digest binary")
@@ -90,25 +95,24 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A media row holds the ordered chunk list (digests) and a zstd frame for each chunk that occurs once in the corpus;
     a chunk that occurs again anywhere has a null frame there and one row (digest, frame) in the shared table. Digests
-    alone are counted; they meet the repeated ones in a join, and each text, as one compressed frame, meets the list of
-    those it holds in another. Nothing is sent to the driver.
+    alone are counted, and one row that has it hands on each repeated one; they meet the rows in a join, and each text,
+    as one compressed frame, meets the list of those it holds in another. Nothing is sent to the driver.
     """
     every = written(digests(docs), "digests")
-    common = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "shared-digests")
+    common = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("digest", "first"), "shared-digests")
     # Rows of equal hash share a list, which then only holds more of the repeated digests than each needs.
-    again = every.join(common.hint("merge"), "digest").groupBy("row").agg(F.collect_set("digest").alias("again"))
+    again = every.join(common.hint("merge"), "digest").groupBy("row").agg(F.collect_set("digest").alias("again"), F.collect_set(F.when(F.col("first") == F.col("row"), F.col("digest"))).alias("hands"))
     texts = squeezed(docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text"), LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for part in restored(batches):
-            rows, seen = [], set()
-            for doc, text, again in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "again")), strict=True):
+            rows = []
+            for doc, text, again, hands in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "again", "hands")), strict=True):
                 size, payload = pad(text)
-                own, shared = chunks(payload), {*(again or ())}
-                names = [hashlib.sha256(c).digest() for c in own]
-                new = {d: c for d, c in zip(names, own, strict=True) if d in shared and d not in seen}
-                seen.update(new)
+                own, shared, handed = chunks(payload), {*(again or ())}, {*(hands or ())}
+                names = [digest_of(c) for c in own]
+                new = {d: c for d, c in zip(names, own, strict=True) if d in handed}
                 frames = [None if d in shared else squeeze.compress(c) for d, c in zip(names, own, strict=True)]
                 rows.append((doc, size, names, frames, [{"digest": d, "frame": squeeze.compress(c)} for d, c in new.items()]))
             pair = pa.list_(pa.struct([("digest", pa.binary()), ("frame", pa.binary())]))
@@ -117,10 +121,10 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ["doc_id", "n_bytes", "digests", "frames", "handed"],
             )
 
-    media = written(texts.join(again.hint("merge"), "row", "left").select("doc_id", "packed", "again").mapInArrow(run, STORED), "media")
+    media = written(texts.join(again.hint("merge"), "row", "left").select("doc_id", "packed", "again", "hands").mapInArrow(run, STORED), "media")
     discard(every)
     discard(common)
-    # Equal digests hold equal bytes, so any copy of those handed on, one a slice at most, will do.
+    # Repeated rows hand on equal chunks; any of them will do.
     return media.drop("handed"), written(media.select(F.explode("handed").alias("c")).select("c.*").dropDuplicates(["digest"]), "shared-chunks")
 
 
@@ -158,7 +162,7 @@ def describe(media: DataFrame) -> DataFrame:
                 rows = []
                 for doc, size, names, frames in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "digests", "frames")), strict=True):
                     parts = [inflate.decompress(f) for f in frames]
-                    if [hashlib.sha256(p).digest() for p in parts] != names:
+                    if [digest_of(p) for p in parts] != names:
                         raise ValueError(f"a chunk of document {doc} differs from its digest")
                     payload = b"".join(parts)
                     rows.append((doc, size, payload, kept(names, frames), features(payload)))
