@@ -46,11 +46,36 @@ def misses(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (percent * n + 99) // 100
 
 
-FEATURES = "rid long, doc_id long, n long, s1 long, s2 long, stored int, grams binary"
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of a set's n-grams in buckets, at least two for each n-gram. Two sets differ in at least as many n-grams as
+    their parities do; a longer sketch folds to a shorter one's buckets."""
+    buckets = 64
+    while buckets < 2 * len(grams):
+        buckets *= 2
+    odd = np.bincount((grams & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differences(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of row numbers, a number of n-grams by which its sets differ at least."""
+    widths = np.array([len(x) // 8 for x in sketches], dtype=np.int64)
+    least, out = np.minimum(widths[a], widths[b]), np.zeros(len(a), np.int64)
+    for width in np.unique(least).tolist():
+        at = np.flatnonzero(least == width)
+        used, own = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, width), axis=0) for i in used.tolist()])
+        x, y = own[: len(at)], own[len(at) :]
+        step = max(1, 250_000 // width)
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.bitwise_count(rows[x[k : k + step]] ^ rows[y[k : k + step]]).sum(axis=1)
+    return out
+
+
+FEATURES = "rid long, doc_id long, n long, s1 long, s2 long, stored int, grams binary, sketch binary"
 
 
 def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Each document's row number, set size, a 128-bit signature of its set, and its indexed n-grams in hash order."""
+    """Each document's row number, set size, a 128-bit signature and a sketch of its set, and its indexed n-grams in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
@@ -63,8 +88,8 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 held = [s if len(s) <= SMALL else s[: max(int(np.searchsorted(s, LIMIT)), misses(len(s), percent) + 1)] for s in sets]
                 rids = pa.array(range(rid, rid + len(sets)), pa.int64())
                 rid += len(sets)
-                values = (rids, part.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([len(h) for h in held], pa.int32()), pa.array([h.tobytes() for h in held], pa.binary()))
-                yield pa.RecordBatch.from_arrays(list(values), ["rid", "doc_id", "n", "s1", "s2", "stored", "grams"])
+                values = (rids, part.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([len(h) for h in held], pa.int32()), pa.array([h.tobytes() for h in held], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(values), ["rid", "doc_id", "n", "s1", "s2", "stored", "grams", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
 
@@ -146,11 +171,20 @@ def with_rows(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(left, F.col("a") == F.col("a_cid")).join(right, F.col("b") == F.col("b_cid"))
 
 
-def bounded(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that can still link: overlap counts over the indexed n-grams plus all that the smaller rest could add."""
-    wide = with_rows(pairs, shared)
-    most = "size(array_intersect(a_shared, b_shared)) + least(a_n - a_within, b_n - b_within)"
-    return wide.where(f"({most}) * (100 + {percent}) >= {percent} * (a_n + b_n)").select("a", "b")
+def bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sketches don't show that they differ too much to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                n, at = part.num_rows, np.arange(part.num_rows)
+                apart = differences([*part.column("a_sketch").to_pylist(), *part.column("b_sketch").to_pylist()], at, at + n)
+                both = part.column("a_n").to_numpy() + part.column("b_n").to_numpy()
+                keep = pa.array(apart * (100 + percent) <= (100 - percent) * both)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(keep)
+
+    return with_rows(pairs, sketches).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,7 +227,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     groups = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"))
     classes = durable(groups.withColumn("cid", F.monotonically_increasing_id()))
     # Any row of a class has its set.
-    indexed = written(rows.select("rid", "stored", "grams").join(classes.select("rid", "cid", "n"), "rid").select("cid", "n", "stored", "grams"), "indexed")
+    indexed = written(rows.select("rid", "stored", "grams", "sketch").join(classes.select("rid", "cid", "n"), "rid").select("cid", "n", "stored", "grams", "sketch"), "indexed")
     # From here on, documents go by their signatures, and each table goes when those made from it are durable.
     signed = written(rows.select("doc_id", "n", "s1", "s2"), "signatures")
     discard(rows)
@@ -206,20 +240,20 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     discard(indexed)
     for _ in range(2):
         # Out: classes with more n-grams of their own than a link may miss. Their n-grams no longer count for others.
-        alive = held.groupBy("cid").agg(F.count_if(F.expr(INSIDE)).alias("dup")).join(info, "cid").where(f"within - dup <= n - ({percent} * n + 99) div 100").select("cid")
+        dup = held.groupBy("cid").agg(F.count_if(F.expr(INSIDE)).alias("dup"))
+        alive = dup.join(info.select("cid", "n", "within"), "cid").where(f"within - dup <= n - ({percent} * n + 99) div 100").select("cid")
         own = held.join(alive, "cid").select("g", "cid")
         fewer = written(own.join(own.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "g"), "held")
         discard(held)
         held = fewer
-    info = info.join(held.select("cid").distinct(), "cid")
-    lists = written(prefixes(info, held, percent), "lists")
-    shared = held.where(INSIDE).groupBy("cid").agg(F.collect_list("g").alias("shared"))
-    shared = written(info.join(shared, "cid", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))), "shared")
+    sketches = written(info.join(held.select("cid").distinct(), "cid"), "sketches")
+    discard(info)
+    lists = written(prefixes(sketches.select("cid", "n", "within"), held, percent), "lists")
     discard(held)
+    sketches = sketches.select("cid", "n", "sketch")
 
     part_of = durable(lists.select("cid").distinct().withColumn("component", F.col("cid")))
     links = None
-    tried = None
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
         lead = F.min(F.struct("own" if round_ % 2 == 0 else F.xxhash64("cid").alias("own"), "cid", "component", "n", "r"))
@@ -230,14 +264,9 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         open_ = now.join(spans, "g")
         if round_ < stars:
             pairs = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b", "n as a_n", "lead.n as b_n", "r as a_r", "lead.r as b_r").where(can_link(percent))
+            near = durable(bounded(pairs.select("a", "b").distinct(), sketches, percent))
         else:
-            pairs = block_pairs(open_, percent)
-        pairs = pairs.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        near = durable(bounded(pairs, shared, percent))
+            near = durable(block_pairs(open_, sketches, percent).distinct())
         if near.limit(1).count():
             new = verified(near, classes, docs, k, percent)
             links = new if links is None else links.union(new)
@@ -250,22 +279,22 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
 
 
 def inside_counts(indexed: DataFrame) -> DataFrame:
-    """(cid, n, within): how many of a class's n-grams lie in the indexed part of the hash space."""
+    """(cid, n, within, sketch): how many of a class's n-grams lie in the indexed part of the hash space, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             within = [int(np.searchsorted(np.frombuffer(x.as_py(), np.uint64), LIMIT)) for x in batch.column("grams")]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(within, pa.int64())], ["cid", "n", "within"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(within, pa.int64()), batch.column("sketch")], ["cid", "n", "within", "sketch"])
 
-    return durable(indexed.select("cid", "n", "grams").mapInArrow(run, "cid long, n long, within long"))
+    return written(indexed.select("cid", "n", "grams", "sketch").mapInArrow(run, "cid long, n long, within long, sketch binary"), "info")
 
 
-def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
+def block_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in the lists that can still link. Members of a list are dealt into chunks of about
-    BLOCK and each two chunks of it meet in one block, so no list makes a large group; a block holds ids, sizes and
-    ranks alone, and pairs below the bound don't leave it."""
-    dealt = open_.selectExpr("g", "cid", "n", "r", "component", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
-    sent = dealt.selectExpr("g", "struct(own, cid, component, n, r) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
+    BLOCK and each two chunks of it meet in one block, so no list makes a large group. A block compares ranks and sizes,
+    then sketches, and pairs below the bounds don't leave it."""
+    dealt = open_.join(sketches.select("cid", "sketch"), "cid").selectExpr("g", "cid", "n", "r", "component", "sketch", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
+    sent = dealt.selectExpr("g", "struct(own, cid, component, n, r, sketch) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
     met = sent.groupBy("g", "i", "j").agg(F.collect_list("m").alias("ms")).select("i", "j", "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +302,9 @@ def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
             lists = batch.column("ms")
             ends = lists.offsets.to_numpy()
             own, cid, component, n, r = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("own", "cid", "component", "n", "r"))
+            sketched = lists.values.field("sketch")
             crossing = (batch.column("i").to_numpy() != batch.column("j").to_numpy()).tolist()
-            left, right, held = [], [], 0
+            left, right = [], []
             for lo, hi, two in zip(ends[:-1].tolist(), ends[1:].tolist(), crossing, strict=True):
                 n_, c_, p_, last = n[lo:hi], cid[lo:hi], component[lo:hi], n[lo:hi] - r[lo:hi]
                 keep = (p_[:, None] != p_[None, :]) & (c_[:, None] < c_[None, :])
@@ -283,12 +313,10 @@ def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
                 if two:
                     keep &= own[lo:hi, None] != own[None, lo:hi]
                 a, b = np.nonzero(keep)
-                left.append(c_[a])
-                right.append(c_[b])
-                held += len(a)
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                    left, right, held = [], [], 0
+                if len(a):
+                    near = differences(sketched[lo:hi].to_pylist(), a, b) * (100 + percent) <= (100 - percent) * (n_[a] + n_[b])
+                    left.append(c_[a[near]])
+                    right.append(c_[b[near]])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
