@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evalframe.llm.common import slices
 
 #: Words whose ids each worker remembers; with more it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: A word of letters that symbols other than the apostrophe follow: the tokenizer parts it there as well.
 TAIL = re.compile(r"([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
 
