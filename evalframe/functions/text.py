@@ -10,10 +10,38 @@ from pyspark.sql import functions as F
 
 ColumnFn = Callable[[Column], Column]
 
-# Fixed values of the answer normaliser.
+# Words, marks and patterns that results depend on.
 ARTICLES = ("a", "an", "the")
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 INVALID = "[invalid]"
+ANSWER_PUNCTUATION = (";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!")
+ANSWER_LEADS = (
+    "The best answer is", "The correct answer is", "The answer is", "The answer", "The best option is", "The correct option is", "Best answer:", "Best option:",
+)
+LETTER_PATTERNS = (
+    r"^([A-D])\s*[.)\]]*", r"(?:THE\s+)?(?:ANSWER|CHOICE|OPTION)(?:\s+IS)?[\s:]+([A-D])", r"\(([A-D])\)", r"([A-D])\s*(?:\.|\)|\])", r"(?:^|\s)([A-D])(?:\s|$)",
+)
+CONTRACTIONS = {
+    "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't", "couldn'tve": "couldn't've", "couldnt've": "couldn't've",
+    "didnt": "didn't", "doesnt": "doesn't", "dont": "don't", "hadnt": "hadn't", "hadnt've": "hadn't've", "hadn'tve": "hadn't've", "hasnt": "hasn't",
+    "havent": "haven't", "hed": "he'd", "hed've": "he'd've", "he'dve": "he'd've", "hes": "he's", "howd": "how'd", "howll": "how'll", "hows": "how's",
+    "isnt": "isn't", "itd": "it'd", "itd've": "it'd've", "it'dve": "it'd've", "itll": "it'll", "maam": "ma'am", "mightnt": "mightn't",
+    "mightnt've": "mightn't've", "mightn'tve": "mightn't've", "mightve": "might've", "mustnt": "mustn't", "mustve": "must've", "neednt": "needn't",
+    "notve": "not've", "oclock": "o'clock", "oughtnt": "oughtn't", "ow's'at": "'ow's'at", "'ows'at": "'ow's'at", "'ow'sat": "'ow's'at", "shant": "shan't",
+    "shed've": "she'd've", "she'dve": "she'd've", "shouldve": "should've", "shouldnt": "shouldn't", "shouldnt've": "shouldn't've",
+    "shouldn'tve": "shouldn't've", "somebody'd": "somebodyd", "somebodyd've": "somebody'd've", "somebody'dve": "somebody'd've", "somebodyll": "somebody'll",
+    "somebodys": "somebody's", "someoned": "someone'd", "someoned've": "someone'd've", "someone'dve": "someone'd've", "someonell": "someone'll",
+    "someones": "someone's", "somethingd": "something'd", "somethingd've": "something'd've", "something'dve": "something'd've", "somethingll": "something'll",
+    "thats": "that's", "thered": "there'd", "thered've": "there'd've", "there'dve": "there'd've", "therere": "there're", "theres": "there's",
+    "theyd": "they'd", "theyd've": "they'd've", "they'dve": "they'd've", "theyll": "they'll", "theyre": "they're", "theyve": "they've", "twas": "'twas",
+    "wasnt": "wasn't", "wed've": "we'd've", "we'dve": "we'd've", "weve": "we've", "werent": "weren't", "whatll": "what'll", "whatre": "what're",
+    "whats": "what's", "whatve": "what've", "whens": "when's", "whered": "where'd", "wheres": "where's", "whereve": "where've", "whod": "who'd",
+    "whod've": "who'd've", "who'dve": "who'd've", "wholl": "who'll", "whos": "who's", "whove": "who've", "whyll": "why'll", "whyre": "why're",
+    "whys": "why's", "wont": "won't", "wouldve": "would've", "wouldnt": "wouldn't", "wouldnt've": "wouldn't've", "wouldn'tve": "wouldn't've", "yall": "y'all",
+    "yall'll": "y'all'll", "y'allll": "y'all'll", "yall'd've": "y'all'd've", "y'alld've": "y'all'd've", "y'all'dve": "y'all'd've", "youd": "you'd",
+    "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
+}
+NUMBER = r"(-?\d+(?:\.\d+)?)"
 
 
 def nonempty(c: Column) -> Column:
@@ -50,37 +78,41 @@ def mapped(c: Column, values: dict[str, str], default: str | None = None) -> Col
 
 
 def first_letter(c: Column) -> Column:
-    """`(X)`, else `X.` `X)` or `X ` at a word's start, else any capital A-F."""
-    return F.coalesce(
-        nonempty(F.regexp_extract(c, r"\(([A-F])\)", 1)), nonempty(F.regexp_extract(c, r"\b([A-F])[.) ]", 1)), nonempty(F.regexp_extract(c, r"([A-F])", 1))
-    )
+    """A capital in brackets, else one before a stop, a bracket or white space, else any; empty when there is none."""
+    return F.coalesce(*[nonempty(F.regexp_extract(c, p, 1)) for p in (r"\(([A-Z])\)", r"([A-Z])[.)\s]", r"([A-Z])")], F.lit(""))
 
 
 def gold_letter(c: Column) -> Column:
-    return nonempty(F.regexp_extract(c, r"^[ (\[]*([A-F])(?![A-Za-z])", 1))
+    """A-F at the start, alone or before `.`, `)`, `]`, or before `:` or `-` with white space; empty when there is none."""
+    return F.coalesce(F.regexp_extract(strip(c), r"^[ (\[]*([A-F])(?:$|[.)\]]|[:\-]\s+)", 1), F.lit(""))
 
 
 def letter_cascade(c: Column) -> Column:
-    """Bracketed, then after `answer is`, then followed by a stop or bracket, then after a blank, then a text of one letter."""
-    patterns = (r"\(([A-Z])\)", r"(?i:answer is)\s*:?\s*([A-Z])\b", r"\b([A-Z])[.:)]", r"\s([A-Z])\s", r"^\s*([A-Z])\s*$")
-    return F.coalesce(*[nonempty(F.regexp_extract(c, p, 1)) for p in patterns])
+    """A-D by the first of LETTER_PATTERNS that the upper-cased text meets, else the only one it holds, else its first character;
+    null when none applies."""
+    folded = F.upper(strip(c))
+    alone = F.regexp_extract_all(folded, F.lit("[A-D]"), F.lit(0))
+    head = F.substring(folded, 1, 1)
+    return F.coalesce(*[nonempty(F.regexp_extract(folded, p, 1)) for p in LETTER_PATTERNS], F.when(F.size(alone) == 1, F.get(alone, 0)), F.when(head.isin(*"ABCD"), head))
 
 
 def answer_span(c: Column) -> Column:
-    """Between answer tags (an open tag runs to the end), else from `Answer:` on, else the trimmed text."""
-    tag = nonempty(strip(F.regexp_extract(c, r"(?s)<answer>(.*?)(?:</answer>|$)", 1)))
-    after = nonempty(strip(F.regexp_extract(c, r"(?s)Answer:(.*)$", 1)))
-    return F.coalesce(tag, after, strip(c))
+    """Between the first answer tags if both are there, else from the first `Answer:` on, else all; trimmed."""
+    opened, closed, marked = (F.locate(x, c) for x in ("<answer>", "</answer>", "Answer:"))
+    inside = F.substring(c, opened + 8, F.greatest(closed - opened - 8, F.lit(0)))
+    return strip(F.when((opened > 0) & (closed > 0), inside).when(marked > 0, F.substring(c, marked, F.length(c))).otherwise(c))
 
 
 def contains_normalised(answer: Column, gold: Column) -> Column:
-    norm = lambda x: strip(F.regexp_replace(F.lower(x), r"\s+", " "))
-    return F.contains(norm(answer), norm(gold))
+    """Whether the folded answer holds the folded gold; never for an empty gold."""
+    norm = lambda x: F.regexp_replace(F.lower(strip(x)), r"(?U)\s+", " ")
+    return (norm(gold) != "") & F.contains(norm(answer), norm(gold))
 
 
 def yes_no(c: Column) -> Column:
-    """Label of the first four characters: yes, no or other."""
-    head = F.lower(F.substring(c, 1, 4))
+    """yes, no or other: of a text of one letter y and n, else by the first four characters; full stops don't count."""
+    folded = F.replace(F.lower(strip(c)), F.lit("."), F.lit(""))
+    head = F.when(F.length(folded) == 1, F.replace(F.replace(folded, F.lit("y"), F.lit("yes")), F.lit("n"), F.lit("no"))).otherwise(F.substring(folded, 1, 4))
     return F.when(F.contains(head, F.lit("yes")), "yes").when(F.contains(head, F.lit("no")), "no").otherwise("other")
 
 
@@ -91,15 +123,25 @@ def numbers(c: Column) -> Column:
 
 
 def digits_for_words(c: Column) -> Column:
-    return mapped(F.lower(c), {w: str(i) for i, w in enumerate(NUMBER_WORDS)}, None)
+    """A number word as digits, any other text as it is."""
+    return F.coalesce(mapped(F.lower(c), {w: str(i) for i, w in enumerate(NUMBER_WORDS)}), c)
 
 
 def normal_answer(c: Column) -> Column:
-    """Lower case, no punctuation, number words as digits, no articles, single blanks."""
-    plain = F.regexp_replace(F.lower(c), r"[^\w\s]", "")
-    table = F.create_map(*[F.lit(x) for i, w in enumerate(NUMBER_WORDS) for x in (w, str(i))])
-    kept = F.filter(words(plain), lambda x: ~x.isin(*ARTICLES))
-    return F.array_join(F.transform(kept, lambda x: F.coalesce(F.try_element_at(table, x), x)), " ")
+    """The visual question answering normal form: lower case; `,` and `?` go and `'s` parts; a mark with a blank beside it goes
+    and others part words; full stops before no digit go; number words become digits, articles go, contractions get
+    their apostrophe."""
+    text = F.replace(F.replace(F.replace(F.lower(c), F.lit(","), F.lit("")), F.lit("?"), F.lit("")), F.lit("'s"), F.lit(" 's"))
+    text = strip(F.translate(strip(text), "\n\t", "  "))
+    plain = text
+    for mark in ANSWER_PUNCTUATION:
+        beside = F.contains(text, F.lit(mark + " ")) | F.contains(text, F.lit(" " + mark))
+        plain = F.replace(plain, F.lit(mark), F.when(beside, "").otherwise(" "))
+    plain = F.regexp_replace(plain, r"\.(?!\d)", "")
+    numbers_ = F.create_map(*[F.lit(x) for w, i in (("none", 0), *((w, i) for i, w in enumerate(NUMBER_WORDS))) for x in (w, str(i))])
+    full = F.create_map(*[F.lit(x) for pair in CONTRACTIONS.items() for x in pair])
+    kept = F.filter(F.transform(words(F.lower(plain)), lambda x: F.coalesce(F.try_element_at(numbers_, x), x)), lambda x: ~x.isin(*ARTICLES))
+    return F.array_join(F.transform(kept, lambda x: F.coalesce(F.try_element_at(full, x), x)), " ")
 
 
 def soft_accuracy(answers: Column, response: Column) -> Column:
@@ -112,8 +154,9 @@ def soft_accuracy(answers: Column, response: Column) -> Column:
 
 def anls(response: Column, golds: Column, least: float = 0.5) -> Column:
     """1 - the least normalised edit distance; distances on folded texts, lengths of the raw ones; under `least` counts 0."""
-    norm = lambda x: F.lower(strip(x))
-    far = F.transform(golds, lambda g: F.levenshtein(norm(g), norm(response)) / F.greatest(F.length(g), F.length(response), F.lit(1)))
+    norm = lambda x: F.array_join(words(F.lower(strip(x))), " ")
+    size = lambda x: F.length(F.upper(x))
+    far = F.transform(golds, lambda g: F.levenshtein(norm(g), norm(response)) / F.greatest(size(g), size(response), F.lit(1)))
     score = 1 - F.array_min(far)
     return F.when(score < least, 0.0).otherwise(score)
 
@@ -136,11 +179,17 @@ def mean_relative_accuracy(p: Column, t: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + F.when(F.abs(p - t) / F.abs(t) <= F.round(1 - s, 2), 0.1).otherwise(0.0))
 
 
+def numbered(tokens: Column) -> Column:
+    """Tokens with their occurrence's number, so that repeats are elements of their own."""
+    ordered = F.array_sort(tokens)
+    return F.transform(ordered, lambda x, i: F.concat(x, F.lit("\n"), (i + 1 - F.array_position(ordered, x)).cast("string")))
+
+
 def token_f1(response: Column, gold: Column) -> Column:
-    """F1 over tokens counted with repeats, articles and punctuation removed."""
-    p, g = words(normal_answer(response)), words(normal_answer(gold))
-    times = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(g), F.lit(0), lambda acc, w: acc + F.least(times(g, w), times(p, w)))
+    """F1 over tokens counted with repeats, ASCII punctuation and articles removed; two empty sides agree."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", ""), r"(?U)\b(a|an|the)\b", " ")
+    p, g = (F.coalesce(words(plain(c)), F.array().cast("array<string>")) for c in (response, gold))
+    same = F.size(F.array_intersect(numbered(p), numbered(g)))
     return F.when(F.size(p) + F.size(g) == 0, 1.0).otherwise(2.0 * same / F.greatest(F.size(p) + F.size(g), F.lit(1)))
 
 
@@ -158,10 +207,15 @@ def pair_verdict(c: Column) -> Column:
 
 
 def last_boxed(c: Column) -> Column:
-    """The last boxed answer, else the last after `Answer:`, without leading zeros."""
-    boxed = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{([^{}]*)\}"), F.lit(1)), F.lit(-1))
-    after = F.try_element_at(F.regexp_extract_all(c, F.lit(r"Answer:\s*(\S+)"), F.lit(1)), F.lit(-1))
-    return F.regexp_replace(F.coalesce(nonempty(boxed), after), "^0+(?=[0-9])", "")
+    """The last boxed answer (braces may nest four deep), else what follows the last `Answer:`; null without either. Digits alone
+    lose leading zeros."""
+    inner = r"[^{}]"
+    for _ in range(4):
+        inner = r"(?:[^{}]|\{" + inner + r"*\})"
+    boxed = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{(" + inner + r"*)\}"), F.lit(1)), F.lit(-1))
+    after = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?is)Answer\s*:\s*(.*)"), F.lit(1)), F.lit(-1))
+    found = F.coalesce(boxed, after)
+    return F.when(F.rlike(found, F.lit("^[0-9]+$")), F.regexp_replace(found, "^0+(?=[0-9])", "")).otherwise(found)
 
 
 def first_listed(c: Column, names: Sequence[str], default: str) -> Column:
@@ -182,3 +236,152 @@ def choice_by_content(response: Column, options: Column) -> Column:
     """Letter of the option whose text occurs earliest in the response."""
     at = F.transform(options, lambda o, i: F.struct(F.nullif(F.call_function("instr", response, o), F.lit(0)).alias("at"), F.char(i + 65).alias("letter")))
     return F.array_min(F.filter(at, lambda x: x["at"].isNotNull()))["letter"]
+
+
+def short_score(response: Column, gold: Column, choice: Column) -> Column:
+    """1 or 0 for a short answer. A `choice` row compares letters: A-D at the start (in either case) or standing alone. Others compare
+    the first numbers, signs and decimals included and commas left out, or, if the gold has none, the folded texts."""
+    r, g = strip(F.coalesce(response, F.lit(""))), strip(gold)
+    letter = F.coalesce(nonempty(F.upper(F.regexp_extract(r, r"^[(\[]?([A-Da-d])[)\].:,]?(?:\s|$)", 1))), nonempty(F.regexp_extract(r, r"\b([A-D])\b", 1)))
+    number = lambda c: nonempty(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"-?\d+\.?\d*", 0))
+    equal = F.when(number(g).isNotNull(), number(r).cast("double") == number(g).cast("double")).otherwise(F.rtrim(F.lower(r), F.lit(".")) == F.lower(g))
+    return F.when(F.coalesce(F.when(choice, letter == F.upper(g)).otherwise(equal), F.lit(False)), 1.0).otherwise(0.0)
+
+
+def guarded_letter(c: Column, letters: str = "ABCDE") -> Column:
+    """The first of the letters, after ANSWER_LEADS are taken out. A text without any is empty if it has over ten words; a shorter one
+    takes the first choice `(X)` that holds it."""
+    text = strip(c)
+    for lead in ANSWER_LEADS:
+        text = F.replace(text, F.lit(lead), F.lit(""))
+    found = nonempty(F.regexp_extract(text, f"[{letters}]", 0))
+    held = F.coalesce(*[F.when(F.contains(F.lit(f"({x})".lower()), F.lower(text)), x) for x in letters], F.lit(""))
+    return F.coalesce(found, F.when(F.size(words(text)) > 10, "").otherwise(held))
+
+
+def last_at(c: Column, part: Column) -> Column:
+    """Place of the last occurrence, from 1; 0 if there is none."""
+    back = F.call_function("instr", F.reverse(c), F.reverse(part))
+    return F.when(back > 0, F.length(c) - back - F.length(part) + 2).otherwise(0)
+
+
+def seeded_number(c: Column, seed: int = 0) -> Column:
+    """A non-negative integer drawn from a key and a seed alone."""
+    return F.conv(F.substring(F.md5(F.concat(c.cast("string"), F.lit(f"#{seed}"))), 1, 8), 16, 10).cast("long")
+
+
+def parsed_option(c: Column, options: Column, letters: Sequence[str], key: Column, seed: int = 0) -> Column:
+    """The option that a response names: letters in brackets, else followed by a blank, else by a stop, else, in texts of more than five
+    words, option texts. Of several, the one that stands last, letters located between blanks unless bracketed. A response
+    that names none gets a letter drawn from `key` and `seed`."""
+    text = c
+    for mark in ",.!?;:'":
+        text = F.btrim(text, F.lit(mark))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    folded = F.lower(text)
+
+    def last(part, spot, where=text):
+        rows = [F.struct(last_at(where, spot(i, x)).alias("at"), F.lit(-i).alias("i"), F.lit(x).alias("x"), F.contains(where, part(i, x)).alias("met")) for i, x in enumerate(letters)]
+        return F.array_max(F.filter(F.array(*rows), lambda s: s["met"]))["x"]
+
+    blanks = lambda i, x: F.lit(f" {x} ")
+    bracket = lambda i, x: F.lit(f"({x})")
+    content = lambda i, x: F.lower(F.get(options, i))
+    drawn = F.element_at(F.array(*map(F.lit, letters)), (seeded_number(key, seed) % len(letters) + 1).cast("int"))
+    return F.coalesce(
+        last(bracket, bracket), last(lambda i, x: F.lit(f"{x} "), blanks), last(lambda i, x: F.lit(f"{x}."), blanks),
+        F.when(F.size(words(text)) > 5, last(content, content, folded)), drawn,
+    )
+
+
+def letter_and_text(c: Column) -> Column:
+    """(letter, text) of `Answer: X) text`; a lone letter has no text, and a text without an answer mark no letter. Stars don't count."""
+    text = strip(F.replace(c, F.lit("*"), F.lit("")))
+    pattern = r"(?i)Answer:\s*([A-E])\)?\.?\s*(.*)"
+    letter = F.when(F.rlike(text, F.lit("^[A-Ea-e]$")), F.upper(text)).otherwise(nonempty(F.upper(F.regexp_extract(text, pattern, 1))))
+    rest = F.when(F.rlike(text, F.lit("^[A-Ea-e]$")), "").when(letter.isNotNull(), strip(F.regexp_extract(text, pattern, 2))).otherwise(text)
+    return F.struct(letter.alias("letter"), rest.alias("text"))
+
+
+def same_answer(response: Column, letter: Column, text: Column) -> Column:
+    """1 if the letters agree, and the texts where both have one; without letters on both sides, if the texts agree; else 0."""
+    own = letter_and_text(response)
+    folded = F.lower(own["text"]) == F.lower(text)
+    both = (letter == own["letter"]) & ((own["text"] == "") | (text == "") | folded)
+    return F.when(F.coalesce(F.when(letter.isNotNull() & own["letter"].isNotNull(), both).otherwise(folded), F.lit(False)), 1).otherwise(0)
+
+
+def four_numbers(c: Column) -> Column:
+    """The first four numbers in square brackets, else in round ones, else in two round pairs; else zeros."""
+    gap = r",\s*"
+    four = gap.join([NUMBER] * 4)
+    pair = r"\(\s*" + NUMBER + gap + NUMBER
+    forms = (r"\[\s*" + four + r"\s*\]", r"\(\s*" + four + r"\s*\)", pair + r"\)" + gap + pair + r"\)")
+    boxes = [F.when(F.rlike(c, F.lit(p)), F.array(*[F.regexp_extract(c, p, i).cast("double") for i in range(1, 5)])) for p in forms]
+    return F.coalesce(*boxes, F.array(*[F.lit(0.0)] * 4))
+
+
+def option_by_text(c: Column, question: Column) -> Column:
+    """The letter (A, B, ... in order) of the question's option `X. text` that stands first in the response, punctuation left out; the
+    cleaned response if it holds none."""
+    cleaned = strip(F.regexp_replace(c, r"(?U)[^\w\s]", ""))
+    options = F.transform(F.regexp_extract_all(question, F.lit(r"\b([A-Z])\.\s+([^\n]*)"), F.lit(2)), strip)
+    spots = F.transform(options, lambda o, i: F.struct(F.call_function("instr", cleaned, o).alias("at"), i.alias("i"), o.alias("o")))
+    first = F.array_min(F.filter(spots, lambda x: x["at"] > 0))["o"]
+    # Of equal options the last one's letter holds.
+    letter = F.char(F.array_max(F.filter(F.transform(options, lambda o, i: F.when(o == first, i)), lambda x: x.isNotNull())) + 65)
+    return F.coalesce(letter, cleaned)
+
+
+def response_variants(c: Column) -> Column:
+    """A response whole, without its first line, its last one and both, each as it is and without stars."""
+    lines = F.split(c, "\n")
+    n = F.size(lines)
+    part = lambda at, k: strip(F.array_join(F.slice(lines, at, F.greatest(k, F.lit(0))), "\n"))
+    forms = [c, part(2, n - 1), part(1, n - 1), part(2, n - 2)]
+    return F.array(*forms, *[F.replace(x, F.lit("*"), F.lit("")) for x in forms])
+
+
+def any_variant(c: Column, check: ColumnFn) -> Column:
+    """Whether a variant that isn't blank passes."""
+    return F.exists(response_variants(c), lambda x: (strip(x) != "") & check(x))
+
+
+def file_task(name: Column) -> Column:
+    """What stands between the first and the last underscore of a file name; without any, all but the last character."""
+    inner = F.regexp_extract(name, r"(?s)^[^_]*_(.*)_[^_]*$", 1)
+    return F.when(F.contains(name, F.lit("_")), inner).otherwise(F.substring(name, F.lit(1), F.greatest(F.length(name) - 1, F.lit(0))))
+
+
+def file_time(name: Column) -> Column:
+    """What follows the last underscore, without the ending."""
+    return F.replace(F.regexp_extract(name, r"(?s)([^_]*)$", 1), F.lit(".jsonl"), F.lit(""))
+
+
+def safe_model_name(name: Column, full_path: bool = False) -> Column:
+    """A model's name, its last two parts unless the full path is asked for, with runs of characters that file names can't hold replaced."""
+    short = name if full_path else F.array_join(F.reverse(F.slice(F.reverse(F.split(name, "/")), 1, 2)), "/")
+    return F.regexp_replace(short, r'["<>:/|\\?*\[\]]+', "__")
+
+
+def safe_task_name(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?U)\W", "_")
+
+
+def detokenised(c: Column) -> Column:
+    """Blanks before n't, closing marks and around quotes taken out."""
+    for old, new in ((" n't", "n't"), (" )", ")"), ("( ", "("), ('" ', '"'), (' "', '"')):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return F.regexp_replace(c, " (['.,])", "$1")
+
+
+def smoothing_sigma(tokens: Column, wide: bool = False) -> Column:
+    """Linear from 1 at 512 tokens to 2 at 2048; beyond, 2, or with `wide` by the grid's side up to 4."""
+    near = F.least(F.greatest(1 + (tokens - 512) / 1536.0, F.lit(1.0)), F.lit(2.0))
+    return F.when(tokens > 2048, F.least(2 * F.sqrt(tokens / 2048.0), F.lit(4.0))).otherwise(near) if wide else near
+
+
+def kernel_size(sigma: Column) -> Column:
+    """Three sigmas, rounded half to even, 3 at least, and odd."""
+    k = F.greatest(F.lit(3), F.bround(3 * sigma).cast("int"))
+    return k + F.when(k % 2 == 0, 1).otherwise(0)

@@ -17,11 +17,6 @@ def f05_case_and_map(t):
     return turns(t, folded=F.upper(T.drop_leading_blank(F.col("text"))), kind=T.mapped(F.col("role"), {"user": "question", "assistant": "answer"}, "other"))
 
 
-@query(r"select doc_id, nullif(regexp_extract(text, '^[ (\[]*([A-F])([^A-Za-z]|$)', 1), '') letter from documents")
-def f08_gold_letter(t):
-    return t.documents.select("doc_id", T.gold_letter(F.col("text")).alias("letter"))
-
-
 @query("select p_partkey, rtrim(replace(p_name, p_brand, '')) || ' Answer in one word.' question from part")
 def f10_rewritten_question(t):
     return t.part.select("p_partkey", F.concat(F.rtrim(F.replace("p_name", F.col("p_brand"), F.lit(""))), F.lit(" Answer in one word.")).alias("question"))
@@ -33,23 +28,6 @@ def f11_rule_cascade(t):
     return turns(t, rule=rule)
 
 
-@query("select p_partkey, contains(trim(regexp_replace(lower(p_name), '[ \\t\\n]+', ' ', 'g')), trim(regexp_replace(lower(p_brand), '[ \\t\\n]+', ' ', 'g'))) hit from part")
-def f12_containment(t):
-    return t.part.select("p_partkey", T.contains_normalised(F.col("p_name"), F.col("p_brand")).alias("hit"))
-
-
-@query("select conv_id, turn, try_cast(nullif(regexp_extract(text, '[0-9]+', 0), '') as double) as number from conversations")
-def f14_first_number(t):
-    return turns(t, number=T.nonempty(F.regexp_extract(F.col("text"), "[0-9]+", 0)).try_cast("double"))
-
-
-@query("select conv_id, turn, case when len(list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> '')) > 10 and not regexp_matches(text, '[ABCDE]') then '' else coalesce(regexp_extract(replace(text, 'The best answer is', ''), '[ABCDE]', 0), '') end letter from conversations")
-def f15_guarded_letter(t):
-    plain = F.replace(F.col("text"), F.lit("The best answer is"), F.lit(""))
-    long = F.size(F.filter(F.split(F.col("text"), r"[ \t\n]+"), lambda x: x != "")) > 10
-    return turns(t, letter=F.when(long & ~F.rlike(F.col("text"), F.lit("[ABCDE]")), "").otherwise(F.coalesce(F.regexp_extract(plain, "[ABCDE]", 0), F.lit(""))))
-
-
 @query("select p_partkey, levenshtein(p_name, p_type) d, case when p_type = '' or lower(p_type) = 'none' then 0.0 else round(1 - levenshtein(lower(trim(p_name)), lower(trim(p_type))) / greatest(length(trim(p_name)), length(trim(p_type)), 1), 9) end score from part")
 def f23_edit_similarity(t):
     a, b = F.lower(F.trim("p_name")), F.lower(F.trim("p_type"))
@@ -150,9 +128,3 @@ def f54_label_sets(t):
 def f56_nearest_option(t):
     options = F.transform(F.array("p_brand", "p_name"), lambda o, i: F.struct(F.levenshtein("p_type", o).alias("d"), i.alias("i"), o.alias("o")))
     return t.part.select("p_partkey", F.array_min(options)["o"].alias("nearest"))
-
-
-@query("select n_nationkey, case n_nationkey when 1 then '1' when 2 then '2' when 10 then '10' end as digits from nation where n_nationkey in (1, 2, 10)")
-def f57_number_words(t):
-    word = F.when(F.col("n_nationkey") == 1, "One").when(F.col("n_nationkey") == 2, "two").otherwise("TEN")
-    return t.nation.where("n_nationkey in (1, 2, 10)").select("n_nationkey", T.digits_for_words(word).alias("digits"))

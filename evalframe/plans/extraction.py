@@ -19,21 +19,6 @@ def f06_filter_pipeline(t):
     return t.conversations.select("conv_id", "turn", T.pipeline(F.col("text"), [T.drop_leading_blank, F.lower]).alias("folded"), T.mapped(F.col("role"), {"user": "U", "assistant": "A"}, "?").alias("who"))
 
 
-@query(r"select doc_id, coalesce(nullif(regexp_extract(text, '\(([A-F])\)', 1), ''), nullif(regexp_extract(text, '\b([A-F])[.) ]', 1), ''), nullif(regexp_extract(text, '([A-F])', 1), '')) letter from documents")
-def f07_first_letter(t):
-    return t.documents.select("doc_id", T.first_letter(F.col("text")).alias("letter"))
-
-
-@query("select conv_id, turn, case when contains(lower(text[1:4]), 'yes') then 'yes' when contains(lower(text[1:4]), 'no') then 'no' else 'other' end as label from conversations")
-def f18_yes_no(t):
-    return t.conversations.select("conv_id", "turn", T.yes_no(F.col("text")).alias("label"))
-
-
-@query("select p_partkey, levenshtein(lower(p_name), lower(p_type)) d, case when 1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type), 1) < 0.5 then 0.0 else round(1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type), 1), 9) end anls from part")
-def f22_anls(t):
-    return t.part.select("p_partkey", F.levenshtein(F.lower("p_name"), F.lower("p_type")).cast("long").alias("d"), F.round(T.anls(F.col("p_name"), F.array("p_type")), 9).alias("anls"))
-
-
 @query("select l_orderkey, l_linenumber, abs(l_extendedprice - l_quantity * 1500) / abs(l_quantity * 1500) <= 0.05 relaxed from lineitem")
 def f24_relaxed_equality(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", T.relaxed_equal(F.col("l_extendedprice").cast("string"), (F.col("l_quantity") * 1500).cast("string")).alias("relaxed"))
@@ -88,21 +73,6 @@ def f20_soft_accuracy(t):
     return answers.select("user_id", F.round(T.soft_accuracy(F.col("all"), F.col("last")), 6).alias("score"))
 
 
-@query()
-def f26_token_f1(t):
-    return t.part.select("p_partkey", F.round(T.token_f1(F.col("p_name"), F.col("p_type")), 6).alias("f1"))
-
-
 @query()
 def f17_numbers(t):
     return t.documents.select("doc_id", T.numbers(F.col("text")).alias("numbers"))
-
-
-@query()
-def f19_normal_answer(t):
-    return t.conversations.select("conv_id", "turn", T.normal_answer(F.col("text")).alias("answer"))
-
-
-@query()
-def f13_letter_cascade(t):
-    return t.conversations.select("conv_id", "turn", T.letter_cascade(F.col("text")).alias("letter"), T.answer_span(F.col("text")).alias("span"), T.last_boxed(F.col("text")).alias("boxed"), T.pair_verdict(F.col("text")).alias("verdict"))

@@ -80,12 +80,12 @@ def a38_pair_accuracy(t):
     return q.groupBy("c").agg(F.round(100 * F.avg("acc") + 100 * F.avg("both"), 6).alias("score"))
 
 
-@query("with q as (select l_orderkey, max(case when l_linenumber = 1 then l_quantity > 25 end) a, max(case when l_linenumber = 2 then l_quantity > 25 end) b, max(case when l_linenumber = 3 then l_quantity > 25 end) c, max(case when l_linenumber = 4 then l_quantity > 25 end) d from lineitem where l_linenumber <= 4 group by 1 having count(*) = 4) select round(avg(cast(a and not b as int) + cast(c and not d as int)) / 2, 6) question, round(avg(cast(a and not c as int) + cast(b and not d as int)) / 2, 6) image, round(avg(cast(a as int) + cast(not b as int) + cast(not c as int) + cast(d as int)) / 4, 6) as binary, round(avg(cast(a and not b and not c and d as int)), 6) as grouped from q")
+@query("with q as (select l_orderkey, max(case when l_linenumber = 1 then l_quantity > 25 end) a, max(case when l_linenumber = 2 then l_quantity > 25 end) b, max(case when l_linenumber = 3 then l_quantity > 25 end) c, max(case when l_linenumber = 4 then l_quantity > 25 end) d from lineitem where l_linenumber <= 4 group by 1 having count(*) = 4) select round(avg(cast(a and not b as int) + cast(d and not c as int)) / 2, 6) question, round(avg(cast(a and not c as int) + cast(d and not b as int)) / 2, 6) image, round(avg(cast(a as int) + cast(not b as int) + cast(not c as int) + cast(d as int)) / 4, 6) as binary, round(avg(cast(a and not b and not c and d as int)), 6) as grouped from q")
 def a39_quads(t):
     cell = lambda k: F.max(F.when(F.col("l_linenumber") == k, F.col("l_quantity") > 25)).alias("abcd"[k - 1])
     q = t.lineitem.where("l_linenumber <= 4").groupBy("l_orderkey").agg(*[cell(k) for k in (1, 2, 3, 4)], F.count(F.lit(1)).alias("n")).where("n = 4")
     mean = lambda parts, d: F.round(F.avg(F.expr(" + ".join(f"cast({p} as int)" for p in parts))) / d, 6)
-    return q.agg(mean(["(a and not b)", "(c and not d)"], 2).alias("question"), mean(["(a and not c)", "(b and not d)"], 2).alias("image"), mean(["a", "(not b)", "(not c)", "d"], 4).alias("binary"), mean(["(a and not b and not c and d)"], 1).alias("grouped"))
+    return q.agg(mean(["(a and not b)", "(d and not c)"], 2).alias("question"), mean(["(a and not c)", "(d and not b)"], 2).alias("image"), mean(["a", "(not b)", "(not c)", "d"], 4).alias("binary"), mean(["(a and not b and not c and d)"], 1).alias("grouped"))
 
 
 @query("with c as (select count(*) n, count(*) filter (o_orderstatus = 'F') f, count(*) filter (o_orderstatus = 'O') o from orders) select round(f * 1.0 / n, 6) correction, round((f + o) * 1.0 / n, 6) detection, round(f * 1.0 / nullif(f + o, 0), 6) share from c")
