@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def grid(df: DataFrame, key: str, values: str, width: int) -> DataFrame:
@@ -59,12 +60,14 @@ def label_components(cells: DataFrame, key: str, diagonal: bool = False) -> Data
             return now.withColumn("comp", F.dense_rank().over(Window.partitionBy(key).orderBy("l"))).drop("l")
 
 
-def component_stats(cells: DataFrame, key: str, top: float) -> DataFrame:
-    """(key, comp, area, half-open box, score): the score is the mean of the top share of p, one cell at least."""
+def component_stats(cells: DataFrame, key: str, top: float, n_cells: int | None = None, beta: float = 0.0, gamma: float = 0.0) -> DataFrame:
+    """(key, comp, area, half-open box, score): the score is the mean of the top share of p, one cell at least, less
+    beta * max(0, area / n_cells - gamma)."""
     w = Window.partitionBy(key, "comp")
     ranked = cells.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("p"), "r", "c")))
     high = F.avg(F.when(F.col("k") <= F.greatest(F.lit(1), F.bround(top * F.col("n")).cast("int")), F.col("p")))
-    return ranked.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("area"), F.min("r").alias("r1"), F.min("c").alias("c1"), (F.max("r") + 1).alias("r2"), (F.max("c") + 1).alias("c2"), high.alias("score"))
+    penalty = F.lit(0.0) if n_cells is None else beta * F.greatest(F.lit(0.0), F.count(F.lit(1)) / n_cells - gamma)
+    return ranked.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("area"), F.min("r").alias("r1"), F.min("c").alias("c1"), (F.max("r") + 1).alias("r2"), (F.max("c") + 1).alias("c2"), (high - penalty).alias("score"))
 
 
 def removal_actions(components: DataFrame, key: str, comp: str) -> DataFrame:
@@ -76,3 +79,82 @@ def removal_actions(components: DataFrame, key: str, comp: str) -> DataFrame:
     other = components.select(key, F.col(comp).cast("int").alias("j"))
     two = own.where("n > 2").join(other, key).where("i < j").select(key, F.array("i", "j").alias("discard"))
     return none.union(one).union(two)
+
+
+def overlaps(cells: DataFrame, key: str, layer: str, comp: str, least: float) -> DataFrame:
+    """(key, a_layer, a, b_layer, b, iou): regions of two layers of a key whose cells overlap by more than `least` of their union.
+
+    Cells meet by place, so the work is in proportion to the layers that hold a cell; pairs that share none never arise.
+    """
+    area = cells.groupBy(key, layer, comp).agg(F.count(F.lit(1)).alias("area"))
+    left = cells.select(key, "r", "c", F.col(layer).alias("a_layer"), F.col(comp).alias("a"))
+    right = cells.select(key, "r", "c", F.col(layer).alias("b_layer"), F.col(comp).alias("b"))
+    shared = left.join(right, [key, "r", "c"]).where("a_layer < b_layer").groupBy(key, "a_layer", "a", "b_layer", "b").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda side: area.select(key, F.col(layer).alias(f"{side}_layer"), F.col(comp).alias(side), F.col("area").alias(f"{side}_area"))
+    met = shared.join(of("a"), [key, "a_layer", "a"]).join(of("b"), [key, "b_layer", "b"])
+    iou = F.col("n") / (F.col("a_area") + F.col("b_area") - F.col("n"))
+    return met.select(key, "a_layer", "a", "b_layer", "b", iou.alias("iou")).where(F.col("iou") > least)
+
+
+def voted(cells: DataFrame, key: str, layer: str, votes: int) -> DataFrame:
+    """Cells (key, r, c) that at least `votes` layers hold."""
+    return cells.groupBy(key, "r", "c").agg(F.count_distinct(layer).alias("n")).where(F.col("n") >= votes).drop("n")
+
+
+def dilated(cells: DataFrame, key: str, size: int, height: int, width: int) -> DataFrame:
+    """Cells within size // 2 rows and columns of one given, inside the grid."""
+    half = size // 2
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-half, half + 1) for j in range(-half, half + 1)])
+    near = cells.select(key, "r", "c", F.explode(steps).alias("o")).select(key, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
+    return near.where((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width)).distinct()
+
+
+def vote_gate(cells: DataFrame, key: str, comp: str, votes: DataFrame) -> DataFrame:
+    """A region's voted cells; all of them where none is voted."""
+    marked = cells.join(votes.select(key, "r", "c").distinct().withColumn("__v", F.lit(True)), [key, "r", "c"], "left")
+    marked = marked.withColumn("__some", F.max("__v").over(Window.partitionBy(key, comp)))
+    return marked.where(F.col("__v") | F.col("__some").isNull()).drop("__v", "__some")
+
+
+def outside(cells: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Cells that the other table lacks."""
+    return cells.join(other.select(key, "r", "c"), [key, "r", "c"], "left_anti")
+
+
+def bounding_boxes(keys: DataFrame, cells: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """(key, r1, c1, r2, c2), half open; the whole grid for a key without cells."""
+    box = cells.groupBy(key).agg(F.min("r").alias("r1"), F.min("c").alias("c1"), (F.max("r") + 1).alias("r2"), (F.max("c") + 1).alias("c2"))
+    whole = {"r1": 0, "c1": 0, "r2": height, "c2": width}
+    return keys.select(key).distinct().join(box, key, "left").select(key, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in whole.items()])
+
+
+def resampled(cells: DataFrame, key: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """Cells on another grid: each takes the value of the nearest source cell, floor(place * source / target)."""
+    rows = cells.sparkSession.range(target[0] * target[1]).select(F.expr(f"int(id div {target[1]})").alias("r2"), F.expr(f"int(id % {target[1]})").alias("c2"))
+    asked = rows.select("r2", "c2", F.expr(f"int(r2 * {source[0]} div {target[0]})").alias("r"), F.expr(f"int(c2 * {source[1]} div {target[1]})").alias("c"))
+    met = cells.join(F.broadcast(asked), ["r", "c"])  # One row a cell of the target grid.
+    return met.select(key, F.col("r2").alias("r"), F.col("c2").alias("c"), "p")
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Every float of a record, however deep in structs, arrays and map values, rounded."""
+
+    def walk(c, kind):
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.round(c, digits)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: walk(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda k, v: walk(v, kind.valueType))
+        return c
+
+    return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def sample_dump(regions: DataFrame, actions: DataFrame, key: str) -> DataFrame:
+    """One nested record for each key: its regions by number and its actions in order, empty lists where there are none."""
+    listed = lambda df, order, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (key, order)]))).alias(name))
+    met = listed(regions, "comp", "regions").join(listed(actions, "discard", "actions"), key, "full")
+    return met.select(key, F.coalesce("regions", F.array()).alias("regions"), F.coalesce("actions", F.array()).alias("actions"))

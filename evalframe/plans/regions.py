@@ -88,11 +88,17 @@ def r04_components(t):
     return labelled.groupBy("vec_id", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
 
 
-@query()
+COMPONENTS = """, k as (select vec_id, r, c, p from (select *, max(p) over (partition by vec_id) peak from cells) where p >= 0.5 * peak),
+w as (with recursive w as (select vec_id, r, c, r * 8 + c l from k union select k.vec_id, k.r, k.c, w.l from w join k on k.vec_id = w.vec_id and abs(k.r - w.r) <= 1 and abs(k.c - w.c) <= 1) select vec_id, r, c, min(l) l from w group by 1, 2, 3),
+m as (select vec_id, r, c, p, dense_rank() over (partition by vec_id order by l) comp from w join k using (vec_id, r, c))"""
+
+
+@query(CELLS + COMPONENTS + """, o as (select *, count(*) over (partition by vec_id, comp) n, row_number() over (partition by vec_id, comp order by p desc, r, c) i from m)
+select vec_id, comp, count(*) area, min(r) r1, min(c) c1, max(r) + 1 r2, max(c) + 1 c2, round(avg(p) filter (i <= greatest(1, round_even(0.25 * n, 0))) - 0.5 * greatest(0, count(*) / 64 - 0.02), 6) score from o group by 1, 2""")
 def r05_component_stats(t):
     kept = regions.peak_gate(regions.grid(t.embeddings, "vec_id", "embedding", 8), "vec_id", 0.5)
     labelled = regions.label_components(kept, "vec_id", True).join(kept, ["vec_id", "r", "c"])
-    return regions.component_stats(labelled, "vec_id", 0.25).withColumn("score", F.round("score", 6))
+    return regions.component_stats(labelled, "vec_id", 0.25, 64, 0.5, 0.02).withColumn("score", F.round("score", 6))
 
 
 @query(CELLS + ", o as (select unnest([-1, 0, 1]) i), w as (select x.vec_id, x.r, x.c, sum(exp(-(a.i * a.i + b.i * b.i) / 2.0) * y.p) s, sum(exp(-(a.i * a.i + b.i * b.i) / 2.0)) t from cells x, o a, o b, cells y where y.vec_id = x.vec_id and y.r = case when x.r + a.i < 0 then 1 when x.r + a.i > 7 then 6 else x.r + a.i end and y.c = case when x.c + b.i < 0 then 1 when x.c + b.i > 7 then 6 else x.c + b.i end group by 1, 2, 3) select vec_id, r, c, round(s / t, 6) p from w")
@@ -107,3 +113,65 @@ def f28_temporal_iou(t):
     rows = t.events.select("user_id", "event_id", sec.alias("a"), F.lead(sec).over(w).alias("b")).where("b is not null")
     inter = F.greatest(F.least(F.col("b"), F.col("a") + 86400) - F.col("a"), F.lit(0.0))
     return rows.select("user_id", "event_id", F.round(inter / F.greatest(F.greatest(F.col("b"), F.col("a") + 86400) - F.col("a"), F.lit(1e-8)), 6).alias("iou"))
+
+
+LAYERS = CELLS + ", l as (select vec_id // 4 s, vec_id % 4 v, r, c, p from (select *, max(p) over (partition by vec_id) peak from cells) where p >= 0.4 * peak)"
+
+
+def layers(t):
+    """Four vectors in a row are the layers of one sample."""
+    kept = regions.peak_gate(regions.grid(t.embeddings, "vec_id", "embedding", 8), "vec_id", 0.4)
+    return kept.select(F.expr("vec_id div 4").alias("s"), (F.col("vec_id") % 4).alias("v"), "r", "c", "p")
+
+
+@query(LAYERS + ", n as (select s, v, count(*) n from l group by 1, 2), x as (select a.s, a.v a_layer, b.v b_layer, count(*) n from l a join l b on a.s = b.s and a.r = b.r and a.c = b.c and a.v < b.v group by 1, 2, 3) select x.s, a_layer, b_layer, round(x.n / (a.n + b.n - x.n), 6) iou from x join n a on a.s = x.s and a.v = a_layer join n b on b.s = x.s and b.v = b_layer where x.n / (a.n + b.n - x.n) > 0.1")
+def j12_overlaps(t):
+    found = regions.overlaps(layers(t).withColumn("comp", F.lit(1)), "s", "v", "comp", 0.1)
+    return found.select("s", "a_layer", "b_layer", F.round("iou", 6).alias("iou"))
+
+
+VOTES = ", w as (select s, r, c from l group by 1, 2, 3 having count(distinct v) >= 2), d as (select distinct s, r + i r, c + j c from w, (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j) where r + i between 0 and 7 and c + j between 0 and 7)"
+
+
+@query(LAYERS + VOTES + " select * from d")
+def r08_votes(t):
+    return regions.dilated(regions.voted(layers(t), "s", "v", 2), "s", 3, 8, 8)
+
+
+@query(LAYERS + VOTES + ", g as (select l.s, l.v, l.r, l.c, w.s is not null hit from l left join w on l.s = w.s and l.r = w.r and l.c = w.c) select s, v, r, c from (select *, bool_or(hit) over (partition by s, v) any_hit from g) where hit or not any_hit")
+def r09_vote_gate(t):
+    rows = layers(t).withColumn("comp", F.col("v"))
+    return regions.vote_gate(rows, "s", "comp", regions.voted(rows, "s", "v", 2)).select("s", "v", "r", "c")
+
+
+@query(LAYERS + " select s, r, c from l where v = 0 and not exists (from l o where o.v = 1 and o.s = l.s and o.r = l.r and o.c = l.c)")
+def r11_outside(t):
+    rows = layers(t)
+    return regions.outside(rows.where("v = 0"), rows.where("v = 1"), "s").select("s", "r", "c")
+
+
+@query(CELLS + ", k as (select vec_id, min(r) r1, min(c) c1, max(r) + 1 r2, max(c) + 1 c2 from cells where p > 0.3 group by 1) select vec_id, coalesce(r1, 0) r1, coalesce(c1, 0) c1, coalesce(r2, 8) r2, coalesce(c2, 8) c2 from embeddings left join k using (vec_id)")
+def r15_bounding_boxes(t):
+    cells = regions.grid(t.embeddings, "vec_id", "embedding", 8)
+    return regions.bounding_boxes(t.embeddings, cells.where("p > 0.3"), "vec_id", 8, 8)
+
+
+@query(CELLS + " select vec_id, cast(y as int) r, cast(x as int) c, p from cells, range(5) a(y), range(12) b(x) where r = y * 8 // 5 and c = x * 8 // 12")
+def r16_resampled(t):
+    return regions.resampled(regions.grid(t.embeddings, "vec_id", "embedding", 8), "vec_id", (8, 8), (5, 12))
+
+
+@query("with d as (select l_orderkey, list(round(l_extendedprice / 7, 4) order by l_linenumber, l_extendedprice) x from lineitem group by 1) select l_orderkey, x[1] first, round(list_sum(x), 2) total from d")
+def r18_rounded(t):
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_extendedprice") / 7).alias("x")))).alias("parts"))
+    out = regions.rounded(rows)
+    return out.select("l_orderkey", F.get("parts", 0)["x"].alias("first"), F.round(F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["x"]), 2).alias("total"))
+
+
+@query("select l_orderkey, count(*) regions, case count(*) when 1 then 1 when 2 then 3 else 1 + count(*) + count(*) * (count(*) - 1) / 2 end as actions, round(sum(l_quantity), 4) area from lineitem group by 1")
+def r17_sample_dump(t):
+    own = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    parts = t.lineitem.select("l_orderkey", own.alias("comp"), F.col("l_quantity").alias("area"))
+    dump = regions.sample_dump(parts, regions.removal_actions(parts, "l_orderkey", "comp"), "l_orderkey")
+    area = F.aggregate("regions", F.lit(0.0), lambda a, x: a + x["area"])
+    return dump.select("l_orderkey", F.size("regions").cast("long").alias("regions"), F.size("actions").cast("double").alias("actions"), F.round(area, 4).alias("area"))
