@@ -25,6 +25,7 @@ TO_LOWER[65:91] += 32
 #: An odd multiplier, and its inverse modulo 2**64, of the rolling word hash.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text bytes that a Python worker takes at a time; each byte costs some dozens in passing arrays.
 SLICE_BYTES = 512 << 10
 
@@ -40,6 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to 4 MB where it names no size: a Python worker and the JVM beside it each hold a batch,
+    and rows of whole texts fill the default of 64 MB."""
+    spark.conf.set(BATCHES, "4m" if spark.conf.get(BATCHES) == "67108864b" else spark.conf.get(BATCHES))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, so that no lost executor can change what later steps read."""
     shared_dir(df.sparkSession)
