@@ -216,8 +216,8 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     2. n-grams held by one class alone can't link anything; a class with more of them than it may miss is out. What is
        left is the incidence's lists of classes by n-gram, cut to the prefixes at which linked classes must meet.
     3. Star rounds: in each list that still spans components, one class meets the members of other components: first the one with
-       the fewest n-grams of its own, as the text has that near copies were made from, then one by hash. Pairs are
-       counted, bounded and verified; links join components. A list whose members have come together is done, so a
+       the fewest n-grams of its own, as the text has that near copies were made from, then in each list one of its own by
+       hash. A round makes at most one pair for each member of a list; pairs are bounded and verified, and links join components. A list whose members have come together is done, so a
        large family of near copies costs a multiple of its size and not its square.
     4. All pairs of different components in the lists that are left meet in blocks of BLOCK members, so that no link is
        missed.
@@ -256,7 +256,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     links = None
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
-        lead = F.min(F.struct("own" if round_ % 2 == 0 else F.xxhash64("cid").alias("own"), "cid", "component", "n", "r"))
+        lead = F.min(F.struct("own" if round_ == 0 else F.xxhash64(F.lit(round_), "cid", "g").alias("own"), "cid", "component", "n", "r"))
         members = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"m{seed}") for seed in (1, 2)]
         spans = now.groupBy("g").agg(lead.alias("lead"), F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("size"), *members).where("first < last")
         # Lists with the same members ask the same; one of them is enough.
@@ -270,7 +270,8 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         if near.limit(1).count():
             new = verified(near, classes, docs, k, percent)
             links = new if links is None else links.union(new)
-            parted = connected(links)
+            # Before the last round, components that aren't joined yet only cost work.
+            parted = connected(links, 2 if round_ < stars else None)
             part_of = durable(part_of.join(parted.withColumnRenamed("component", "c").withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("c", "component").alias("component")))
     # A component goes by the smallest document of its classes.
     named = classes.join(part_of, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
