@@ -199,24 +199,22 @@ def hash_runs(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(total)
 
 
-def connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, component) of every node in `edges` (columns a, b): the smallest node reachable, or after so many `rounds` a
-    reachable one.
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node in `edges` (columns a, b): the smallest node reachable.
 
     Labels spread over edges and then along labels (node -> label -> label of label), so chains halve in each round;
     each round is a durable table. Work per round is in proportion to the edges.
     """
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while rounds is None or rounds > 0:
-        rounds = None if rounds is None else rounds - 1
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
         step = step.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("far", "next")).alias("next"))
         step = durable(step)
         labels = step.select("node", F.col("next").alias("component"))
-        if rounds is None and not step.where("next < component").limit(1).count():
+        if not step.where("next < component").limit(1).count():
             break
     return labels
 

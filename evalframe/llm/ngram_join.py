@@ -253,7 +253,6 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     sketches = sketches.select("cid", "n", "sketch")
 
     part_of = durable(lists.select("cid").distinct().withColumn("component", F.col("cid")))
-    links = None
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
         lead = F.min(F.struct("own" if round_ == 0 else F.xxhash64(F.lit(round_), "cid", "g").alias("own"), "cid", "component", "n", "r"))
@@ -268,11 +267,11 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         else:
             near = durable(block_pairs(open_, sketches, percent).distinct())
         if near.limit(1).count():
-            new = verified(near, classes, docs, k, percent)
-            links = new if links is None else links.union(new)
-            # Before the last round, components that aren't joined yet only cost work.
-            parted = connected(links, 2 if round_ < stars else None)
-            part_of = durable(part_of.join(parted.withColumnRenamed("component", "c").withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("c", "component").alias("component")))
+            links = verified(near, classes, docs, k, percent)
+            # Components take the place of their classes, so many links between two of them count as one.
+            crossing = links.join(part_of.toDF("a", "x"), "a").join(part_of.toDF("b", "y"), "b").selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
+            parted = connected(crossing).select(F.col("node").alias("component"), F.col("component").alias("c"))
+            part_of = durable(part_of.join(parted, "component", "left").select("cid", F.coalesce("c", "component").alias("component")))
     # A component goes by the smallest document of its classes.
     named = classes.join(part_of, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -316,10 +315,16 @@ def block_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFram
                 a, b = np.nonzero(keep)
                 if len(a):
                     near = differences(sketched[lo:hi].to_pylist(), a, b) * (100 + percent) <= (100 - percent) * (n_[a] + n_[b])
-                    left.append(c_[a[near]])
-                    right.append(c_[b[near]])
+                    if near.any():
+                        left.append(c_[a[near]])
+                        right.append(c_[b[near]])
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                # Pairs that several lists of the batch make leave it once.
+                a, b = np.concatenate(left), np.concatenate(right)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
