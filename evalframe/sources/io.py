@@ -48,11 +48,80 @@ def explode_nested(spark: SparkSession, path: str, schema: str, field: str) -> D
     return rows.select(*[c for c in rows.columns if c != field], F.explode(field).alias("item")).select(*[c for c in rows.columns if c != field], "item.*")
 
 
+def read_json_list(spark: SparkSession, path: str, schema: str, source: Column | None = None) -> DataFrame:
+    """A file that holds one JSON list, as rows of the given columns and types; `source` keeps the elements of one source only.
+    Elements that don't fit a column's type have null there."""
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    return rows if source is None else rows.where(source)
+
+
+def first_results(spark: SparkSession, root: str, schema: str, glob: str = "*results.json") -> DataFrame:
+    """The content of one result file anywhere under a folder: of the files that match, the one whose path comes first."""
+    rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(root)
+    rows = rows.withColumn("file_path", F.col("_metadata.file_path"))
+    return rows.join(rows.agg(F.min("file_path").alias("file_path")), "file_path", "left_semi")
+
+
+def read_board(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A leaderboard written by `write_board`; columns are told by the header, in any order."""
+    return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").option("escape", '"').csv(path)
+
+
 def write_jsonl(df: DataFrame, path: str, keep: Sequence[str], mode: str = "error") -> None:
     """The listed columns that exist; null fields stay out of each line."""
     df.select(*[c for c in keep if c in df.columns]).write.mode(mode).option("ignoreNullFields", "true").json(path)
 
 
+def append_records(df: DataFrame, path: str) -> str | None:
+    """Adds rows as JSON lines to a log. A log that can't be written must not end the run that it tells of: the error's text comes
+    back in place of an exception, None if all went well."""
+    try:
+        df.write.mode("append").option("ignoreNullFields", "false").json(path)
+    except Exception as e:  # noqa: BLE001
+        return str(e).splitlines()[0]
+    return None
+
+
+def results_table(metrics: DataFrame, samples: DataFrame, task: str, key: str) -> DataFrame:
+    """(task, metric, value, stderr, n, task_hash) of long metrics (task, metric, value, stderr). A task's hash covers the keys and
+    rows of its samples in any order, so equal samples have equal hashes wherever they ran."""
+    rows = samples.select(F.col(task).alias("task"), F.sha2(F.to_json(F.struct(key, *sorted(c for c in samples.columns if c not in (task, key)))), 256).alias("row"))
+    halves = [F.sum(F.conv(F.substring("row", at, 12), 16, 10).cast("decimal(20,0)")).alias(f"part{at}") for at in (1, 13, 25, 37)]
+    hashed = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), *halves)
+    hashed = hashed.select("task", "n", F.sha2(F.concat_ws("|", "n", "part1", "part13", "part25", "part37"), 256).alias("task_hash"))
+    return metrics.select("task", "metric", "value", "stderr").join(hashed, "task", "left").select("task", "metric", "value", "stderr", "n", "task_hash")
+
+
+def write_results(table: DataFrame, path: str, config: dict[str, str]) -> None:
+    """The table of results as Parquet, and as JSON with a task's metrics in one map beside the run's configuration."""
+    table.write.parquet(f"{path}/table")
+    told = F.create_map(*[F.lit(x) for pair in sorted(config.items()) for x in pair]) if config else F.lit(None).cast("map<string,string>")
+    metrics = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
+    table.groupBy("task", "n", "task_hash").agg(metrics.alias("results")).withColumn("config", told).write.json(f"{path}/results")
+
+
+def summary(df: DataFrame, kept: Column, by: Sequence[str], score: str, cuts: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """One row that tells what a selection did: rows in and kept, quantiles and the lowest score of the kept, and for each column
+    of `by` a map from its values to how many rows were kept. An empty table gives counts of 0 and empty maps."""
+    rows = df.withColumn("__kept", F.coalesce(kept, F.lit(False)))
+    chosen = F.when(F.col("__kept"), F.col(score))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("__kept").alias("kept"), F.min(chosen).alias("cut_off"), F.percentile(chosen, F.array(*[F.lit(c) for c in cuts])).alias("quantiles"))
+    for column in by:
+        counts = rows.where("__kept").groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("k")).agg(F.count(F.lit(1)).alias("v"))
+        out = out.crossJoin(counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(f"by_{column}")))
+    return out
+
+
+def write_submission(df: DataFrame, path: str, key: str, answer: str) -> None:
+    """(question_id, answer) lines as a judging server takes them; a null answer is an empty one."""
+    df.select(F.col(key).alias("question_id"), F.coalesce(F.col(answer).cast("string"), F.lit("")).alias("answer")).write.json(path)
+
+
+def write_board(df: DataFrame, path: str) -> None:
+    """A leaderboard as CSV with a header; quotes inside values are doubled."""
+    df.write.option("header", "true").option("escape", '"').csv(path)
+
+
 def write_typed(df: DataFrame, path: str, schema: object) -> None:
     """Columns, order and types of a fixed schema."""
     df.to(schema).write.parquet(path)

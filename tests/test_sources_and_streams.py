@@ -36,6 +36,52 @@ def test_sinks(spark, tmp_path):
     assert made == [1, 1]
 
 
+def test_lists_and_result_files(spark, tmp_path):
+    (tmp_path / "list.json").write_text(json.dumps([{"id": 1, "source": "a", "n": 2}, {"id": 2, "source": "b"}, {"id": "x", "source": "a", "n": 3}]))
+    rows = io.read_json_list(spark, f"{tmp_path}/list.json", "id long, source string, n int", F.col("source") == "a")
+    assert sorted(rows.collect(), key=str) == [(1, "a", 2), (None, "a", 3)]
+    for folder, value in (("b", 2), ("a/deep", 1)):
+        (tmp_path / "runs" / folder).mkdir(parents=True)
+        (tmp_path / "runs" / folder / "x_results.json").write_text(json.dumps({"value": value}))
+    assert [r.value for r in io.first_results(spark, f"{tmp_path}/runs", "value int").collect()] == [1]
+
+
+def test_records_never_raise(spark, tmp_path):
+    df = spark.createDataFrame([(1, None)], "id long, x string")
+    assert io.append_records(df, f"{tmp_path}/log") is None and io.append_records(df, f"{tmp_path}/log") is None
+    assert spark.read.json(f"{tmp_path}/log").count() == 2
+    (tmp_path / "file").write_text("")
+    assert io.append_records(df, f"{tmp_path}/file/log")
+
+
+def test_results_and_summary(spark, tmp_path):
+    samples = spark.createDataFrame([("t", 1, "a"), ("t", 2, None), ("u", 1, "b")], "task string, doc_id long, resp string")
+    metrics = spark.createDataFrame([("t", "acc", 0.5, 0.1), ("t", "f1", 0.25, None), ("v", "acc", 1.0, None)], "task string, metric string, value double, stderr double")
+    table = io.results_table(metrics, samples, "task", "doc_id")
+    got = {(r.task, r.metric): r for r in table.collect()}
+    assert got["t", "acc"].n == 2 and got["t", "acc"].task_hash == got["t", "f1"].task_hash and got["v", "acc"].task_hash is None
+    again = io.results_table(metrics, samples.repartition(3).orderBy(F.desc("doc_id")), "task", "doc_id")
+    assert {r.task_hash for r in again.collect()} == {r.task_hash for r in got.values()}
+    other = io.results_table(metrics, samples.where("doc_id = 1"), "task", "doc_id").where("task = 't'").first()
+    assert other.task_hash != got["t", "acc"].task_hash
+    io.write_results(table, f"{tmp_path}/results", {"model": "m"})
+    told = {r.task: r for r in spark.read.json(f"{tmp_path}/results/results").collect()}
+    assert told["t"].results.acc == 0.5 and told["t"].results.f1 == 0.25 and told["t"].config.model == "m"
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "a"), (2.0, None), (None, "b")], "score double, kind string")
+    one = io.summary(df, F.col("score") > 1, ["kind"], "score", [0.5]).first()
+    assert (one.n, one.kept, one.cut_off, one.quantiles, one.by_kind) == (4, 2, 2.0, [2.5], {"a": 1, "null": 1})
+    none = io.summary(df.limit(0), F.col("score") > 1, ["kind"], "score").first()
+    assert (none.n, none.kept, none.cut_off, none.by_kind) == (0, 0, None, {})
+
+
+def test_submissions_and_boards(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'say "a", b'), (2, None)], "id long, said string")
+    io.write_submission(df, f"{tmp_path}/sub", "id", "said")
+    assert {tuple(r) for r in spark.read.schema("question_id long, answer string").json(f"{tmp_path}/sub").collect()} == {(1, 'say "a", b'), (2, "")}
+    io.write_board(df, f"{tmp_path}/board")
+    assert {tuple(r) for r in io.read_board(spark, f"{tmp_path}/board", "id long, said string").collect()} == {tuple(r) for r in df.collect()}
+
+
 def test_streams_match_batches(spark, tmp_path):
     events = spark.read.parquet(EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.json(f"{tmp_path}/in")
