@@ -20,6 +20,8 @@ SMALL, SHARE = 64, 0.4
 LIMIT = np.uint64(int(SHARE * 2**64))
 #: Members of one n-gram's list that make up one side of a block of the product.
 BLOCK = 512
+#: Lists that a member of a block names, first by rank, of those in which it met others before.
+BEFORE = 16
 #: N-grams of one block of columns when their holders are counted.
 COLUMNS = 500_000
 
@@ -71,6 +73,25 @@ def differences(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarr
     return out
 
 
+def met_before(before: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of row numbers, whether its lists of numbers have one in common."""
+    values = before.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(before)), np.diff(before.offsets.to_numpy()))
+    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    at = shared[number]
+    columns = int(shared.sum())
+    out = np.zeros(len(a), bool)
+    if columns and len(a):
+        marks = np.zeros((len(before), columns), bool)
+        marks[row[at], (np.cumsum(shared) - 1)[number[at]]] = True
+        packed = np.packbits(marks, axis=1)
+        step = max(1, 2_000_000 // packed.shape[1])
+        for k in range(0, len(a), step):
+            out[k : k + step] = (packed[a[k : k + step]] & packed[b[k : k + step]]).any(axis=1)
+    return out
+
+
 FEATURES = "rid long, doc_id long, n long, s1 long, s2 long, stored int, grams binary, sketch binary"
 
 
@@ -257,9 +278,9 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         now = lists.join(part_of, "cid")
         lead = F.min(F.struct("own" if round_ == 0 else F.xxhash64(F.lit(round_), "cid", "g").alias("own"), "cid", "component", "n", "r"))
         members = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"m{seed}") for seed in (1, 2)]
-        spans = now.groupBy("g").agg(lead.alias("lead"), F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("size"), *members).where("first < last")
-        # Lists with the same members ask the same; one of them is enough.
-        spans = spans.groupBy("size", "m1", "m2").agg(F.min(F.struct("g", "lead")).alias("one")).select("size", "one.*")
+        spans = now.groupBy("g").agg(lead.alias("lead"), F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("size"), F.min("r").alias("rank"), *members).where("first < last")
+        # Lists with the same members ask the same; the first of them by rank is enough, for bounds hold where two sets meet first.
+        spans = spans.groupBy("size", "m1", "m2").agg(F.min(F.struct("rank", "g", "lead")).alias("one")).select("size", "one.g", "one.lead")
         open_ = now.join(spans, "g")
         if round_ < stars:
             pairs = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b", "n as a_n", "lead.n as b_n", "r as a_r", "lead.r as b_r").where(can_link(percent))
@@ -292,9 +313,12 @@ def inside_counts(indexed: DataFrame) -> DataFrame:
 def block_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in the lists that can still link. Members of a list are dealt into chunks of about
     BLOCK and each two chunks of it meet in one block, so no list makes a large group. A block compares ranks and sizes,
-    then sketches, and pairs below the bounds don't leave it."""
-    dealt = open_.join(sketches.select("cid", "sketch"), "cid").selectExpr("g", "cid", "n", "r", "component", "sketch", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
-    sent = dealt.selectExpr("g", "struct(own, cid, component, n, r, sketch) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
+    then sketches, and pairs below the bounds don't leave it. Neither do pairs that meet in an earlier list, as far as
+    the first BEFORE lists of both tell; the list in which two classes meet first by rank always hands them on."""
+    firsts = open_.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("r", "g"))), 1, BEFORE).alias("firsts"))
+    told = open_.join(sketches.select("cid", "sketch").join(firsts, "cid"), "cid").withColumn("before", F.expr("transform(filter(firsts, x -> x.r < r), x -> x.g)"))
+    dealt = told.selectExpr("g", "cid", "n", "r", "component", "sketch", "before", f"cast(ceil(size / {BLOCK}) as int) as chunks", f"cast(pmod(xxhash64(cid, g), ceil(size / {BLOCK})) as int) as own")
+    sent = dealt.selectExpr("g", "struct(own, cid, component, n, r, sketch, before) as m", "explode(sequence(0, chunks - 1)) as other").selectExpr("g", "least(m.own, other) as i", "greatest(m.own, other) as j", "m")
     met = sent.groupBy("g", "i", "j").agg(F.collect_list("m").alias("ms")).select("i", "j", "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +326,7 @@ def block_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFram
             lists = batch.column("ms")
             ends = lists.offsets.to_numpy()
             own, cid, component, n, r = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("own", "cid", "component", "n", "r"))
-            sketched = lists.values.field("sketch")
+            sketched, before = lists.values.field("sketch"), lists.values.field("before")
             crossing = (batch.column("i").to_numpy() != batch.column("j").to_numpy()).tolist()
             left, right = [], []
             for lo, hi, two in zip(ends[:-1].tolist(), ends[1:].tolist(), crossing, strict=True):
@@ -315,15 +339,17 @@ def block_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFram
                 a, b = np.nonzero(keep)
                 if len(a):
                     near = differences(sketched[lo:hi].to_pylist(), a, b) * (100 + percent) <= (100 - percent) * (n_[a] + n_[b])
-                    if near.any():
-                        left.append(c_[a[near]])
-                        right.append(c_[b[near]])
+                    a, b = a[near], b[near]
+                    new = ~met_before(before[lo:hi], a, b)
+                    left.append(c_[a[new]])
+                    right.append(c_[b[new]])
             if left:
                 # Pairs that several lists of the batch make leave it once.
                 a, b = np.concatenate(left), np.concatenate(right)
                 order = np.lexsort((b, a))
                 a, b = a[order], b[order]
-                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                first = np.ones(len(a), bool)
+                first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")

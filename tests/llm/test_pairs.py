@@ -64,6 +64,23 @@ def test_components(docs_of, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("stars", [0, 1])
+def test_blocks_alone(docs_of, stars, monkeypatch):
+    """Chunks of a list and repeated meetings lose no pair, on short sets too, where few ranks pass the bounds."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BEFORE", 2)
+    rng = random.Random(4)
+    rows = []
+    for size in (8, 9, 12, 14, 14, 16, 20, 60, 200):
+        base = text(rng, size)
+        rows += [edited(rng, base, rng.randrange(0, 2 + size // 40)) for _ in range(12)]
+        rows += [base[: rng.randrange(size - 2, size + 1)] + text(rng, rng.randrange(0, 2)) for _ in range(12)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    signed, named = ngram_join.similar_classes(docs_of(rows), stars=stars)
+    got = {r.doc_id: r.component_id for r in signed.join(named, ["s1", "s2", "n"]).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows)}
+
+
 def test_no_rows(docs_of):
     assert ngram_join.components(docs_of([])).count() == 0
     assert ngram_join.components(docs_of([(1, None), (2, "")])).count() == 2
