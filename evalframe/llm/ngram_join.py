@@ -19,9 +19,9 @@ from evalframe.llm.common import TO_LOWER, connected, discard, durable, hash_run
 SMALL, SHARE = 64, 0.4
 LIMIT = np.uint64(int(SHARE * 2**64))
 #: Members of one n-gram's list that make up one side of a block of the product.
-BLOCK = 512
+BLOCK = 1024
 #: Lists that a member of a block names, first by rank, of those in which it met others before.
-BEFORE = 16
+BEFORE = 8
 #: N-grams of one block of columns when their holders are counted.
 COLUMNS = 500_000
 
