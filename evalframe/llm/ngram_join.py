@@ -274,6 +274,9 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     sketches = sketches.select("cid", "n", "sketch")
 
     part_of = durable(lists.select("cid").distinct().withColumn("component", F.col("cid")))
+    # Texts of the classes that can still link move here once, so that no round moves those of all documents.
+    reps = lists.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("rep").distinct()
+    texts = written(docs.select(F.col("doc_id").cast("long"), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), "texts")
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
         lead = F.min(F.struct("own" if round_ == 0 else F.xxhash64(F.lit(round_), "cid", "g").alias("own"), "cid", "component", "n", "r"))
@@ -288,11 +291,12 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         else:
             near = durable(block_pairs(open_, sketches, percent).distinct())
         if near.limit(1).count():
-            links = verified(near, classes, docs, k, percent)
+            links = verified(near, classes, texts, k, percent)
             # Components take the place of their classes, so many links between two of them count as one.
             crossing = links.join(part_of.toDF("a", "x"), "a").join(part_of.toDF("b", "y"), "b").selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
             parted = connected(crossing).select(F.col("node").alias("component"), F.col("component").alias("c"))
             part_of = durable(part_of.join(parted, "component", "left").select("cid", F.coalesce("c", "component").alias("component")))
+    discard(texts)
     # A component goes by the smallest document of its classes.
     named = classes.join(part_of, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
