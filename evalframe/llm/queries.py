@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import language, lattice, line_dedup, media, mixing, neighbours, ngram_join, packing, sharding, substring_dedup
+from evalframe.llm import language, lattice, line_dedup, media, merkle, mixing, neighbours, ngram_join, packing, sharding, substring_dedup
 from evalframe.llm.common import small_batches
 
 
@@ -90,6 +90,11 @@ def op9_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and folded roots of all documents."""
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 with lines as (select doc_id, string_split(text, chr(10)) l from documents),
 pos as (select doc_id, l, unnest(range(1, len(l) - 1)) i from lines where len(l) >= 3),
@@ -125,6 +130,37 @@ select t.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(len(gone), 0) as
 from t left join g on t.doc_id = g.doc_id
 """
 
+def _field(c: str) -> str:
+    return f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+# Each document's path follows the levels of its source's tree and then those of the tree over sources, numbered on.
+OP11_SQL = f"""
+with recursive l as (select doc_id, coalesce('=' || source, '') tree, {_LEAF.format(_field("text"))} leaf, {_LEAF.format(_field("replace(text, chr(10), '')"))} other from documents),
+crc as (select d.doc_id, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, strlen(cast(d.doc_id as varchar)) + 1), lambda i: cast(ascii(cast(d.doc_id as varchar)[i]) as bigint))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x // 2, (x % 2) * 3988292384))) % 2 = 1 as even from (select distinct doc_id from documents where doc_id is not null) d),
+p as (select l.*, coalesce(even, false) even, row_number() over (partition by tree order by l.doc_id nulls first, leaf) - 1 pos from l left join crc on l.doc_id = crc.doc_id),
+t as (select tree, 0 lev, pos, leaf h from p
+  union all select tree, lev + 1, pos // 3, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over (partition by tree) n from t) where n > 1 group by tree, lev, pos // 3),
+tops as (select tree, max(lev) height, max_by(h, lev) subroot from t group by tree),
+u as (select 0 lev, row_number() over (order by tree) - 1 pos, subroot h from tops
+  union all select lev + 1, pos // 3, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over () n from u) where n > 1 group by lev, pos // 3),
+top as (select max(lev) height, max_by(h, lev) root from u),
+place as (select tree, height, subroot, row_number() over (order by tree) - 1 spot from tops),
+own as (select row_number() over () id, p.*, height, subroot, spot from p join place using (tree)),
+beside as (select id, lev, string_agg(h, '' order by t.pos) filter (t.pos < own.pos // cast(3 ** lev as bigint)) a, string_agg(h, '' order by t.pos) filter (t.pos > own.pos // cast(3 ** lev as bigint)) b
+  from own join t on own.tree = t.tree and lev < height and t.pos // 3 = own.pos // cast(3 ** (lev + 1) as bigint) group by id, lev
+  union all select id, own.height + lev, string_agg(h, '' order by u.pos) filter (u.pos < spot // cast(3 ** lev as bigint)), string_agg(h, '' order by u.pos) filter (u.pos > spot // cast(3 ** lev as bigint))
+  from own join u on lev < (select height from top) and u.pos // 3 = spot // cast(3 ** (lev + 1) as bigint) group by id, own.height, lev),
+f as (select id, 0 lev, case when even then other else leaf end h from own
+  union all select f.id, f.lev + 1, sha256(coalesce(a, '') || f.h || coalesce(b, '')) from f join beside on f.id = beside.id and f.lev = beside.lev),
+g as (select id, max_by(h, lev) folded_root from f group by id),
+q as (select id, sha256(string_agg(coalesce(a, '') || coalesce(b, ''), '' order by lev)) proof from beside group by id)
+select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) proof_sha256, folded_root, folded_root = root verified
+from own cross join top join g on own.id = g.id left join q on own.id = q.id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_ngram_join": op2_ngram_join,
@@ -136,5 +172,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_block_neighbours": op9_block_neighbours,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_block_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_block_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
