@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that part two words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -82,6 +82,23 @@ def discard(table: DataFrame) -> None:
         remove(table.sparkSession, folder)
 
 
+def ranked(rows: DataFrame, tree: str, keys: list[str]) -> DataFrame:
+    """Adds pos, a row's place from 0 in its tree by `keys` (nulls first), and size, its tree's rows.
+
+    Rows are range-partitioned and sorted over all trees, made durable, and counted by partition and tree, so a tree
+    of any size is spread over partitions. Only these counts are summed up.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = durable(rows.repartitionByRange(parts, tree, *keys).sortWithinPartitions(tree, *keys).withColumn("__at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("__part", F.shiftright("__at", 33))
+    counts = ordered.groupBy("__part", tree).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    # One row for each partition and tree that meet.
+    each = Window.partitionBy(tree)
+    starts = counts.select("__part", tree, "__first", (F.sum("__n").over(each.orderBy("__part")) - F.col("__n")).alias("__start"), F.sum("__n").over(each).alias("size"))
+    placed = ordered.join(starts, ["__part", tree])
+    return placed.withColumn("pos", F.col("__start") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__start")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -163,10 +180,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each word; no word crosses from one text into the next."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word; no word crosses from one text into the next. `blank` marks the bytes between words."""
     n = len(data)
-    inside = ~IS_SPACE[data]
+    inside = ~blank[data]
     edges = offsets[(offsets > 0) & (offsets < n)]
     before = np.zeros(n, dtype=bool)
     before[1:] = inside[:-1]

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import durable, written
+from evalframe.llm.common import durable, ranked, written
 
 ARITY = 3
 #: Height of a block: it spans up to ARITY**HEIGHT nodes of the level that it stands on.
@@ -85,23 +85,6 @@ def folded(digest: bytes, path: list[tuple[str, str]]) -> str:
     return digest.hex()
 
 
-def ranked(rows: DataFrame, tree: str, keys: list[str]) -> DataFrame:
-    """Adds pos, a row's place from 0 in its tree by `keys` (nulls first), and size, its tree's rows.
-
-    Rows are range-partitioned and sorted over all trees, made durable, and counted by partition and tree, so a tree
-    of any size is spread over partitions. Only these counts are summed up.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = durable(rows.repartitionByRange(parts, tree, *keys).sortWithinPartitions(tree, *keys).withColumn("__at", F.monotonically_increasing_id()))
-    ordered = ordered.withColumn("__part", F.shiftright("__at", 33))
-    counts = ordered.groupBy("__part", tree).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    # One row for each partition and tree that meet.
-    each = Window.partitionBy(tree)
-    starts = counts.select("__part", tree, "__first", (F.sum("__n").over(each.orderBy("__part")) - F.col("__n")).alias("__start"), F.sum("__n").over(each).alias("size"))
-    placed = ordered.join(starts, ["__part", tree])
-    return placed.withColumn("pos", F.col("__start") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__start")
-
-
 def grown(leaves: DataFrame, name: str) -> list[DataFrame]:
     """The blocks of all trees, one table for each level of blocks, the lowest first: tree, block, size (nodes of the tree at the
     level that the block stands on), height, nodes, and members (the lowest level's rows without tree, pos and size).

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import language, lattice, line_dedup, media, merkle, mixing, neighbours, ngram_join, packing, sharding, substring_dedup
+from evalframe.llm import collocations, language, lattice, line_dedup, media, merkle, mixing, neighbours, ngram_join, packing, sharding, substring_dedup
 from evalframe.llm.common import small_batches
 
 
@@ -95,6 +95,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of all documents."""
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 with lines as (select doc_id, string_split(text, chr(10)) l from documents),
 pos as (select doc_id, l, unnest(range(1, len(l) - 1)) i from lines where len(l) >= 3),
@@ -161,6 +166,24 @@ select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) proof_sha256, fo
 from own cross join top join g on own.id = g.id left join q on own.id = q.id
 """
 
+OP12_SQL = r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) t from d),
+w as (select lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') ws from p),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) g from w, (values (1), (2), (3)) v(k) where len(ws) >= k),
+f as (select lang, k, g, count(*) f from g group by all),
+n as (select lang, sum(f) n from f where k = 1 group by 1),
+c as (select * from f where k > 1 and f >= 10),
+held as (select lang, g[1:2] g, max(f) f from c where k = 3 group by all union all select lang, g[2:3], max(f) from c where k = 3 group by all),
+kept as (select * from c where not exists (from held where held.lang = c.lang and held.g = c.g and 100 * held.f >= 50 * c.f)),
+cut as (select c.lang, c.g, cut, c.f a, x.f l, y.f r, (cast(1000000 as hugeint) * c.f * c.f) // (cast(x.f as hugeint) * y.f) score
+  from kept c, (values (1), (2)) v(cut), f x, f y where cut < c.k and x.lang = c.lang and x.g = c.g[1:cut] and y.lang = c.lang and y.g = c.g[cut + 1:]),
+best as (select * from cut qualify row_number() over (partition by lang, g order by score, cut) = 1),
+named as (select lang, array_to_string(g, ' ') phrase, a, l, r, score from best)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a, l, r, cast(n as bigint) n, cast(score as bigint) score
+from named join n using (lang) qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_ngram_join": op2_ngram_join,
@@ -173,5 +196,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_block_neighbours": op9_block_neighbours,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_phrase_filters": op12_phrase_filters,
 }
-ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_block_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_block_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_phrase_filters": OP12_SQL}
