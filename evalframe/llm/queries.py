@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import collocations, language, lattice, line_dedup, media, merkle, mixing, neighbours, ngram_join, packing, sharding, substring_dedup
+from evalframe.llm import collocations, language, lattice, line_dedup, media, merkle, minhash, mixing, neighbours, ngram_join, packing, sharding, substring_dedup
 from evalframe.llm.common import small_batches
 
 
@@ -100,6 +100,11 @@ def op12_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by four-word shingles at a Jaccard similarity of 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 with lines as (select doc_id, string_split(text, chr(10)) l from documents),
 pos as (select doc_id, l, unnest(range(1, len(l) - 1)) i from lines where len(l) >= 3),
@@ -197,5 +202,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_phrase_filters": op12_phrase_filters,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_block_neighbours": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_phrase_filters": OP12_SQL}
