@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.common import discard, durable, mix, restored, slices, squeezed, written
-from evalframe.llm.ngram_join import shingle_sets, with_rows
+from evalframe.llm.ngram_join import differences, shingle_sets, sketch, with_rows
 
 #: Bands and minima in each: two sets of similarity 0.8 miss each other in all bands in 5 of 10**9 cases.
 BANDS, ROWS = 48, 5
 #: Chance that the signatures of two sets at the bound agree in fewer places than `agreeing` asks for.
 MISSED = 1e-9
 #: Members of a bucket that make up one side of a block.
-BLOCK = 512
+BLOCK = 4096
 _seeds = np.random.default_rng(20260713)
 #: Universal hashing of 64-bit numbers: x -> a * x + b modulo 2**64, a odd.
 A = _seeds.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,11 +47,12 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-FEATURES = "doc_id long, version long, n long, s1 long, s2 long, signature binary"
+FEATURES = "doc_id long, version long, n long, s1 long, s2 long, signature binary, sketch binary"
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """Each row's id and a hash of its text, the size of its set, a 128-bit digest of the set and its signature (null if empty)."""
+    """Each row's id and a hash of its text, the size of its set, a 128-bit digest of the set, and its signature and parities (null if
+    empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +63,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 s2 = np.array([int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).astype(np.int64)
                 found = iter(minima([s for s in sets if len(s)]))
                 signatures = [next(found).tobytes() if m else None for m in n.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(n), pa.array(s1), pa.array(s2), pa.array(signatures, pa.binary())], ["doc_id", "version", "n", "s1", "s2", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(n), pa.array(s1), pa.array(s2), pa.array(signatures, pa.binary()), pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())], ["doc_id", "version", "n", "s1", "s2", "signature", "sketch"])
 
     return versioned(docs).mapInArrow(run, FEATURES)
 
@@ -71,19 +72,25 @@ def versioned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
 
+def band_keys(signatures: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each band's number and digests, for each signature."""
+    weights = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    s = np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return mix((mix(s + np.uint64(1)) * weights).sum(axis=2) + mix(np.arange(BANDS, dtype=np.uint64)))
+
+
 def banded(classes: DataFrame) -> DataFrame:
-    """(bucket, cid) of every class and band: a bucket is a 64-bit hash of the band's number and its digests."""
+    """(bucket, band, cid) of every class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             cid = batch.column("cid").to_numpy()
             for at in range(0, batch.num_rows, 2000):
-                s = np.frombuffer(b"".join(batch.column("signature").slice(at, 2000).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                bucket = mix((mix(s + np.uint64(1)) * weights).sum(axis=2) + mix(np.arange(BANDS, dtype=np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array(np.repeat(cid[at : at + 2000], BANDS))], ["bucket", "cid"])
+                bucket = band_keys(batch.column("signature").slice(at, 2000).to_pylist())
+                bands = np.tile(np.arange(BANDS, dtype=np.int32), len(bucket))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array(bands), pa.array(np.repeat(cid[at : at + 2000], BANDS))], ["bucket", "band", "cid"])
 
-    return classes.select("cid", "signature").mapInArrow(run, "bucket long, cid long")
+    return classes.select("cid", "signature").mapInArrow(run, "bucket long, band int, cid long")
 
 
 def can_link(percent: int) -> str:
@@ -106,39 +113,46 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components whose signatures agree in enough places, from buckets that hold several components.
+    """Pairs (a, b) of different components, from buckets that hold several, whose signatures agree in enough places and whose parities
+    don't show that they differ too much.
 
     A bucket's members are dealt into chunks of about BLOCK, and each two chunks meet in one block, so no bucket makes a large
-    group. A pair leaves the first band in which its signatures agree, and no other.
+    group. In a block, those outside its commonest component meet the rest. A pair leaves the first band in which its
+    signatures agree, and no other.
     """
     least = agreeing(percent)
-    told = open_.join(classes.select("cid", "n", "signature"), "cid").withColumn("chunks", F.expr(f"int(ceil(size / {BLOCK}))"))
-    dealt = told.withColumn("own", F.expr("int(pmod(xxhash64(cid, bucket), chunks))")).selectExpr("bucket", "struct(own, cid, component, n, signature) as m", "explode(sequence(0, chunks - 1)) as other")
-    met = dealt.groupBy("bucket", F.expr("least(m.own, other)").alias("i"), F.expr("greatest(m.own, other)").alias("j")).agg(F.collect_list("m").alias("ms")).select("bucket", "i", "j", "ms")
+    told = open_.join(classes.select("cid", "n", "signature", "sketch"), "cid").withColumn("chunks", F.expr(f"int(ceil(size / {BLOCK}))"))
+    dealt = told.withColumn("own", F.expr("int(pmod(xxhash64(cid, bucket), chunks))")).selectExpr("bucket", "band", "struct(own, cid, component, n, signature, sketch) as m", "explode(sequence(0, chunks - 1)) as other")
+    met = dealt.groupBy("bucket", "band", F.expr("least(m.own, other)").alias("i"), F.expr("greatest(m.own, other)").alias("j")).agg(F.collect_list("m").alias("ms")).select("band", "i", "j", "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             for row in range(batch.num_rows):
                 ms = batch.column("ms")[row].values
                 own, cid, part, n = (ms.field(c).to_numpy() for c in ("own", "cid", "component", "n"))
-                s = np.frombuffer(b"".join(ms.field("signature").to_pylist()), np.uint16).reshape(len(cid), -1)
-                keep = (part[:, None] != part[None, :]) & (cid[:, None] < cid[None, :])
-                keep &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-                if batch.column("i")[row].as_py() != batch.column("j")[row].as_py():
-                    keep &= own[:, None] != own[None, :]
-                a, b = np.nonzero(keep)
-                # The band that made this bucket.
-                bands = mix((mix(s.reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * weights).sum(axis=2) + mix(np.arange(BANDS, dtype=np.uint64))) if len(a) else None
-                here = int((bands[0].view(np.int64) == batch.column("bucket")[row].as_py()).argmax()) if len(a) else 0
-                left, right = [], []
-                for lo in range(0, len(a), 4000):
-                    x, y = a[lo : lo + 4000], b[lo : lo + 4000]
-                    good = ((s[x] == s[y]).sum(axis=1) >= least) & ((bands[x] == bands[y]).argmax(axis=1) == here)
-                    left.append(cid[x[good]])
-                    right.append(cid[y[good]])
-                if left:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                signatures, sketches = ms.field("signature").to_pylist(), ms.field("sketch").to_pylist()
+                s, keys = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(cid), -1), band_keys(signatures)
+                band, two = batch.column("band")[row].as_py(), batch.column("i")[row].as_py() != batch.column("j")[row].as_py()
+                found, size = np.unique(part, return_counts=True)
+                common = part == found[size.argmax()]
+                rest = np.flatnonzero(~common)
+                for lo in range(0, len(rest), 32):
+                    x = rest[lo : lo + 32]
+                    keep = (part[x, None] != part[None, :]) & (common[None, :] | (cid[x, None] < cid[None, :]))
+                    keep &= 100 * np.minimum(n[x, None], n[None, :]) >= percent * np.maximum(n[x, None], n[None, :])
+                    if two:
+                        keep &= own[x, None] != own[None, :]
+                    a, b = np.nonzero(keep)
+                    a = x[a]
+                    for at in range(0, len(a), 4000):
+                        l, r = a[at : at + 4000], b[at : at + 4000]
+                        good = (keys[l] == keys[r]).argmax(axis=1) == band
+                        l, r = l[good], r[good]
+                        good = (s[l] == s[r]).sum(axis=1) >= least
+                        l, r = l[good], r[good]
+                        if len(l):
+                            good = differences(sketches, l, r) * (100 + percent) <= (100 - percent) * (n[l] + n[r])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[l], cid[r])[good]), pa.array(np.maximum(cid[l], cid[r])[good])], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
@@ -201,25 +215,31 @@ def near_classes(docs: DataFrame, k: int = 4, percent: int = 80, stars: int = 2)
 
     1. Rows with equal sets form a class; only classes meet, so copies never pair.
     2. Classes that agree in all minima of a band share a bucket.
-    3. Star rounds: in each bucket that holds several components, the members meet one of them, the first in an order of all classes
-       that changes by round, so a family meets the same one in all bands. Pairs that pass signatures and whole sets
-       link, and links join components. A large family of near copies costs a multiple of its size.
+    3. Star rounds: in each bucket that holds several components, the members meet one of them: first the one whose buckets have the
+       most members, as the text has that near copies were made from, then the first in an order of all classes, so that
+       a family meets the same one in all bands. Pairs that pass signatures and whole sets link, and links join
+       components. A large family of near copies costs a multiple of its size.
     4. All pairs of different components in the buckets that still hold several meet in blocks.
     """
     rows = written(features(docs, k), "features")
     rep = F.min(F.struct("doc_id", "version"))
-    groups = rows.where("n > 0").groupBy("s1", "s2", "n").agg(rep.alias("rep"), F.min("doc_id").alias("smallest"), F.first("signature").alias("signature"))
+    groups = rows.where("n > 0").groupBy("s1", "s2", "n").agg(rep.alias("rep"), F.min("doc_id").alias("smallest"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(groups.withColumn("cid", F.monotonically_increasing_id()), "classes")
     signed = written(rows.select("doc_id", "n", "s1", "s2"), "signed")
     discard(rows)
-    members = banded(classes)
-    buckets = written(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"), "buckets")
+    every = banded(classes)
+    buckets = written(every.join(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"), "buckets")
     texts = candidate_texts(docs, buckets.select("cid").distinct().join(classes, "cid"))
     part_of = durable(classes.select("cid", F.col("cid").alias("component")))
+    met = durable(buckets.groupBy("cid").agg(F.sum("size").alias("met")))
     for round_ in range(stars + 1):
-        now = buckets.join(part_of, "cid")
-        lead = F.min(F.struct(F.xxhash64(F.lit(round_), "cid").alias("order"), "cid", "component"))
-        spans = now.groupBy("bucket").agg(lead.alias("lead"), F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("bucket", "lead")
+        now = buckets.join(part_of, "cid").join(met, "cid")
+        order = -F.col("met") if round_ == 0 else F.xxhash64(F.lit(round_), "cid")
+        lead = F.min(F.struct(order.alias("order"), "cid", "component"))
+        members = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"m{seed}") for seed in (1, 2)]
+        spans = now.groupBy("bucket", "band").agg(lead.alias("lead"), F.min("component").alias("first"), F.max("component").alias("last"), F.first("size").alias("size"), *members).where("first < last")
+        # Of buckets with the same members the first band's is enough.
+        spans = spans.groupBy("size", "m1", "m2").agg(F.min(F.struct("band", "bucket", "lead")).alias("one")).select("one.bucket", "one.lead")
         open_ = now.join(spans, "bucket")
         if round_ < stars:
             asked = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b").distinct()
