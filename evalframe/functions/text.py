@@ -42,6 +42,7 @@ CONTRACTIONS = {
     "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
 }
 NUMBER = r"(-?\d+(?:\.\d+)?)"
+REFUSALS, REFUSALS_IN_ANY_CASE = ("I can't", "I cannot", "无法", "抱歉"), ("sorry",)
 
 
 def nonempty(c: Column) -> Column:
@@ -206,13 +207,28 @@ def pair_verdict(c: Column) -> Column:
     return F.when(F.size(found) == 1, F.element_at(found, 1)).otherwise("unclear")
 
 
+def balanced(c: Column) -> Column:
+    """The text up to the closing brace that first brings the count of open braces to zero; null without one."""
+    step = lambda acc, x: F.struct(
+        (acc["i"] + 1).alias("i"),
+        (acc["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("depth"),
+        F.coalesce(acc["end"], F.when((x == "}") & (acc["depth"] == 1), acc["i"] + 1)).alias("end"),
+    )
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+    return F.aggregate(F.split(c, ""), start, step, lambda acc: F.substr(c, F.lit(1), acc["end"]))
+
+
 def last_boxed(c: Column) -> Column:
-    """The last boxed answer (braces may nest four deep), else what follows the last `Answer:`; null without either. Digits alone
-    lose leading zeros."""
-    inner = r"[^{}]"
-    for _ in range(4):
-        inner = r"(?:[^{}]|\{" + inner + r"*\})"
-    boxed = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{(" + inner + r"*)\}"), F.lit(1)), F.lit(-1))
+    """The last boxed answer, else what follows the last `Answer:`; null without either. Digits alone lose leading zeros.
+
+    A box written with a blank runs to the next dollar sign; else the last box counts, its braces balanced however deep, and
+    there is none if they don't balance.
+    """
+    blank, box = "\\boxed ", "\\boxed{"
+    spaced = F.substring_index(F.substring_index(c, blank, -1), "$", 1)
+    braced = balanced(F.concat(F.lit("\\boxed"), F.substring_index(c, "\\boxed", -1)))
+    inner = F.when(F.startswith(braced, F.lit(box)), F.substr(braced, F.lit(len(box) + 1), F.length(braced) - len(box) - 1))
+    boxed = F.when(F.contains(c, F.lit(blank)), spaced).when(F.contains(c, F.lit("\\boxed")), inner)
     after = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?is)Answer\s*:\s*(.*)"), F.lit(1)), F.lit(-1))
     found = F.coalesce(boxed, after)
     return F.when(F.rlike(found, F.lit("^[0-9]+$")), F.regexp_replace(found, "^0+(?=[0-9])", "")).otherwise(found)
@@ -238,6 +254,35 @@ def choice_by_content(response: Column, options: Column) -> Column:
     return F.array_min(F.filter(at, lambda x: x["at"].isNotNull()))["letter"]
 
 
+def choice_cascade(response: Column, choices: Column, pattern: str, groups: int = 1, pick: int = 0, fold_case: bool = False, drop_marks: bool = False, drop: Sequence[str] = (), fallback: str = INVALID) -> Column:
+    """An answer to a row's own choices: match number `pick` (from 0; negative from the end) of `pattern`, its first group that isn't
+    empty; else of any choice's text in the response, as `(A)` for the first choice and so on; else of `: A`, also as
+    `(A)`; else `fallback`. A step whose match is missing or blank is passed over.
+
+    At one place an earlier choice is tried first; of equal choices the last gives the letter. Before choices are looked for,
+    `drop` patterns leave both sides, then case and punctuation if asked. A null response or no choice falls back likewise.
+    """
+    at = F.lit(pick + 1 if pick >= 0 else pick)
+    taken = lambda where, what, group: F.try_element_at(F.regexp_extract_all(where, what, F.lit(group)), at)
+    tried = F.coalesce(*[nonempty(taken(response, F.lit(pattern), g)) for g in (range(1, groups + 1) if groups else [0])])
+
+    def plain(c: Column) -> Column:
+        for p in drop:
+            c = F.regexp_replace(c, p, "")
+        c = F.lower(c) if fold_case else c
+        return F.regexp_replace(c, r"\p{P}", "") if drop_marks else c
+
+    texts = F.transform(choices, lambda x: plain(strip(x)))
+    any_of = F.array_join(F.transform(texts, lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}\s])", r"\\$1")), "|")
+    said = nonempty(strip(taken(plain(response), any_of, 0)))
+    named = F.filter(F.transform(texts, lambda x, i: F.struct(x.alias("x"), F.concat(F.lit("("), F.char(i + 65), F.lit(")")).alias("letter"))), lambda x: x["x"] == said)
+    chosen = F.coalesce(F.try_element_at(named, F.lit(-1))["letter"], said)
+    letters = F.array_join(F.transform(choices, lambda x, i: F.concat(F.lit("\\x{"), F.hex(i + 65), F.lit("}"))), "|")
+    marked = nonempty(taken(response, F.concat(F.lit(r"(?U):\s*("), letters, F.lit(")")), 1))
+    some = F.size(choices) > 0
+    return F.coalesce(nonempty(strip(tried)), F.when(some, chosen), F.when(some, F.concat(F.lit("("), marked, F.lit(")"))), F.lit(fallback))
+
+
 def short_score(response: Column, gold: Column, choice: Column) -> Column:
     """1 or 0 for a short answer. A `choice` row compares letters: A-D at the start (in either case) or standing alone. Others compare
     the first numbers, signs and decimals included and commas left out, or, if the gold has none, the folded texts."""

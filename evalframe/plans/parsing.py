@@ -57,13 +57,16 @@ def f12_containment(t):
 
 
 SAID = "resp || case p_partkey % 5 when 0 then ' [[A>B]]' when 1 then ' [[A>B]] [[B>A]]' else '' end"
-BOX = r"(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\})*"
 CASCADE = picked("u", [r"^([A-D])\s*[.)\]]*", r"(?:THE\s+)?(?:ANSWER|CHOICE|OPTION)(?:\s+IS)?[\s:]+([A-D])", r"\(([A-D])\)", r"([A-D])\s*(?:\.|\)|\])", r"(?:^|\s)([A-D])(?:\s|$)"])
 
 
 @query(rf"""with {ANSWERS}, s as (select *, {SAID} said, upper(trim({SAID})) u from a),
-b as (select *, regexp_extract_all(said, '\\boxed\{{({BOX})\}}', 1) boxes, regexp_extract_all(said, '(?is)Answer\s*:\s*(.*)', 1) after, list_distinct(regexp_extract_all(said, '\[\[([AB<>=]+)\]\]', 1)) v from s),
-f as (select *, coalesce(boxes[-1], after[-1]) found from b)
+e as (select *, string_split(said, chr(92) || 'boxed') p from s),
+t as (select *, case when len(p) > 1 then string_split(p[-1], '') else [] end ch, contains(said, chr(92) || 'boxed ') spaced from e),
+d as (select *, list_transform(ch, lambda x: case x when '{{' then 1 when '}}' then -1 else 0 end) step from t),
+z as (select *, list_filter(range(1, len(ch) + 1), lambda i: ch[i] = '}}' and list_sum(step[1:i]) = 0)[1] fin from d),
+b as (select *, case when spaced then string_split(string_split(said, chr(92) || 'boxed ')[-1], '$')[1] when fin is not null and ch[1] = '{{' then array_to_string(ch[2:fin - 1], '') end box, regexp_extract_all(said, '(?is)Answer\s*:\s*(.*)', 1) after, list_distinct(regexp_extract_all(said, '\[\[([AB<>=]+)\]\]', 1)) v from z),
+f as (select *, coalesce(box, after[-1]) found from b)
 select p_partkey, coalesce({CASCADE}, case when len(regexp_extract_all(u, '[A-D]')) = 1 then regexp_extract(u, '[A-D]') end, case when u[1] in ('A', 'B', 'C', 'D') then u[1] end) letter, {SPAN.replace("resp", "said")} span,
 case when regexp_full_match(found, '[0-9]+') then regexp_replace(found, '^0+([0-9])', '\1') else found end boxed, case when len(v) = 1 then v[1] else 'unclear' end verdict from f""")
 def f13_letter_cascade(t):
@@ -71,6 +74,18 @@ def f13_letter_cascade(t):
     return asked(t, letter=T.letter_cascade(said), span=T.answer_span(said), boxed=T.last_boxed(said), verdict=T.pair_verdict(said))
 
 
+ANSWER_FORMS = "case p_partkey % 9 when 0 then 'so (' || chr(cast(65 + p_partkey % 4 as int)) || ')' when 1 then 'it is ' || upper(p_type) || ', not ' || p_name when 2 then 'pick:  C or : B' when 3 then 'the NONE!' when 4 then '' when 5 then p_name || '?' when 6 then 'x: E' when 7 then p_brand || p_brand else 'a-' || p_type end"
+
+
+@query(rf"""with a as (select p_partkey, {ANSWER_FORMS} resp, [p_brand || ' ', p_type, p_name, 'none.', p_brand] choices from part),
+m as (select p_partkey, resp, regexp_replace(lower(resp), '[[:punct:]]', '', 'g') s, list_transform(choices, lambda x: regexp_replace(lower(trim(x)), '[[:punct:]]', '', 'g')) c from a),
+h as (select *, list_sort(list_filter(list_transform([1, 2, 3, 4, 5], lambda i: {{'at': strpos(s, c[i]), 'i': i}}), lambda x: x.at > 0))[1].i i from m)
+select p_partkey, coalesce(nullif(regexp_extract(resp, '\(([A-Z])\)', 1), ''), '(' || chr(64 + list_max(list_filter([1, 2, 3, 4, 5], lambda k: c[k] = c[i]))) || ')', '(' || nullif(regexp_extract(resp, ':\s*([A-E])', 1), '') || ')', '[invalid]') answer from h""")
+def f03_choice_cascade(t):
+    rows = t.part.selectExpr("p_partkey", f"{ANSWER_FORMS} as resp", "array(p_brand || ' ', p_type, p_name, 'none.', p_brand) as choices")
+    return rows.select("p_partkey", T.choice_cascade(F.col("resp"), F.col("choices"), r"\(([A-Z])\)", fold_case=True, drop_marks=True).alias("answer"))
+
+
 @query(rf"""with {ANSWERS}, n as (select p_partkey, p_partkey % 4 = 0 choice, trim(resp) r, trim(gold) g from a),
 m as (select *, coalesce(nullif(upper(regexp_extract(r, '^[(\[]?([A-Da-d])[)\].:,]?(?:\s|$)', 1)), ''), nullif(regexp_extract(r, '\b([A-D])\b', 1), '')) l, nullif(regexp_extract(replace(r, ',', ''), '-?\d+\.?\d*'), '') rn, nullif(regexp_extract(replace(g, ',', ''), '-?\d+\.?\d*'), '') gn from n)
 select p_partkey, case when coalesce(case when choice then l = upper(g) when gn is not null then cast(rn as double) = cast(gn as double) else rtrim(lower(r), '.') = lower(g) end, false) then 1.0::double else 0.0::double end score from m""")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evalframe.operators import curate, shape
+from evalframe.operators import captions, curate, shape
 from evalframe.operators.spec import EvalSpec
 from evalframe.plans.base import query
 
@@ -107,6 +108,49 @@ def a11_rouge(t):
     return shape.rouge_n(rows, "conv_id", tokens("q"), tokens("a"), 2).withColumn("rouge", F.round("rouge", 6))
 
 
+SPOKEN = f"""d as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 i, {WORDS} w from conversations), g as (select conv_id, w from d where i = 0), r as (select conv_id, turn, w from d where i > 0)"""
+
+
+def spoken(t):
+    """A conversation's first turn is the guess; the later ones are its references."""
+    first = F.min("turn").over(Window.partitionBy("conv_id"))
+    rows = t.conversations.select("conv_id", "turn", F.expr("filter(split(lower(text), ' '), w -> w <> '')").alias("w"), (F.col("turn") == first).alias("lead"))
+    return rows.where("lead").select("conv_id", "w"), rows.where("not lead").select("conv_id", "turn", "w")
+
+
+@query(f"""with {SPOKEN}, s as (select conv_id, -1 turn, w from g union all select conv_id, turn, w from r),
+n as (select conv_id, turn, k, array_to_string(w[i:i + k - 1], chr(10)) x, count(*) n from (select conv_id, turn, w, k, unnest(range(1, len(w) - k + 2)) i from s, range(1, 5) t(k) where len(w) >= k) group by all),
+f as (select k, x, count(distinct conv_id) df from n where turn >= 0 group by all),
+v as (select conv_id, turn, k, x, n, n * ((select ln(count(*)) from g) - ln(coalesce(df, 1))) w from n left join f using (k, x)),
+m as (select conv_id, turn, k, sqrt(sum(w * w)) z from v group by all), l as (select conv_id, turn, coalesce(sum(n) filter (k = 2), 0) b from n group by all),
+p as (select a.conv_id, b.turn, a.k, sum(least(a.w, b.w) * b.w) dot from v a join v b on a.turn = -1 and b.turn >= 0 and a.conv_id = b.conv_id and a.k = b.k and a.x = b.x group by all),
+q as (select p.conv_id, sum(dot / (h.z * o.z) * exp(-(y.b - c.b) * (y.b - c.b) / 72.0)) / 4 s from p join m h on h.conv_id = p.conv_id and h.turn = -1 and h.k = p.k join m o on o.conv_id = p.conv_id and o.turn = p.turn and o.k = p.k join l y on y.conv_id = p.conv_id and y.turn = -1 join l c on c.conv_id = p.conv_id and c.turn = p.turn where h.z > 0 and o.z > 0 group by 1)
+select g.conv_id, round(coalesce(10 * s / (select count(*) from r where r.conv_id = g.conv_id), 0), 6) cider from g left join q on q.conv_id = g.conv_id""")
+def a11_cider(t):
+    guesses, references = spoken(t)
+    return captions.consensus(guesses, references, "conv_id", "w", "turn").withColumn("cider", F.round("cider", 6))
+
+
+@query(f"""with recursive {SPOKEN}, p as (select g.conv_id, r.turn, len(g.w) h, len(r.w) o, list_filter(g.w, lambda x: list_contains(r.w, x)) a, list_filter(r.w, lambda x: list_contains(g.w, x)) b from g join r on r.conv_id = g.conv_id),
+t as (select conv_id, turn, 0 i, list_transform(range(0, len(b) + 1), lambda x: 0) e from p
+  union all select p.conv_id, p.turn, t.i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when k > 1 and b[k - 1] = a[t.i + 1] then e[k - 1] + 1 else e[k] end))) from t join p on p.conv_id = t.conv_id and p.turn = t.turn where t.i < len(a)),
+m as (select p.conv_id, max(e[-1] / nullif(h, 0)) pr, max(e[-1] / nullif(o, 0)) re from p join t on p.conv_id = t.conv_id and p.turn = t.turn and t.i = len(a) group by 1)
+select g.conv_id, round(case when pr > 0 and re > 0 then 2.44 * pr * re / (re + 1.44 * pr) else 0 end, 6) rouge from g left join m on m.conv_id = g.conv_id""")
+def a11_rouge_l(t):
+    guesses, references = spoken(t)
+    rows = guesses.join(references.groupBy("conv_id").agg(F.collect_list("w").alias("refs")), "conv_id", "left")
+    return rows.select("conv_id", F.round(captions.rouge_l(F.col("w"), F.col("refs")), 6).alias("rouge"))
+
+
+@query()
+def f30_filled_blanks(t):
+    """The first sentence of a conversation's next turn as the blank; no SQL: a test compares runs with the matcher called one by one."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = t.conversations.select("conv_id", "turn", F.col("text").alias("response"), F.substring_index(F.lead("text").over(w), ".", 1).alias("gold"))
+    scored = captions.filled_blanks(rows, "response", "gold")
+    return scored.select("conv_id", "turn", "found", *[F.round(c, 6).alias(c) for c in ("similarity", "precision", "recall", "f1", "jaccard", "rouge1", "exact_match")])
+
+
 AREAS = {"1-URGENT": "soon", "2-HIGH": "soon", "3-MEDIUM": "later", "4-NOT SPECIFIED": "later"}
 
 
