@@ -20,21 +20,6 @@ def matthews_many(df: DataFrame, pred: str, gold: str) -> DataFrame:
     return sums.join(whole).select(((F.col("c") * s - F.col("tq")) / F.sqrt((s * s - F.col("qq")) * (s * s - F.col("tt")))).alias("matthews"))
 
 
-def bootstrap(df: DataFrame, key: str, group: str, value: str, rounds: int) -> DataFrame:
-    """Standard error and 95% interval of each group's mean over Poisson(1) resamples.
-
-    A row's weight in a round is drawn from its key and the round alone, so results don't depend on partitions. Rows
-    become one array of weighted sums per round, added up before the exchange.
-    """
-    # P(weight <= k) of a Poisson(1) count: exp(-1) * (1 + 1 + 1/2 + 1/6 + ...).
-    steps = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885]
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("round")), F.lit(2**40)) / 2.0**40).alias("u")
-    drawn = df.select(key, group, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select(group, value, "round", u)
-    weight = sum((F.when(F.col("u") > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy(group, "round").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    return means.groupBy(group).agg(F.stddev_samp("m").alias("stderr"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-
-
 def two_player_rating(df: DataFrame, win: Column) -> DataFrame:
     """Closed form of the logistic rating against a baseline at 1000 (scale 400, base 10), and the win rate it predicts."""
     p = F.avg(win)

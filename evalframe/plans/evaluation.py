@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions import aggregates as A
 from evalframe.functions import text as T
-from evalframe.operators import ngrams, rollup, stats
+from evalframe.operators import ngrams, resampling, rollup, stats
 from evalframe.plans.base import query
 
 
@@ -97,7 +97,15 @@ def a18_combined_stderr(t):
 
 @query()
 def a15_bootstrap_stderr(t):
-    return stats.bootstrap(t.events, "event_id", "event_type", "value", 200)
+    """No SQL: a test compares the errors with the closed form of a mean."""
+    return resampling.bootstrap(t.events, "event_type", ["value"], F.col("value") / F.col("n"), resampling.rounds_of("accuracy", 2000))
+
+
+@query("select event_type, i as round, count(*) n, cast(count(*) as double) drawn from events, range(1, 101) r(i) where value is not null group by 1, 2")
+def a16_resample_sizes(t):
+    """Rounds of a corpus score, of which a hundred are enough: each draws as many rows as there are."""
+    rows = t.events.withColumn("drawn", F.when(F.col("value").isNotNull(), 1.0))
+    return resampling.resampled(rows, "event_type", ["value", "drawn"], resampling.rounds_of("bleu", 100_000)).select("event_type", "round", "n", "drawn")
 
 
 @query("with recursive e as (select 'world' p, 'r' || n_regionkey c from nation union select 'r' || n_regionkey, 'n' || n_nationkey from nation), x as (select p a, c d from e union select x.a, e.c from x join e on x.d = e.p), r as (select 'n' || c_nationkey node, avg(c_acctbal) v, stddev_samp(c_acctbal) / sqrt(count(*)) se, count(*) n from customer group by 1) select a ancestor, round(sum(v * n) / sum(n), 6) weighted, round(avg(v), 6) plain, round(case when count(se) = count(*) then sqrt(sum((n - 1) * se * se * n) / (sum(n) - count(se)) / sum(n)) end, 6) stderr, cast(sum(n) as bigint) n from x join r on x.d = r.node group by 1")
