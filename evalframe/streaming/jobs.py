@@ -34,11 +34,12 @@ def counters(stream: DataFrame, group: str) -> DataFrame:
 
 
 def carried_average(stream: DataFrame, key: str, order: str, value: str, keep: float) -> DataFrame:
-    """The moving average of each key after every batch of its rows, in the given order within a batch: keep * state + (1 - keep) * value."""
+    """The moving average of each key after every batch of its rows: keep * state + (1 - keep) * value from 0. Rows count in the order
+    of their batches, within a batch by `order`; a null value leaves the state as it is."""
 
     def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, n = state.get if state.exists else (0.0, 0)
-        for v in pd.concat(list(batches)).sort_values(order)[value]:
+        for v in pd.concat(list(batches)).sort_values(order, kind="stable")[value].dropna():
             now, n = keep * now + (1 - keep) * float(v), n + 1
         state.update((now, n))
         yield pd.DataFrame({key: [of[0]], "average": [now], "n": [n]})
@@ -48,11 +49,30 @@ def carried_average(stream: DataFrame, key: str, order: str, value: str, keep: f
     return rows.applyInPandasWithState(step, f"{key} {kind}, average double, n long", "average double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def timings(stream: DataFrame, run: str, ts: str, stages: list[str], total: str, width: str, slide: str, late: str) -> DataFrame:
-    """Sliding-window stage sums and residuals by run; missing stages count 0."""
+def after_warm_up(stream: DataFrame, run: str, order: str, warm_up: int) -> DataFrame:
+    """The rows of each run but its first `warm_up`, counted over all batches; within a batch the least by `order` come first. Rows of a
+    null run count as one run. The state of a run is one number."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+    def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        if seen >= warm_up:
+            yield from batches
+            return
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        state.update((min(warm_up, seen + len(rows)),))
+        yield rows.iloc[warm_up - seen :]
+
+    return stream.groupBy(run).applyInPandasWithState(step, fields, "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def timings(stream: DataFrame, run: str, ts: str, stages: list[str], total: str, width: str, slide: str, late: str, warm_up: int = 0) -> DataFrame:
+    """Sliding-window stage sums and residuals by run; missing stages count 0. A run's first `warm_up` rows are left out."""
+    rows = after_warm_up(stream, run, ts, warm_up) if warm_up else stream
     spent = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in stages), F.lit(0.0))
-    rows = stream.withColumn("stage_sum", spent).withColumn("residual", F.col(total) - spent).withWatermark(ts, late)
-    return rows.groupBy(F.window(ts, width, slide), run).agg(F.avg("stage_sum").alias("stage_sum"), F.percentile_approx(total, 0.95).alias("p95"), F.avg("residual").alias("residual"))
+    rows = rows.withColumn("stage_sum", spent).withColumn("residual", F.col(total) - spent).withWatermark(ts, late)
+    made = rows.groupBy(F.window(ts, width, slide), run).agg(F.count(F.lit(1)).alias("n"), F.avg("stage_sum").alias("stage_sum"), F.percentile_approx(total, 0.95).alias("p95"), F.avg("residual").alias("residual"))
+    return made.select(F.col("window.start").alias("start"), run, "n", "stage_sum", "p95", "residual")
 
 
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", name: str | None = None):

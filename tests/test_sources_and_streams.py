@@ -1,6 +1,9 @@
 """Round trips of the sources and batch equality of the streams."""
 
 import json
+import random
+import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -93,7 +96,49 @@ def test_streams_match_batches(spark, tmp_path):
     got = {r.user_id: r.n for r in spark.sql("select user_id, max(n) n from carried group by 1").collect()}
     assert got == {r.user_id: r["count"] for r in events.groupBy("user_id").count().collect()}
     jobs.run_once(jobs.window_means(good, "ts", "event_type", "value", "1 day", "0 seconds"), f"{tmp_path}/out", f"{tmp_path}/c3")
-    batch = events.groupBy(F.window("ts", "1 day"), "event_type").count().count()
-    assert 0 < spark.read.json(f"{tmp_path}/out").count() <= batch
+    want = {(str(r.s), r.event_type): (r.m, r.n) for r in events.groupBy(F.window("ts", "1 day").start.alias("s"), "event_type").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")).collect()}
+    closed = {(str(r.start), r.event_type): (r["mean"], r.n) for r in spark.read.schema("start timestamp, event_type string, mean double, n long").json(f"{tmp_path}/out").collect()}
+    assert closed and all(closed[k][1] == want[k][1] and abs(closed[k][0] - want[k][0]) < 1e-9 for k in closed)
+    # All windows but those that the newest rows keep open are out.
+    newest = max(k[0] for k in want)
+    assert {k for k in want if k not in closed} <= {k for k in want if k[0] == newest}
     jobs.run_once(jobs.new_keys(good, ["user_id"], "ts", "3650 days"), "", f"{tmp_path}/c4", "append", "firsts")
     assert spark.sql("select * from firsts").count() == events.select("user_id").distinct().count()
+
+
+def test_carried_average_over_batches(spark, tmp_path):
+    """Two batches, each in its own order: the state goes on from the first to the second."""
+    rng = random.Random(2)
+    batches = [[(k, i, None if rng.random() < 0.1 else rng.uniform(-5, 5)) for k in (1, 2, None) for i in rng.sample(range(100), 20)] for _ in range(2)]
+    want = {}
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k long, i long, v double").coalesce(1).write.json(f"{tmp_path}/in/{n}")
+        for k, _, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+            a, m = want.get(k, (0.0, 0))
+            want[k] = (0.9 * a + 0.1 * v, m + 1) if v is not None else (a, m)
+        time.sleep(1.1)  # files come by time
+    stream = spark.readStream.schema("k long, i long, v double").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*")
+    q = jobs.run_once(jobs.carried_average(stream, "k", "i", "v", 0.9), "", f"{tmp_path}/c", "update", "carried_twice")
+    assert len([x for x in q.recentProgress if x.numInputRows]) == 2
+    got = {r.k: (r.average, r.n) for r in spark.sql("select k, max_by(average, n) average, max(n) n from carried_twice group by k").collect()}
+    assert set(got) == set(want) and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def test_timings_leave_warm_up_out(spark, tmp_path):
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    rows = [(run, start + timedelta(seconds=40 * i + rng.randrange(30)), rng.random(), rng.choice([None, rng.random()]), 1 + rng.random()) for run in ("a", "b", "c") for i in range({"a": 50, "b": 12, "c": 2}[run])]
+    schema, late = "run string, ts timestamp, x double, y double, total double", datetime(2024, 2, 1)
+    cut = start + timedelta(seconds=200)
+    for part in ([r for r in rows if r[1] < cut], [r for r in rows if r[1] >= cut], [("z", late + timedelta(minutes=i), 0.0, 0.0, 0.0) for i in range(5)]):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").json(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+        jobs.run_once(jobs.timings(stream, "run", "ts", ["x", "y"], "total", "10 minutes", "5 minutes", "1 minute", 3), f"{tmp_path}/out", f"{tmp_path}/c")
+    kept = [r for run in ("a", "b", "c") for r in sorted(x for x in rows if x[0] == run)[3:]]
+    df = spark.createDataFrame(kept, schema)
+    spent = F.col("x") + F.coalesce("y", F.lit(0.0))
+    batch = df.groupBy(F.window("ts", "10 minutes", "5 minutes").start.alias("start"), "run").agg(F.count(F.lit(1)).alias("n"), F.avg(spent).alias("s"), F.avg(F.col("total") - spent).alias("r"), F.percentile_approx("total", 0.95).alias("p"))
+    want = {(r.start, r.run): (r.n, round(r.s, 9), round(r.r, 9), r.p) for r in batch.collect()}
+    made = spark.read.schema("start timestamp, run string, n long, stage_sum double, p95 double, residual double").json(f"{tmp_path}/out")
+    assert {(r.start, r.run): (r.n, round(r.stage_sum, 9), round(r.residual, 9), r.p95) for r in made.where("run <> 'z'").collect()} == want
+    assert {k[1] for k in want} == {"a", "b"}
