@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,23 +61,15 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
     return conversations.select("role", F.lag("text").over(w).alias("prev"), "text").where("prev is not null and text is not null")
 
 
-def word_distance(ref: str, hyp: str) -> Column:
-    """Edit distance over words, in Arrow batches."""
-
-    @F.pandas_udf("long")
-    def distance(refs: pd.Series, hyps: pd.Series) -> pd.Series:
-        out = []
-        for r, h in zip(refs, hyps, strict=True):
-            r, h = r.split(), h.split()
-            row = list(range(len(h) + 1))
-            for i, x in enumerate(r, 1):
-                last, row[0] = row[0], i
-                for j, y in enumerate(h, 1):
-                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            out.append(row[-1])
-        return pd.Series(out)
-
-    return distance(F.col(ref), F.col(hyp))
+def word_distance(ref: Column, hyp: Column) -> Column:
+    """Edit distance between two texts' words, blanks aside: each distinct word of the row becomes one character, and the texts of these
+    characters are compared. Null if a side is null."""
+    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    # Characters beyond the first plane, one for each word; a transform binds the words, so that they are made once.
+    sign = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 65536), 8, "0")), "UTF-32")
+    row = F.array(F.struct(words(ref).alias("r"), words(hyp).alias("h"), F.array_distinct(F.concat(words(ref), words(hyp))).alias("all")))
+    coded = lambda s, c: F.array_join(F.transform(s[c], lambda w: sign(F.array_position(s["all"], w))), "")
+    return F.element_at(F.transform(row, lambda s: F.levenshtein(coded(s, "r"), coded(s, "h")).cast("long")), 1)
 
 
 def cosine_to_centroid(embeddings: DataFrame) -> DataFrame:

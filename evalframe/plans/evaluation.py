@@ -137,8 +137,9 @@ def a50_character_error_rate(t):
 
 @query()
 def a50_word_error_rate(t):
+    """No SQL: a test compares distances with a sequential table."""
     rows = stats.turn_pairs(t.conversations)
-    return rows.groupBy("role").agg(F.round(100 * F.sum(stats.word_distance("prev", "text")) / F.sum(F.size(T.words(F.col("prev")))), 6).alias("wer"))
+    return rows.groupBy("role").agg(F.round(100 * F.sum(stats.word_distance(F.col("prev"), F.col("text"))) / F.sum(F.size(T.words(F.col("prev")))), 6).alias("wer"))
 
 
 @query()
