@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalframe.functions import choices
 from evalframe.functions import text as T
 from evalframe.plans.base import query
 
@@ -41,10 +42,18 @@ def f36_stable_hash(t):
     return t.conversations.groupBy("conv_id").agg(F.sha2(F.array_join(rows["s"], ""), 256).alias("h"))
 
 
-@query("select vec_id, cast(list_position(embedding, list_min(embedding)) - 1 as int) least, cast(list_position(embedding, list_max(embedding)) - 1 as int) most from embeddings")
+@query("""with r as (select vec_id, ['a', 'bbb', 'cc', 'dddddd'] ch, list_transform(embedding[1:8], lambda x: abs(cast(x as double))) l, vec_id % 2 = 0 two, vec_id % 6 g from embeddings),
+o as (select vec_id, ch, two, g, case when two then [l[1], l[3], l[5], l[7]] else l[1:4] end c, case when two then [l[1] - l[2], l[3] - l[4], l[5] - l[6], l[7] - l[8]] end d from r),
+p as (select *, list_position(c, list_min(c)) - 1 pred, list_transform([1, 2, 3, 4], lambda i: c[i] / length(ch[i])) n from o)
+select vec_id, cast(pred as int) pred, cast(list_position(n, list_min(n)) - 1 as int) pred_norm, case when pred = g then 1.0::double else 0 end acc, case when list_position(n, list_min(n)) - 1 = g then 1.0::double else 0 end acc_norm,
+cast(g < 4 and coalesce(c[g + 1] < 0.1, false) as int) exact_match, case when two then case when list_position(d, list_max(d)) - 1 = g then 1.0::double else 0 end end acc_mutual, g >= 4 gold_missing from p""")
 def f37_choice_by_loss(t):
-    at = lambda v: (F.array_position("embedding", v) - 1).cast("int")
-    return t.embeddings.select("vec_id", at(F.array_min("embedding")).alias("least"), at(F.array_max("embedding")).alias("most"))
+    """Eight losses of a vector: four choices with and without their question in even rows, four choices alone in odd ones."""
+    ch = F.array(*map(F.lit, ("a", "bbb", "cc", "dddddd")))
+    every = F.expr("transform(slice(embedding, 1, if(vec_id % 2 = 0, 8, 4)), x -> abs(double(x)))")
+    own = F.expr("transform(filter(slice(embedding, 1, if(vec_id % 2 = 0, 8, 4)), (x, i) -> vec_id % 2 = 1 or i % 2 = 0), x -> abs(x) < 0.1D)")
+    scored = choices.choice_by_loss(every, ch, choices.gold_places(ch, F.col("vec_id") % 6, "place"), own)
+    return t.embeddings.select("vec_id", scored.alias("s")).select("vec_id", "s.*")
 
 
 @query("select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) host, case when contains(lower(html), 'news') then 'news' when contains(lower(html), 'blog') then 'blog' else 'other' end as subject, length(regexp_extract(html, '<title>(.*?)</title>', 1)) title_length from pages")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BAD = "_corrupt_record"
 
@@ -128,9 +129,13 @@ def write_typed(df: DataFrame, path: str, schema: object) -> None:
 
 
 def write_samples(df: DataFrame, path: str) -> None:
-    """Sample logs by model and task: responses equal to the filtered ones and raw documents stay out."""
-    same = F.col("resps") == F.col("filtered_resps")
-    df.withColumn("resps", F.when(~same, F.col("resps"))).drop("doc", "arguments").write.partitionBy("model", "task").json(path)
+    """Sample logs by model and task. `input` is the first argument; responses equal to the filtered ones, raw documents and the
+    arguments stay out; lists become JSON texts."""
+    same = F.col("resps").eqNullSafe(F.col("filtered_resps"))
+    rows = df.withColumn("resps", F.when(~same, F.col("resps")))
+    rows = rows.withColumn("input", F.get("arguments", F.lit(0))) if "arguments" in df.columns else rows
+    lists = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType) and f.name not in ("doc", "arguments")]
+    rows.withColumns({c: F.to_json(c) for c in lists}).drop("doc", "arguments").write.partitionBy("model", "task").json(path)
 
 
 def latest_runs(df: DataFrame, keys: Sequence[str], when: str) -> DataFrame:
