@@ -42,6 +42,9 @@ CONTRACTIONS = {
     "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
 }
 NUMBER = r"(-?\d+(?:\.\d+)?)"
+VERDICTS = (
+    ("A>B", -1, "model_a", "Worse"), ("A>>B", -2, "model_a", "Worse++"), ("A=B", 0, "tie", "Tie"), ("B>A", 1, "model_b", "Better"), ("B>>A", 2, "model_b", "Better++"),
+)
 REFUSALS, REFUSALS_IN_ANY_CASE = ("I can't", "I cannot", "无法", "抱歉"), ("sorry",)
 
 
@@ -207,6 +210,16 @@ def pair_verdict(c: Column) -> Column:
     return F.when(F.size(found) == 1, F.element_at(found, 1)).otherwise("unclear")
 
 
+def pair_outcome(c: Column) -> Column:
+    """A struct of score (-2 to 2, from the baseline A's side to B's), winner and judgement. The first of VERDICTS counts that the single
+    verdict label holds, or that the whole text holds if it has no label or several; without one, or for null, the tie is
+    `Unclear`."""
+    label = pair_verdict(c)
+    said = F.when(label == "unclear", c).otherwise(label)
+    made = lambda score, winner, word: F.struct(F.lit(score).alias("score"), F.lit(winner).alias("winner"), F.lit(word).alias("judgement"))
+    return F.coalesce(*[F.when(F.contains(said, F.lit(mark)), made(*rest)) for mark, *rest in VERDICTS], made(0, "tie", "Unclear"))
+
+
 def balanced(c: Column) -> Column:
     """The text up to the closing brace that first brings the count of open braces to zero; null without one."""
     step = lambda acc, x: F.struct(

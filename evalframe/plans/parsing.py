@@ -74,6 +74,16 @@ def f13_letter_cascade(t):
     return asked(t, letter=T.letter_cascade(said), span=T.answer_span(said), boxed=T.last_boxed(said), verdict=T.pair_verdict(said))
 
 
+JUDGED = "case p_partkey % 10 when 0 then 'so [[A>B]]' when 1 then '[[A>>B]] as [[A>>B]]' when 2 then '[[A=B]]' when 3 then 'B: [[B>A]]' when 4 then '[[B>>A]]' when 5 then '[[A>B]] or [[B>>A]]' when 6 then 'A=B I think' when 7 then '[[A<B]]' when 8 then '' else p_name end"
+
+
+@query(rf"""with j as (select p_partkey, {JUDGED} t from part), l as (select p_partkey, t, list_distinct(regexp_extract_all(t, '\[\[([AB<>=]+)\]\]', 1)) v from j), s as (select p_partkey, case when len(v) = 1 then v[1] else t end s from l),
+k as (select p_partkey, case when contains(s, 'A>B') then 1 when contains(s, 'A>>B') then 2 when contains(s, 'A=B') then 3 when contains(s, 'B>A') then 4 when contains(s, 'B>>A') then 5 else 6 end k from s)
+select p_partkey, cast([-1, -2, 0, 1, 2, 0][k] as int) score, ['model_a', 'model_a', 'tie', 'model_b', 'model_b', 'tie'][k] winner, ['Worse', 'Worse++', 'Tie', 'Better', 'Better++', 'Unclear'][k] judgement from k""")
+def f33_pair_outcome(t):
+    return t.part.select("p_partkey", T.pair_outcome(F.expr(JUDGED)).alias("o")).select("p_partkey", "o.*")
+
+
 ANSWER_FORMS = "case p_partkey % 9 when 0 then 'so (' || chr(cast(65 + p_partkey % 4 as int)) || ')' when 1 then 'it is ' || upper(p_type) || ', not ' || p_name when 2 then 'pick:  C or : B' when 3 then 'the NONE!' when 4 then '' when 5 then p_name || '?' when 6 then 'x: E' when 7 then p_brand || p_brand else 'a-' || p_type end"
 
 

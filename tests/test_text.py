@@ -24,6 +24,7 @@ def cases():
         (T.last_boxed(X), {r"\boxed{a{b{c{d{e{f{g}}}}}}}": "a{b{c{d{e{f{g}}}}}}", r"\boxed{1} then \boxed{a{b{c{d{e{f}}}}}} end}": "a{b{c{d{e{f}}}}}", r"\boxed{1} \boxed{2": None, r"\boxed{2 Answer: 03": "3", r"\boxed{}": "", r"so \boxed 042$ x": "42", r"\boxed}{}": None, r"\boxed x": "x", "\\boxed{é{\n}}": "é{\n}", "": None}),
         (T.choice_cascade(X, F.array(*map(F.lit, ("red", " Red cat ", "b.(c)", "red"))), r"\(([A-Z])\)"), {"so (B) or (C)": "B", "a red cat": "(D)", "Red cat, red": "(B)", "xb.(c)": "(C)", "bx(c)": "[invalid]", "is:\n  D": "(D)", "is: E": "[invalid]", "": "[invalid]"}),
         (T.choice_cascade(X, F.array(*map(F.lit, ("The red!", "(blue)"))), r"(x)|y(\d*)", groups=2, pick=-1, fold_case=True, drop_marks=True, drop=("the ", "The "), fallback="?"), {"x y7": "7", "y8 x": "x", "y": "?", "the RED or BLUE": "(B)", "re-d": "(A)", "none: A": "(A)", ": C": "?"}),
+        (T.pair_outcome(X)["judgement"], {"[[A>B]] [[A>B]]": "Worse", "[[B>>A]]": "Better++", "[[A>>B]] no [[B>A]]": "Worse++", "A=B": "Tie", "": "Unclear", "[[<]] B>A": "Unclear", "[[A>B]] or B>A [[B>A]]": "Worse"}),
         (T.choice_cascade(X, F.array().cast("array<string>"), "z"), {": A": "[invalid]"}),
         (T.choice_cascade(X, F.array(F.lit(""), F.lit("ab")), r"(q)"), {"ab": "[invalid]", "q": "q", ": B": "(B)"}),
         (T.short_score(X, F.lit("-1,200.5"), F.lit(False)), {"about -1200.50": 1.0, "1200.5": 0.0, "": 0.0}),
