@@ -44,13 +44,12 @@ def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
     later = windows.join(repeated, ["h1", "h2"]).where(F.struct("__doc", "at") > F.col("first"))
     covered = later.groupBy("__doc", "__version").agg(F.collect_set("at").alias("__starts"))
     found = docs.withColumn("__doc", key).withColumn("__version", F.xxhash64("text")).join(covered, ["__doc", "__version"], "left").withColumn("__lines", lines_of(F.col("text")))
-    # Covered positions as a sorted list without repeats; kept lines are the others.
-    gone = F.expr(f"array_distinct(flatten(transform(coalesce(__starts, array()), s -> sequence(s, s + {span - 1}))))")
-    found = found.withColumn("__gone", F.map_from_entries(F.transform(gone, lambda p: F.struct(p, F.lit(True)))))
-    kept = F.expr("filter(__lines, (x, i) -> not map_contains_key(__gone, i + 1))")
+    # Covered and kept positions by hashing, so a text takes time in proportion to its lines; the lambda's variable holds its lines, split once.
+    found = found.withColumn("__gone", F.expr(f"array_distinct(flatten(transform(coalesce(__starts, array()), s -> sequence(s, s + {span - 1}))))"))
+    kept = F.expr(r"transform(array(__lines), l -> array_join(transform(array_except(sequence(1, size(l)), __gone), i -> element_at(l, i)), '\n'))[0]")
     some = F.size("__gone") > 0
     return found.select(
-        *[F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(some, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
         F.size("__gone").cast("long").alias("n_removed"),
     )

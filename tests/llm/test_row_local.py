@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -82,6 +83,18 @@ def test_line_dedup(docs_of):
         assert got == brute_lines(rows)
 
 
+def test_line_dedup_of_long_texts(docs_of):
+    """A text of 200,000 lines takes time in proportion to them: a quadratic step would take minutes."""
+    lines = [str(i) for i in range(200_000)]
+    docs = docs_of([(1, "\n".join(lines)), (2, "\n".join(["x", *lines, "y"])), (3, "\n".join(["z"] * 100_000))])
+    start = time.monotonic()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.monotonic() - start < 60
+    assert (got[1].n_removed, got[1].text) == (0, "\n".join(lines))
+    assert (got[2].n_removed, got[2].text) == (200_000, "x\ny")
+    assert (got[3].n_removed, got[3].text) == (99_999, "z")
+
+
 def test_pack(docs_of):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
