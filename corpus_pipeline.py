@@ -16,20 +16,28 @@ from evalframe.llm.common import small_batches, written
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame, *made: str) -> tuple[DataFrame, list]:
+    """The documents with columns named as those that an operator makes put under other names, and the selection that gives all back."""
+    own = {c: f"__own_{i}_{c}" if c.lower() in made else c for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(own), [F.col(n).alias(c) for c, n in own.items()]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows; it learns from the labels of those given. Rejected ones go, and so do null and empty
     texts and those without a letter. Repeated rows fare alike; other columns stay as they are, whatever their names."""
     small_batches(spark)
-    found = language.identify(docs, language.fit(docs, F.lit(True)))
-    return found.where("not rejected").select(docs.columns)
+    rows, back = apart(docs, "lang_pred", "score", "rejected")
+    found = language.identify(rows, language.fit(rows, F.lit(True)))
+    return found.where("not rejected").select(back)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of three-line windows; those with nothing left go, an empty or null text stays.
     n_chars follows the text; other columns stay as they are."""
     small_batches(spark)
-    kept = line_dedup.dedup_lines(docs).where("n_removed = 0 or text <> ''")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    rows, back = apart(docs, "n_lines", "n_removed")
+    kept = line_dedup.dedup_lines(rows).where("n_removed = 0 or text <> ''")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
