@@ -92,7 +92,7 @@ def met_before(before: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-FEATURES = "rid long, doc_id long, n long, s1 long, s2 long, stored int, grams binary, sketch binary"
+FEATURES = "rid long, doc_id long, version long, n long, s1 long, s2 long, stored int, grams binary, sketch binary"
 
 
 def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -109,10 +109,15 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 held = [s if len(s) <= SMALL else s[: max(int(np.searchsorted(s, LIMIT)), misses(len(s), percent) + 1)] for s in sets]
                 rids = pa.array(range(rid, rid + len(sets)), pa.int64())
                 rid += len(sets)
-                values = (rids, part.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([len(h) for h in held], pa.int32()), pa.array([h.tobytes() for h in held], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()))
-                yield pa.RecordBatch.from_arrays(list(values), ["rid", "doc_id", "n", "s1", "s2", "stored", "grams", "sketch"])
+                values = (rids, part.column("doc_id"), part.column("version"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([len(h) for h in held], pa.int32()), pa.array([h.tobytes() for h in held], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(values), ["rid", "doc_id", "version", "n", "s1", "s2", "stored", "grams", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
+    return versioned(docs).mapInArrow(run, FEATURES)
+
+
+def versioned(docs: DataFrame) -> DataFrame:
+    """Ids and texts with a hash of the text, which tells rows of one id, or of none, apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
 
 
 def repeated_grams(classes: DataFrame, parts: int) -> DataFrame:
@@ -209,9 +214,9 @@ def bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets link. Sets are made anew from the texts of the classes' first documents."""
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rep", "s1", "s2"), "cid")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, F.col("doc_id").eqNullSafe(F.col("rep")))
+    """Pairs whose whole sets link. Sets are made anew from `docs`, one text (rid, text) of each class."""
+    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rid", "s1"), "cid")
+    texts = docs.join(needed, "rid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +250,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     """
     spark = docs.sparkSession
     rows = written(features(docs, k, percent), "features")
-    groups = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"))
+    groups = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("rid", "doc_id", "version")).alias("row")).select("s1", "s2", "n", "rep", "row", "row.rid")
     classes = durable(groups.withColumn("cid", F.monotonically_increasing_id()))
     # Any row of a class has its set.
     indexed = written(rows.select("rid", "stored", "grams", "sketch").join(classes.select("rid", "cid", "n"), "rid").select("cid", "n", "stored", "grams", "sketch"), "indexed")
@@ -275,8 +280,10 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
 
     part_of = durable(lists.select("cid").distinct().withColumn("component", F.col("cid")))
     # Texts of the classes that can still link move here once, so that no round moves those of all documents.
-    reps = lists.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("rep").distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long"), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), "texts")
+    # A class goes by one row's id and text hash, so rows without an id or with the same one don't all meet; of equal rows one is taken.
+    keyed = F.coalesce("doc_id", F.lit(-(2**63))).alias("key")
+    reps = lists.select("cid").distinct().join(classes.select("cid", "rid", "row.doc_id", "row.version"), "cid").select("rid", keyed, "version")
+    texts = written(versioned(docs).select(keyed, "version", "text").join(reps, ["key", "version"]).dropDuplicates(["key", "version"]).select("rid", "text"), "texts")
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
         lead = F.min(F.struct("own" if round_ == 0 else F.xxhash64(F.lit(round_), "cid", "g").alias("own"), "cid", "component", "n", "r"))

@@ -94,3 +94,13 @@ def test_keep_one(docs_of):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 8, 9]
+
+
+def test_rows_that_share_an_id(docs_of):
+    """Texts without an id, or with the same one, and a row repeated often are told apart by their texts."""
+    rng = random.Random(6)
+    families = [text(rng, 60) for _ in range(60)]
+    rows = [(None if i % 3 else 5, " ".join(edited(rng, base, rng.randrange(0, 3)))) for i, base in enumerate(families * 5)]
+    rows += [rows[0]] * 200
+    got = ngram_join.components(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
