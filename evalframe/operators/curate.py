@@ -43,6 +43,37 @@ def priority_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order:
     return left.join(first_wins(right, keys, order), list(keys))
 
 
+def record_key(dataset: Column, image: Column, question: Column) -> Column:
+    """(dataset, last part of the image's path, question without outer blanks) as one value; null fields are equal to each other."""
+    return F.struct(dataset.alias("dataset"), F.substring_index(F.coalesce(image, F.lit("")), "/", -1).alias("image"), F.regexp_replace(F.coalesce(question, F.lit("")), r"(?U)^\s+|\s+$", "").alias("question"))
+
+
+def with_responses(pool: DataFrame, responses: DataFrame, order: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(met, missed): rows of the pool with `value` of the first response of their record in the given order (source, then line), and
+    the rows of the pool without one.
+
+    Both tables have dataset, image and question. The first response is a minimum, combined before the exchange, so a record with very
+    many responses makes no large group. Of responses equal in `order` the one with the least value is taken.
+    """
+    key = record_key(F.col("dataset"), F.col("image"), F.col("question")).alias("__key")
+    firsts = responses.select(key, F.struct(*order, F.col(value)).alias("__row")).groupBy("__key").agg(F.min("__row")[value].alias(value))
+    keyed = pool.drop(value).withColumn("__key", record_key(F.col("dataset"), F.col("image"), F.col("question")))
+    return keyed.join(firsts, "__key").drop("__key"), keyed.join(firsts, "__key", "left_anti").drop("__key")
+
+
+def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that more than one row has, with their number n; null keys count as equal."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; raises ValueError, naming one such key, if two rows share one. Counts at once, one row reaches the driver."""
+    found = duplicates(df, keys).limit(1).collect()
+    if found:
+        raise ValueError(f"{found[0]['n']} rows have the key {tuple(found[0][k] for k in keys)}")
+    return df
+
+
 def resume(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key isn't done."""
     return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalframe.plans import answers, curation, evaluation, extraction, labelling, parsing, prepare, regions, rollups, shaping  # noqa: F401
+from evalframe.plans import answers, curation, evaluation, extraction, judgements, labelling, parsing, prepare, regions, rollups, shaping  # noqa: F401
 from evalframe.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a23_accuracy_by_category"
