@@ -54,7 +54,7 @@ def score_in(c: Column, low: float | None = None, high: float | None = None) ->
     first = T.nonempty(F.regexp_extract(c, NUMBER, 0)).cast("double")
     if low is None or high is None:
         return F.coalesce(first, F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(float(low)), F.least(first, F.lit(float(high)))), F.lit(float(low)))
+    return F.greatest(F.lit(float(low)), F.least(F.coalesce(first, F.lit(float(low))), F.lit(float(high))))
 
 
 def score_pair(c: Column) -> Column:

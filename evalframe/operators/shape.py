@@ -140,6 +140,27 @@ def win_rates(ratings: DataFrame, model: str, rating: str) -> DataFrame:
     return a.join(b, F.col("a") != F.col("b")).select("a", "b", (1 / (1 + F.pow(F.lit(10.0), (F.col("rb") - F.col("ra")) / 400))).alias("p"))
 
 
+def battle_rates(battles: DataFrame, a: str, b: str, winner: str) -> DataFrame:
+    """(model, side, n, rate): each model's battles on a side and the percentage of them that this side won.
+
+    `winner` is model_a, model_b or something else, which nobody wins; null too. Both sides come from one pass over the battles. A
+    reported model stands on side b and the baseline on side a; one that stands on both has a row for each.
+    """
+    sides = F.inline(F.array(*[F.struct(F.col(m).alias("model"), F.lit(f"model_{k}").alias("side")) for k, m in (("a", a), ("b", b))]))
+    rows = battles.select(F.col(winner).alias("winner"), sides)
+    return rows.groupBy("model", "side").agg(F.count(F.lit(1)).alias("n"), (100 * F.count_if(F.col("winner") == F.col("side")) / F.count(F.lit(1))).alias("rate"))
+
+
+# The labels of a verdict, each with the name of its share.
+JUDGEMENTS = {"Better": "better", "Better++": "better_plus", "Worse": "worse", "Worse++": "worse_plus", "Tie": "tie", "Unclear": "unclear"}
+
+
+def verdict_shares(df: DataFrame, keys: Sequence[str], judgement: str) -> DataFrame:
+    """Percentage of each label among a group's rows that have one, a column a label; 0 for a label or group without any."""
+    share = lambda label: F.coalesce(100 * F.try_divide(F.count_if(F.col(judgement) == label), F.count(judgement)), F.lit(0.0))
+    return df.groupBy(*keys).agg(*[share(label).alias(name) for label, name in JUDGEMENTS.items()])
+
+
 def combined(df: DataFrame, group: str, scalars: Sequence[str], sizes: Sequence[str], counts: Sequence[str]) -> DataFrame:
     """Diagnostics of a group's parts: means of scalars, the largest sizes, sums of counts."""
     return df.groupBy(group).agg(*[F.avg(c).alias(c) for c in scalars], *[F.max(c).alias(c) for c in sizes], *[F.sum(c).alias(c) for c in counts])

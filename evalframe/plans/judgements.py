@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions import aggregates as A
 from evalframe.functions import judging as J
-from evalframe.operators import curate, rollup
+from evalframe.operators import curate, rollup, shape
 from evalframe.plans.base import query
 
 # One text for both engines.
@@ -17,7 +17,7 @@ PAIR = f"regexp_extract_all({LINE}, '-?[0-9]+(?:[.][0-9]+)?')"
 
 
 @query(f"""with a as (select p_partkey, {REPLY} r from part), f as (select *, try_cast(regexp_extract(r, '-?[0-9]+([.][0-9]+)?', 0) as double) x, {PAIR} two, try_cast(nullif(regexp_extract(r, '[{{].*[}}]', 0, 's'), '') as json) j from a)
- select p_partkey, case when contains(r, '1') then 1 else 0 end one, starts_with(lower(trim(r)), 'yes') yes, coalesce(x, 0.0) as number, coalesce(greatest(1.0, least(x, 5.0)), 1.0) as clamped,
+ select p_partkey, case when contains(r, '1') then 1 else 0 end one, starts_with(lower(trim(r)), 'yes') yes, coalesce(x, 0.0) as number, case when x is null then 1.0 else greatest(1.0, least(x, 5.0)) end clamped,
  case when len(two) >= 2 then two[1]::double else -1.0 end a, case when len(two) >= 2 then two[2]::double else -1.0 end b, try_cast(j ->> 'score' as double) said from f""")
 def f31_judge_replies(t):
     r = F.col("r")
@@ -114,3 +114,22 @@ def j01_record_responses(t):
 @query("select user_id, event_type, count(*) n from events group by 1, 2 having count(*) > 1")
 def a63_repeated_keys(t):
     return curate.duplicates(t.events, ["user_id", "event_type"])
+
+
+BATTLES = "p_brand as b, case p_partkey % 4 when 0 then 'model_a' when 1 then 'model_b' when 2 then 'tie' else null end as winner, case p_partkey % 7 when 0 then 'Better++' when 1 then 'Better' when 2 then 'Tie' when 3 then 'Worse' when 4 then 'Worse++' when 5 then 'Unclear' else null end as judgement"
+
+
+@query(f"""with p as (select 'base' a, {BATTLES} from part) select b model, 'model_b' as side, count(*) n, round(100.0 * count(*) filter (winner = 'model_b') / count(*), 6) rate from p group by 1
+ union all select a, 'model_a', count(*), round(100.0 * count(*) filter (winner = 'model_a') / count(*), 6) from p group by 1""")
+def a49_battle_rates(t):
+    battles = t.part.selectExpr("'base' as a", *BATTLES.split(", "))
+    return shape.battle_rates(battles, "a", "b", "winner").select("model", "side", "n", F.round("rate", 6).alias("rate"))
+
+
+SHARES = ", ".join(f"coalesce(round(100.0 * count(*) filter (judgement = '{label}') / nullif(count(judgement), 0), 6), 0.0) {name}" for label, name in shape.JUDGEMENTS.items())
+
+
+@query(f"with p as (select {BATTLES} from part) select b, {SHARES} from p group by 1")
+def a49_verdict_shares(t):
+    rows = shape.verdict_shares(t.part.selectExpr(*BATTLES.split(", ")), ["b"], "judgement")
+    return rows.select("b", *[F.round(c, 6).alias(c) for c in shape.JUDGEMENTS.values()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Sequence
 
@@ -150,6 +151,14 @@ def nested_submission(df: DataFrame, key: str, fields: Sequence[str], order: str
     return df.groupBy(key).agg(rows.alias("samples"))
 
 
+def request_key(task: Column, shots: Column, rank: int = 0, world: int = 1, chat_template: bool = False, multiturn: bool = False, system_prompt: str | None = None, tokenizer: str = "") -> Column:
+    """What a run's cached requests go by: task, number of shots and all settings that change the requests. A system prompt counts by its SHA-256."""
+    told = "-chat_template" * chat_template + "-fewshot_as_multiturn" * multiturn
+    if system_prompt is not None:
+        told += "-system_prompt_hash" + hashlib.sha256(system_prompt.encode()).hexdigest()
+    return F.concat(F.lit("requests-"), task, F.lit("-"), shots.cast("string"), F.lit(f"shot-rank{rank}-world_size{world}{told}-tokenizer{tokenizer}"))
+
+
 def cached(df: DataFrame, cache_path: str, keys: Sequence[str], build) -> DataFrame:
     """Rows of a keyed cache; keys it lacks are built, appended and returned with the hits."""
     spark = df.sparkSession

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalframe.functions import judging as J
-from evalframe.operators import curate, rollup
+from evalframe.operators import curate, rollup, shape
+from evalframe.sources import io
 
 
 def test_replies(spark):
@@ -85,3 +86,24 @@ def test_unique(spark):
     with pytest.raises(ValueError, match="2 rows have the key"):
         curate.unique(df, ["k"])
     assert {tuple(r) for r in curate.duplicates(df, ["k", "v"]).collect()} == {(None, "b", 2)}
+
+
+def test_battles(spark):
+    df = spark.createDataFrame([("base", "m", "model_b", "Better"), ("base", "m", "tie", "Tie"), ("base", "m", None, None), ("base", "k", "model_a", "Worse++")], "a string, b string, w string, j string")
+    got = {(r.model, r.side): (r.n, r.rate) for r in shape.battle_rates(df, "a", "b", "w").collect()}
+    assert got == {("base", "model_a"): (4, 25.0), ("m", "model_b"): (3, pytest.approx(100 / 3)), ("k", "model_b"): (1, 0.0)}
+    m = {r.b: r for r in shape.verdict_shares(df, ["b"], "j").collect()}
+    assert (m["m"].better, m["m"].tie, m["m"].unclear, m["k"].worse_plus, m["k"].worse) == (50.0, 50.0, 0.0, 100.0, 0.0)
+    assert shape.verdict_shares(df.where("j is null"), ["b"], "j").first().better == 0.0
+
+
+def test_request_key(spark, tmp_path):
+    df = spark.createDataFrame([("t", 5, "q")], "task string, shots int, q string")
+    plain, told = (df.select(io.request_key(F.col("task"), F.col("shots"), **o)).first()[0] for o in ({}, {"chat_template": True, "system_prompt": "x", "tokenizer": "k"}))
+    assert plain == "requests-t-5shot-rank0-world_size1-tokenizer"
+    assert told == "requests-t-5shot-rank0-world_size1-chat_template-system_prompt_hash2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881-tokenizerk"
+    built = []
+    for shots in (5, 0, 5):
+        asked = df.withColumn("shots", F.lit(shots)).withColumn("key", io.request_key(F.col("task"), F.col("shots")))
+        io.cached(asked, f"{tmp_path}/requests", ["key"], lambda x: x.withColumn("made", F.lit(built.append(x.count())).cast("string")))
+    assert built == [1, 1, 0]
