@@ -28,6 +28,8 @@ BASE_INVERSE = pow(BASE, -1, 2**64)
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text bytes that a Python worker takes at a time; each byte costs some dozens in passing arrays.
 SLICE_BYTES = 512 << 10
+#: Edges of a graph that a Python worker takes at a time.
+EDGES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -216,13 +218,62 @@ def hash_runs(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(total)
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node in `edges` (columns a, b): the smallest node reachable.
+def trees(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b), ascending, and for each the smallest node that these edges reach."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        up = root.copy()
+        np.minimum.at(up, root[x], low)
+        np.minimum.at(up, root[y], low)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        if np.array_equal(up, root):
+            return nodes, nodes[root]
+        root = up
+
+
+def contracted(edges: DataFrame, most: int) -> DataFrame:
+    """(a, b): the nodes of each run of up to `most` edges of a partition, hung on the smallest node that the run's edges reach (itself
+    too). The same nodes are connected as before; a run gives a row for each of its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def told() -> pa.RecordBatch:
+            node, least = trees(*(np.concatenate([batch.column(c).to_numpy() for batch in held]) for c in ("a", "b")))
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], ["a", "b"])
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, most):
+                batch = whole.slice(lo, most)
+                if held and n + batch.num_rows > most:
+                    yield told()
+                    held, n = [], 0
+                held.append(batch)
+                n += batch.num_rows
+        if n:
+            yield told()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def connected(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """(node, component) of every node in `edges` (columns a, b; repeats and loops are allowed): the smallest node reachable.
 
-    Labels spread over edges and then along labels (node -> label -> label of label), so chains halve in each round;
-    each round is a durable table. Work per round is in proportion to the edges.
+    Each partition first hangs its nodes on the smallest ones that it sees itself, which leaves a row for each node of a partition.
+    Then partitions are joined up to `most` rows and do so again; if all rows fit one, its labels are final. If not,
+    labels spread over the edges that are left and then along labels (node -> label -> label of label), so chains halve in
+    each round; each round is a durable table. Work per round is in proportion to the edges.
     """
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    now = durable(contracted(edges, most))
+    parts = now.coalesce(now.sparkSession.sparkContext.defaultParallelism).count() // most + 1
+    now = durable(contracted(now.coalesce(parts), most))
+    if parts == 1:
+        return now.toDF("node", "component")
+    both = durable(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

@@ -213,10 +213,10 @@ def bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return with_rows(pairs, sketches).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets link. Sets are made anew from `docs`, one text (rid, text) of each class."""
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rid", "s1"), "cid")
-    texts = docs.join(needed, "rid")
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets link. Sets are made anew from `texts`, one text (cid, s1, text) of each class."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    asked = texts.join(needed, "cid", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +228,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("cid"), lists], ["cid", "set"]).filter(same)
 
-    made = written(texts.mapInArrow(sets, "cid long, set array<long>"), "sets")
+    made = written(asked.mapInArrow(sets, "cid long, set array<long>"), "sets")
     wide = with_rows(pairs, made).withColumn("common", F.expr("size(array_intersect(a_set, b_set))"))
     links = durable(wide.where(f"100 * common >= {percent} * (size(a_set) + size(b_set) - common)").select("a", "b"))
     discard(made)
@@ -282,8 +282,8 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
     # Texts of the classes that can still link move here once, so that no round moves those of all documents.
     # A class goes by one row's id and text hash, so rows without an id or with the same one don't all meet; of equal rows one is taken.
     keyed = F.coalesce("doc_id", F.lit(-(2**63))).alias("key")
-    reps = lists.select("cid").distinct().join(classes.select("cid", "rid", "row.doc_id", "row.version"), "cid").select("rid", keyed, "version")
-    texts = written(versioned(docs).select(keyed, "version", "text").join(reps, ["key", "version"]).dropDuplicates(["key", "version"]).select("rid", "text"), "texts")
+    reps = lists.select("cid").distinct().join(classes.select("cid", "s1", "row.doc_id", "row.version"), "cid").select("cid", "s1", keyed, "version")
+    texts = written(versioned(docs).select(keyed, "version", "text").join(reps, ["key", "version"]).dropDuplicates(["key", "version"]).select("cid", "s1", "text"), "texts")
     for round_ in range(stars + 1):
         now = lists.join(part_of, "cid")
         lead = F.min(F.struct("own" if round_ == 0 else F.xxhash64(F.lit(round_), "cid", "g").alias("own"), "cid", "component", "n", "r"))
@@ -298,9 +298,9 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, stars: int =
         else:
             near = durable(block_pairs(open_, sketches, percent).distinct())
         if near.limit(1).count():
-            links = verified(near, classes, texts, k, percent)
-            # Components take the place of their classes, so many links between two of them count as one.
-            crossing = links.join(part_of.toDF("a", "x"), "a").join(part_of.toDF("b", "y"), "b").selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
+            links = verified(near, texts, k, percent)
+            # Components take the place of their classes.
+            crossing = links.join(part_of.toDF("a", "x"), "a").join(part_of.toDF("b", "y"), "b").selectExpr("x as a", "y as b")
             parted = connected(crossing).select(F.col("node").alias("component"), F.col("component").alias("c"))
             part_of = durable(part_of.join(parted, "component", "left").select("cid", F.coalesce("c", "component").alias("component")))
     discard(texts)

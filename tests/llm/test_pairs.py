@@ -6,6 +6,7 @@ import re
 import pytest
 
 from evalframe.llm import ngram_join
+from evalframe.llm.common import connected
 
 
 def brute_components(rows, k=5, percent=80):
@@ -104,3 +105,19 @@ def test_rows_that_share_an_id(docs_of):
     rows += [rows[0]] * 200
     got = ngram_join.components(docs_of(rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
+@pytest.mark.parametrize("most", [7, 1_000_000])
+def test_connected_equals_union_find(spark, most):
+    rng = random.Random(most)
+    edges = [(i, i + 1) for i in range(1000, 1040)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(5, 5), (-9, 2**40), (2**40, -9), (2**40, -9)]
+    least = {n: n for e in edges for n in e}
+    for _ in edges:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = connected(spark.createDataFrame(edges, "a long, b long").repartition(5), most).collect()
+    assert sorted(map(tuple, found)) == sorted(least.items())
+
+
+def test_connected_of_no_edges(spark):
+    assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
