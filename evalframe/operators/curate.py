@@ -107,6 +107,32 @@ def positions(df: DataFrame, keys: Sequence[str], name: str = "position") -> Dat
     return placed.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit(2**33 - 1))).drop("__part", "__at", "__start")
 
 
+def positions_in(df: DataFrame, group: Sequence[str], keys: Sequence[str], name: str = "position") -> DataFrame:
+    """Adds each row's place from 0 in its group in the order of `keys`, nulls first; rows equal in all of them are ordered arbitrarily.
+    A null is a group like others.
+
+    Rows are range-partitioned over all groups and made durable, so that a group of any size lies in many partitions. Each
+    partition adds the group's rows in those before it; only these counts, one row a partition and group that meet, are summed up.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = durable(df.repartitionByRange(parts, *group, *keys).sortWithinPartitions(*group, *keys).withColumn("__at", F.monotonically_increasing_id()))
+    rows = ordered.withColumn("__part", F.shiftright("__at", 33))
+    counts = rows.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__part")) - F.col("__n")
+    starts = counts.select(F.col("__part").alias("__in"), *[F.col(g).alias(f"__{g}") for g in group], "__first", before.alias("__start"))
+    same = F.col("__part") == F.col("__in")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return rows.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__at") - F.col("__first")).alias(name))
+
+
+def shard_manifest(df: DataFrame, key: str, shards: int) -> DataFrame:
+    """(shard, place, key): ids dealt round by round, key modulo the number of shards; a row for each, placed from 0 in its shard by key.
+    Rows without a key have no shard and stay out."""
+    rows = df.select(F.pmod(key, F.lit(shards)).cast("long").alias("shard"), key).where(F.col(key).isNotNull())
+    return positions_in(rows, ["shard"], [key], "place").select("shard", "place", key)
+
+
 def area_share(boxes: Column, width: Column, height: Column) -> Column:
     """Sum of box areas (overlaps count twice) over the image's, at most 1; 1 without boxes or size."""
     area = F.aggregate(boxes, F.lit(0.0), lambda a, b: a + F.greatest(b[2] - b[0], F.lit(0.0)) * F.greatest(b[3] - b[1], F.lit(0.0)))

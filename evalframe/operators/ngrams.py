@@ -14,16 +14,26 @@ def grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
+def coded_grams(tokens: Column, n: int) -> Column:
+    """The n-grams of a token list as pairs of 64-bit hashes, repeats kept."""
+    run = lambda i: F.slice(tokens, i, n)
+    made = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.struct(F.xxhash64(run(i)).alias("x"), F.xxhash64(F.lit(n), run(i)).alias("y")))
+    return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<struct<x:bigint,y:bigint>>"))
+
+
 def contaminated(docs: DataFrame, key: str, targets: DataFrame, n: int) -> DataFrame:
     """(key, hits): documents with the number of distinct n-grams that also stand in a target text.
 
-    The targets' n-grams meet the documents' in a semi join; only matches are counted.
+    n-grams meet in a semi join as 128-bit hashes, so that 16 bytes of each move and not its words; only matches are counted.
     """
     # Words are a column of their own, so that they aren't split again for every n-gram.
     split = lambda df, *c: df.select(*c, words(F.lower("text")).alias("w"))
-    own = split(docs, key).select(key, F.explode(F.array_distinct(grams(F.col("w"), n))).alias("s"))
-    known = split(targets).select(F.explode(F.array_distinct(grams(F.col("w"), n))).alias("s")).distinct()
-    return own.join(known, "s", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    # Spark's array_distinct compares all pairs of structs; sorted, equal ones stand together.
+    coded = lambda df, *c: split(df, *c).select(*c, F.sort_array(coded_grams(F.col("w"), n)).alias("s"))
+    once = F.filter("s", lambda p, i: (i == 0) | (p != F.get("s", i - 1)))
+    own = coded(docs, key).select(key, F.inline(once))
+    known = coded(targets).select(F.inline(once)).distinct()
+    return own.join(known, ["x", "y"], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
 
 
 def bleu(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.aggregates import pooled_stderr, stderr
+from evalframe.sources.io import durable
 
 
 def micro(df: DataFrame, key: str, score: Column) -> DataFrame:
@@ -36,17 +37,15 @@ def consistent(df: DataFrame, keys: Sequence[str], correct: Column) -> DataFrame
 
 
 def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
-    """(ancestor, node) pairs of a group hierarchy, found by extending paths until none is new; work follows the edges."""
-    paths = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node")).distinct()
-    step = edges.select(F.col(parent).alias("node"), F.col(child).alias("next"))
-    total = paths.count()
+    """(ancestor, node) pairs of a group hierarchy. Each round extends only the pairs that the last one found, leaves out those known, and
+    is durable; cycles end, as nothing in them stays new. Rounds are as many as the longest shortest path."""
+    step = durable(edges.select(F.col(parent).alias("node"), F.col(child).alias("next")).distinct())
+    paths = fresh = step.toDF("ancestor", "node")
     while True:
-        longer = paths.join(step, "node").select("ancestor", F.col("next").alias("node"))
-        paths = paths.union(longer).distinct()
-        now = paths.count()
-        if now == total:
+        fresh = durable(fresh.join(step, "node").select("ancestor", F.col("next").alias("node")).subtract(paths))
+        if not fresh.limit(1).count():
             return paths
-        total = now
+        paths = paths.union(fresh)
 
 
 def consolidate(results: DataFrame, pairs: DataFrame) -> DataFrame:

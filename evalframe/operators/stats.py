@@ -101,3 +101,17 @@ def k_centres(embeddings: DataFrame, k: int) -> DataFrame:
         if n % 5 == 4:
             state = durable(state)
     return embeddings.sparkSession.createDataFrame(chosen, "pick int, vec_id long")
+
+
+def fingerprint(df: DataFrame, key: str, part: Column, fan: int = 1000, levels: int = 3) -> DataFrame:
+    """(n, fingerprint): one SHA-256 over the rows' texts in the order of a whole-number key, whatever their partitions.
+
+    Texts are hashed in blocks of `fan` consecutive keys, these hashes in blocks of `fan` blocks, and so on; the last level takes
+    what is left. So no group holds more than `fan` keys, below fan**levels of them. Rows of one key come by text, those without
+    one first, as a block of their own; a null text is an empty one. An empty table has n = 0 and the hash of nothing.
+    """
+    now = df.select(F.col(key).cast("long").alias("k"), F.coalesce(part, F.lit("")).alias("s"), F.lit(1).cast("long").alias("n"))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("k", "s")))["s"], ""), 256)
+    for _ in range(levels - 1):
+        now = now.groupBy(F.floor(F.col("k") / fan).cast("long").alias("__k")).agg(joined.alias("s"), F.sum("n").alias("n")).withColumnRenamed("__k", "k")
+    return now.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), joined.alias("fingerprint"))

@@ -31,8 +31,8 @@ def p04_branches(t):
 
 @query("select c_mktsegment || '_' || (row_number() over (partition by c_mktsegment order by c_custkey) - 1) question_id, c_custkey src_row from customer")
 def p09_running_ids(t):
-    n = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1
-    return t.customer.select(F.concat_ws("_", "c_mktsegment", n).alias("question_id"), F.col("c_custkey").alias("src_row"))
+    rows = curate.positions_in(t.customer.select("c_mktsegment", "c_custkey"), ["c_mktsegment"], ["c_custkey"])
+    return rows.select(F.concat_ws("_", "c_mktsegment", "position").alias("question_id"), F.col("c_custkey").alias("src_row"))
 
 
 @query("select doc_id % 4 shard, count(*) n, min(doc_id) first_id from documents where doc_id >= 10 group by 1")
@@ -42,9 +42,9 @@ def p14_skip_and_shard(t):
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("select doc_id % 3 shard, string_agg(doc_id, ',' order by doc_id) ids from documents group by 1")
+@query("select doc_id % 3 shard, row_number() over (partition by doc_id % 3 order by doc_id) - 1 place, doc_id from documents")
 def p15_shard_manifest(t):
-    return t.documents.groupBy(F.pmod("doc_id", F.lit(3)).alias("shard")).agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("ids"))
+    return curate.shard_manifest(t.documents, "doc_id", 3)
 
 
 @query("select event_type, round(avg(value) filter (event_id % 17 <> 0 and event_id % 19 <> 0), 6) mean, round(avg(coalesce(try_cast(props as double), 0)), 6) coerced from events group by 1")

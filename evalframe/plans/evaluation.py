@@ -162,11 +162,10 @@ def a64_cosine_to_centroid(t):
     return stats.cosine_to_centroid(t.embeddings)
 
 
-@query("select to_base(0, 10) z, count(*) n, sha256(string_agg('sample_' || c_custkey || sha256(c_name), '' order by c_custkey)) fingerprint from customer group by 1")
+@query("with a as (select c_custkey // 1000 k, count(*) n, sha256(string_agg('sample_' || c_custkey || sha256(c_name), '' order by c_custkey)) s from customer group by 1), b as (select k // 1000 k, sum(n) n, sha256(string_agg(s, '' order by k)) s from a group by 1) select '0' z, cast(sum(n) as bigint) n, sha256(string_agg(s, '' order by k)) fingerprint from b")
 def a62_task_fingerprint(t):
     part = F.concat(F.lit("sample_"), "c_custkey", F.sha2("c_name", 256))
-    rows = F.array_sort(F.collect_list(F.struct("c_custkey", part.alias("s"))))
-    return t.customer.agg(F.lit("0").alias("z"), F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(rows["s"], ""), 256).alias("fingerprint"))
+    return stats.fingerprint(t.customer, "c_custkey", part).select(F.lit("0").alias("z"), "n", "fingerprint")
 
 
 @query("select event_type, quantile_cont(value, 0.75) cut, count(*) n from events group by 1")

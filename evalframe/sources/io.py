@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -14,10 +15,14 @@ BAD = "_corrupt_record"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names, or a temporary one where it names none."""
+    """A reliable checkpoint in the folder the session names. Where it names none, a local session gets a temporary one and a cluster an
+    error, for its executors don't share the driver's folders."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -75,12 +80,15 @@ def write_jsonl(df: DataFrame, path: str, keep: Sequence[str], mode: str = "erro
 
 
 def append_records(df: DataFrame, path: str) -> str | None:
-    """Adds rows as JSON lines to a log. A log that can't be written must not end the run that it tells of: the error's text comes
-    back in place of an exception, None if all went well."""
+    """Adds rows as JSON lines to a log. A log that can't be written must not end the run that it tells of: if a write of no rows fails
+    there, that error's text comes back in place of an exception, None if all went well. Errors of the rows' own
+    computation rise, so that a failed job doesn't look like a full log."""
+    put = lambda rows: rows.write.mode("append").option("ignoreNullFields", "false").json(path)
     try:
-        df.write.mode("append").option("ignoreNullFields", "false").json(path)
+        put(df.sparkSession.createDataFrame([], df.schema))
     except Exception as e:  # noqa: BLE001
         return str(e).splitlines()[0]
+    put(df)
     return None
 
 

@@ -5,6 +5,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalframe.sources import io
@@ -55,6 +56,8 @@ def test_records_never_raise(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/log").count() == 2
     (tmp_path / "file").write_text("")
     assert io.append_records(df, f"{tmp_path}/file/log")
+    with pytest.raises(Exception, match="no such row"):
+        io.append_records(df.select(F.raise_error(F.lit("no such row")).alias("x")), f"{tmp_path}/log")
 
 
 def test_results_and_summary(spark, tmp_path):
