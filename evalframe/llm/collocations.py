@@ -183,7 +183,9 @@ def merged(made: DataFrame, width: int, prefix: int, least: int) -> DataFrame:
     """(a, b, c, f): word ids and counts of the n-grams that occur `least` times or more in all filters together; c is 0 in bigrams."""
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [emptied(r.filter, r.m, r.bits, width, prefix, key[0]) for r in rows.itertuples()]
+        # The key comes as a 32-bit number of numpy, which a shift to the top of a wider key would cut off.
+        shard = int(key[0])
+        parts = [emptied(r.filter, r.m, r.bits, width, prefix, shard) for r in rows.itertuples()]
         hi, lo, n = added(*(np.concatenate([p[i] for p in parts]) for i in range(3)), width)
         hi, lo = restored(hi[n >= least], lo[n >= least], width)
         return pd.DataFrame({"a": (hi >> np.uint64(width)).astype(np.int64), "b": (hi & np.uint64(2**width - 1)).astype(np.int64), "c": lo.astype(np.int64), "f": n[n >= least]})

@@ -91,6 +91,14 @@ def test_phrases(spark, docs_of, monkeypatch, shard):
     assert max(r[1] for r in want) == 60 and {r[0] for r in want} == {"en", "fr", "und", "xx"}
 
 
+def test_wide_keys(spark, docs_of):
+    """66,000 words have ids of 17 bits, so a shard's number stands above the first 32 bits of a key."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"v{2 * k} v{2 * k + 1}" for k in rng.sample(range(33_000), 33_000)), "en", "s") for i in range(4)]
+    got = co.phrases(docs_of(rows).repartition(4), least=4, top=40_000)
+    assert {(r.phrase, r.a, r.l, r.r, r.n) for r in got.collect()} == {(f"v{2 * k} v{2 * k + 1}", 4, 4, 4, 264_000) for k in range(33_000)}
+
+
 def test_empty(docs_of):
     assert co.phrases(docs_of([])).count() == 0
     assert co.phrases(docs_of([(1, "once upon a time"), (2, None)])).count() == 0
