@@ -1,13 +1,18 @@
-"""Greedy merging of regions across layers, and growth of placebo regions, as rounds of joins over all keys at once."""
+"""Greedy merging of regions across layers, and growth of placebo regions; a task works on many keys at once, each key's cells whole."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evalframe.operators.regions import label_components, overlaps
+from evalframe.operators.regions import neighbours, overlaps, roots, whole_maps
 from evalframe.sources.io import durable
 
 #: Neighbours in the order in which a region grows into them: down, up, right, left.
@@ -17,17 +22,29 @@ STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1))
 def seeds(ranks: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(key, rank, seed): which ranks a greedy pass in rank order starts a cluster from; `pairs` (key, lo, hi) says which ranks join.
 
-    A rank is a seed once no lower one that it pairs with is a seed or undecided, and a member once one is a seed. Every round decides the
-    lowest undecided rank of each key at least; rounds are durable.
+    A rank is a seed unless a lower one that it pairs with is. A key's ranks and pairs are gathered and passed once.
     """
-    state = durable(ranks.select(key, "rank", F.lit(None).cast("boolean").alias("seed")))
-    while True:
-        below = pairs.join(state.select(key, F.col("rank").alias("lo"), F.col("seed").alias("__s")), [key, "lo"])
-        told = below.groupBy(key, F.col("hi").alias("rank")).agg(F.max("__s").alias("taken"), F.max(F.col("__s").isNull()).alias("waits"))
-        decided = F.when(F.col("taken"), False).when(~F.coalesce("waits", F.lit(False)), True)
-        state = durable(state.join(told, [key, "rank"], "left").select(key, "rank", F.coalesce("seed", decided).alias("seed")))
-        if not state.where("seed is null").limit(1).count():
-            return state
+    kinds = ranks.select(key, "rank").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for ranked, joined in zip(batch.column("ranks").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                below, first = defaultdict(list), set()
+                for p in joined or ():
+                    below[p["hi"]].append(p["lo"])
+                for rank in sorted(ranked):
+                    if first.isdisjoint(below[rank]):
+                        first.add(rank)
+                told.append([rank in first for rank in ranked])
+            rows = pc.list_parent_indices(batch.column("ranks"))
+            seed = pa.array([x for t in told for x in t], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("ranks").flatten(), seed], ["key", "rank", "seed"])
+
+    every = ranks.groupBy(F.col(key).alias("key")).agg(F.collect_list("rank").alias("ranks"))
+    joins = pairs.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("lo", "hi")).alias("pairs"))
+    out = T.StructType([T.StructField("key", kinds[key].dataType), kinds["rank"], T.StructField("seed", T.BooleanType())])
+    return every.join(joins, "key", "left").mapInArrow(run, out).withColumnRenamed("key", key)
 
 
 def merged_layers(cells: DataFrame, key: str, layer: str, comp: str, iou: float, layers: int, top: int, least_area: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -65,20 +82,24 @@ def beside(cells: DataFrame, key: str, *more: str) -> DataFrame:
     return sent.select(key, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), "o.step", *more)
 
 
-def grown(free: DataFrame, starts: DataFrame, key: str, area: int) -> DataFrame:
-    """The first `area` cells (key, r, c) of each key in breadth-first order from its start, neighbours in the order of STEPS.
-    One round for each distance from the start, all keys at once."""
-    found = durable(starts.select(key, "r", "c", F.lit(1).alias("at"), F.lit(True).alias("new")))
-    while True:
-        edge = found.where("new")
-        met = beside(edge, key, "at").join(free, [key, "r", "c"]).join(found.select(key, "r", "c"), [key, "r", "c"], "left_anti")
-        first = met.groupBy(key, "r", "c").agg(F.min(F.struct("at", "step")).alias("how"))
-        have = found.groupBy(key).agg(F.max("at").alias("n"))
-        placed = first.join(have, key).withColumn("at", F.col("n") + F.row_number().over(Window.partitionBy(key).orderBy("how"))).where(F.col("at") <= area)
-        more = durable(placed.select(key, "r", "c", "at", F.lit(True).alias("new")))
-        if not more.limit(1).count():
-            return found.select(key, "r", "c")
-        found = durable(found.withColumn("new", F.lit(False)).unionByName(more))
+def grown(row: np.ndarray, beside: np.ndarray, starts: np.ndarray, area: int) -> np.ndarray:
+    """The first `area` places of each map in breadth-first order from its start, neighbours in the order of `beside` (-1: none).
+    One round for each distance from the start, all maps at once."""
+    taken, have = np.zeros(len(row), bool), np.bincount(row[starts], minlength=row.max(initial=-1) + 1)
+    taken[starts] = True
+    edge = starts
+    while len(edge):
+        met = beside[edge].reshape(-1)
+        met = met[met >= 0]
+        met = met[~taken[met]]
+        # The first to reach a place puts it there; maps follow one another, so a place's number in its map is told by a count.
+        met = met[np.sort(np.unique(met, return_index=True)[1])]
+        met = met[np.argsort(row[met], kind="stable")]
+        at = np.arange(len(met)) - np.searchsorted(row[met], row[met])
+        edge = met[have[row[met]] + at < area]
+        taken[edge] = True
+        have += np.bincount(row[edge], minlength=len(have))
+    return np.flatnonzero(taken)
 
 
 def placebo_blobs(cells: DataFrame, exclude: DataFrame, key: str, area: int, blobs: int, below: float, draw: Callable[[int], Column]) -> DataFrame:
@@ -90,14 +111,26 @@ def placebo_blobs(cells: DataFrame, exclude: DataFrame, key: str, area: int, blo
     """
     near = exclude.select(key, "r", "c").union(beside(exclude, key).select(key, "r", "c"))
     zone = cells.where(F.col("p") < below).select(key, "r", "c").join(near, [key, "r", "c"], "left_anti")
-    wide = zone.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= area * blobs).select(key)
-    free, out = durable(zone.join(wide, key)), None
-    for blob in range(1, blobs + 1):
-        labelled = label_components(free, key)
-        large = labelled.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "comp"))).where(F.col("n") >= area)
-        starts = large.groupBy(key).agg(F.min(F.struct(draw(blob).alias("draw"), "r", "c")).alias("__s")).select(key, "__s.r", "__s.c")
-        made = grown(free, starts, key, area)
-        free = durable(free.join(made, [key, "r", "c"], "left_anti"))
-        made = made.select(key, F.lit(blob).alias("blob"), "r", "c")
-        out = made if out is None else out.unionByName(made)
-    return out
+    draws = [draw(blob).alias(f"d{blob}") for blob in range(1, blobs + 1)]
+    maps = zone.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(F.struct("r", "c", *draws))).alias("cells"))
+    kinds = cells.select(key, "r", "c").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, cell in whole_maps(batch, "cells"):
+                r, c = (cell.field(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+                for blob in range(1, blobs + 1):
+                    beside = neighbours(row, r, c, STEPS)
+                    root = roots(beside)
+                    large = np.flatnonzero(np.bincount(root, minlength=len(root))[root] >= area)
+                    # Cells come by row and column, and so do those with the same draw.
+                    large = large[np.lexsort((large, cell.field(f"d{blob}").to_numpy()[large], row[large]))]
+                    made = grown(row, beside, large[np.unique(row[large], return_index=True)[1]], area)
+                    picked = pa.array(made)
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row[made])), pa.array(np.full(len(made), blob, np.int32)), cell.field("r").take(picked), cell.field("c").take(picked)], ["key", "blob", "r", "c"])
+                    left = np.ones(len(row), bool)
+                    left[made] = False
+                    row, r, c, cell = row[left], r[left], c[left], cell.filter(pa.array(left))
+
+    out = T.StructType([T.StructField("key", kinds[key].dataType), T.StructField("blob", T.IntegerType()), kinds["r"], kinds["c"]])
+    return maps.where(F.size("cells") >= area * blobs).mapInArrow(run, out).withColumnRenamed("key", key)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,26 +43,76 @@ def peak_gate(cells: DataFrame, key: str, ratio: float, least_peak: float | None
     return kept.drop("peak", "mean")
 
 
-def label_components(cells: DataFrame, key: str, diagonal: bool = False) -> DataFrame:
-    """Adds comp: connected components numbered from 1 by their first cell in row order. Smallest-neighbour labels spread in a
-    loop of joins, each round durable, until none changes."""
-    from evalframe.sources.io import durable
-
-    steps = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)] + [(i, j) for i in (-1, 1) for j in (-1, 1)] * diagonal
-    now = durable(cells.select(key, "r", "c", (F.col("r").cast("long") * 2**31 + F.col("c")).alias("l")))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
+#: Cells that a Python worker takes at a time; a larger map stands alone.
+CELLS = 1_000_000
+
+
+def whole_maps(batch: pa.RecordBatch, column: str, most: int = CELLS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.StructArray]]:
+    """Row ranges of a batch of maps with about `most` cells each: the rows, each cell's row in them, and the cells."""
+    sizes, first = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False), 0
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for end in [*cuts.tolist(), batch.num_rows]:
+        if end > first:
+            part = batch.slice(first, end - first)
+            yield part, np.repeat(np.arange(end - first), sizes[first:end]), part.column(column).flatten()
+        first = end
+
+
+def neighbours(row: np.ndarray, r: np.ndarray, c: np.ndarray, steps: Sequence[tuple[int, int]]) -> np.ndarray:
+    """For each cell and step the place of the cell there in the same map, -1 if there is none. No two cells of a map are the same."""
+    rs, cs = np.unique(r), np.unique(c)
+    n, m = max(len(rs), 1), max(len(cs), 1)
+    code = (row * n + np.searchsorted(rs, r)) * m + np.searchsorted(cs, c)
+    order = np.argsort(code, kind="stable")
+    have = code[order]
+    out = np.full((len(code), len(steps)), -1)
+    for k, (i, j) in enumerate(steps):
+        x, y = np.searchsorted(rs, r + i).clip(max=n - 1), np.searchsorted(cs, c + j).clip(max=m - 1)
+        want = (row * n + x) * m + y
+        at = np.searchsorted(have, want).clip(max=max(len(have) - 1, 0))
+        met = (rs[x] == r + i) & (cs[y] == c + j) & (have[at] == want) if len(have) else np.zeros(0, bool)
+        out[met, k] = order[at[met]]
+    return out
+
+
+def roots(beside: np.ndarray) -> np.ndarray:
+    """The first place that each place reaches over neighbours (-1: none): smallest labels spread, and labels of labels."""
+    a, k = np.nonzero(beside >= 0)
+    b = beside[a, k]
+    root = np.arange(len(beside))
     while True:
-        sent = now.select(key, "l", "r", "c", F.explode(near).alias("o")).select(key, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), "l")
-        low = sent.groupBy(key, "r", "c").agg(F.min("l").alias("m"))
-        step = now.join(low, [key, "r", "c"])
-        # A label is itself a cell: its own label is at least as good.
-        root = now.select(key, F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("l").alias("root"))
-        step = step.withColumn("pr", F.floor(F.col("m") / 2**31).cast("int")).withColumn("pc", F.pmod("m", F.lit(2**31)).cast("int"))
-        new = durable(step.join(root, [key, "pr", "pc"], "left").select(key, "r", "c", F.col("l").alias("was"), F.least("m", F.coalesce("root", "m")).alias("l")))
-        moved = new.where("l < was").limit(1).count()
-        now = new.select(key, "r", "c", "l")
-        if not moved:
-            return now.withColumn("comp", F.dense_rank().over(Window.partitionBy(key).orderBy("l"))).drop("l")
+        low = np.minimum(root[a], root[b])
+        up = root.copy()
+        np.minimum.at(up, root[a], low)
+        np.minimum.at(up, root[b], low)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        if np.array_equal(up, root):
+            return root
+        root = up
+
+
+def label_components(cells: DataFrame, key: str, diagonal: bool = False) -> DataFrame:
+    """Adds comp: connected components numbered from 1 by their first cell in row order. Cells are dealt out by map once; a
+    task labels many maps together, each cell once. Cells without a key or a place take no part."""
+    steps = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * diagonal
+    kinds = cells.select(key, "r", "c").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, cell in whole_maps(batch, "cells"):
+                # In order of maps, rows and columns, a component's first place is its first cell.
+                r, c = (cell.field(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+                root = roots(neighbours(row, r, c, steps))
+                number = np.cumsum(root == np.arange(len(root)))
+                before = np.searchsorted(row, np.arange(part.num_rows))
+                comp = number[root] - (number[before] - 1)[row] if len(row) else number
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), cell.field("r"), cell.field("c"), pa.array(comp.astype(np.int32))], ["key", "r", "c", "comp"])
+
+    maps = cells.where(F.col(key).isNotNull() & F.col("r").isNotNull() & F.col("c").isNotNull()).groupBy(F.col(key).alias("key"))
+    maps = maps.agg(F.sort_array(F.collect_set(F.struct("r", "c"))).alias("cells"))
+    out = T.StructType([T.StructField("key", kinds[key].dataType), kinds["r"], kinds["c"], T.StructField("comp", T.IntegerType())])
+    return maps.mapInArrow(run, out).withColumnRenamed("key", key)
 
 
 def component_stats(cells: DataFrame, key: str, top: float, n_cells: int | None = None, beta: float = 0.0, gamma: float = 0.0) -> DataFrame:

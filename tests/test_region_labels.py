@@ -197,3 +197,19 @@ def test_pseudo_labels(spark):
                     want[k, *x] = -100 if not fine else 1 if g[x] > 0 else 0 if back else -100
             assert got == want
             assert {v for (k, *_), v in want.items() if k in (3, 4)} == {-100} and set(want.values()) == {1, 0, -100}
+
+
+def test_no_rounds(spark):
+    """Labels and blobs are made where a map's cells are, without a job for each round of spreading, along a path of 1,000 cells too."""
+    from evalframe.operators import regions
+
+    path = [(k, i // 2, (i + 1) // 2 + 5 * k) for k in (1, 2) for i in range(1000)] + [(2, 0, 0), (2, 600, 0)]
+    cells = spark.createDataFrame([(*x, -1.0) for x in path], "k int, r int, c int, p double")
+    spark.sparkContext.setJobGroup("rounds", "labels")
+    labelled = regions.label_components(cells, "k")
+    blobs = region_growth.placebo_blobs(cells, cells.where("k < 0"), "k", 300, 4, 0.0, lambda blob: F.hash(F.lit(blob), "r", "c"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    spark.sparkContext.setJobGroup("after", "rows")
+    assert {(r.k, r.r, r.c): r.comp for r in labelled.collect()} == {x: 1 + (x[0] == 2 and x[1:] != (0, 0)) + (x == (2, 600, 0)) for x in path}
+    made = blobs.groupBy("k", "blob").count().collect()
+    assert {r["count"] for r in made} == {300} and {r.k for r in made} == {1, 2}
