@@ -5,12 +5,15 @@ Draws compare MD5 digests of a row's key and a seed, so they depend on nothing e
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.operators.curate import positions
+from evalframe.operators.ngrams import met_grams
 
 
 def draw(seed: int, *keys: Column | str) -> Column:
@@ -86,18 +89,38 @@ def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(draw(seed, key), key).limit(n)
 
 
+#: Rows whose characters a Python worker takes at a time.
+ROWS = 10_000
+
+
+def char_sums(batches: Iterator[pa.RecordBatch], orders: int) -> Iterator[pa.RecordBatch]:
+    """(k, m, p, r) of each run of rows: character n-grams that both texts p and r of a row have, and those of either."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(lo, ROWS)
+            texts = [batch.column(c).fill_null("").to_pylist() for c in ("p", "r")]
+            chars = np.frombuffer("".join(texts[0] + texts[1]).encode("utf-32-le"), np.uint32)
+            row = np.repeat(np.tile(np.arange(batch.num_rows), 2), [len(t) for side in texts for t in side])
+            second = np.arange(len(chars)) >= sum(map(len, texts[0]))
+            found = met_grams(chars, 2 * row + second, row, second, orders)
+            rows = [(k, *(int(n.sum()) for n in sums)) for k, sums in enumerate(found, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["k", "m", "p", "r"])
+
+
 def char_fscore(df: DataFrame, key: str, guess: str, gold: str, orders: int = 6, beta: float = 2.0) -> DataFrame:
     """One row with chrf: character n-gram F over the whole table. Blanks don't count; counts of each order are summed over rows,
     precision and recall averaged over the orders that both sides have."""
+    plain = lambda c: F.regexp_replace(c, r"\s", "")
+    rows = df.select(F.col(key).alias("id"), plain(guess).alias("p"), plain(gold).alias("r"))
+    rows = rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    # A key's only row is counted where it stands; rows that share one meet by key and n-gram, and those without a key meet nothing.
+    alone = rows.where("__rows = 1 and id is not null").select("p", "r").mapInArrow(lambda batches: char_sums(batches, orders), "k int, m long, p long, r long")
     starts = "filter(sequence(0, length(s)), i -> i > 0 and i <= length(s) - k + 1)"
     one = f"explode(flatten(transform(sequence(1, {orders}), k -> transform({starts}, i -> named_struct('k', k, 'g', substring(s, i, k)))))) as x"
-
-    def grams(c: str) -> DataFrame:
-        plain = df.select(F.col(key).alias("id"), F.regexp_replace(c, r"\s", "").alias("s"))
-        return plain.selectExpr("id", one).groupBy("id", "x.k", "x.g").agg(F.count(F.lit(1)).alias("n"))
-
-    both = grams(guess).select("id", "k", "g", F.col("n").alias("p")).join(grams(gold).select("id", "k", "g", F.col("n").alias("r")), ["id", "k", "g"], "full")
-    sums = both.groupBy("k").agg(F.sum(F.least(F.coalesce("p", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("m"), F.sum("p").alias("p"), F.sum("r").alias("r")).where("p > 0 and r > 0")
+    several = rows.where("__rows > 1 or id is null").selectExpr("id", "inline(array(struct(true as guess, p as s), struct(false as guess, r as s)))")
+    counts = several.selectExpr("id", "guess", one).groupBy("id", "x.k", "x.g").agg(F.count_if("guess").alias("p"), F.count_if(~F.col("guess")).alias("r"))
+    several = counts.groupBy("k").agg(F.sum(F.when(F.col("id").isNotNull(), F.least("p", "r")).otherwise(0)).alias("m"), F.sum("p").alias("p"), F.sum("r").alias("r"))
+    sums = alone.unionByName(several).groupBy("k").agg(*[F.sum(c).alias(c) for c in ("m", "p", "r")]).where("p > 0 and r > 0")
     mean = sums.agg(F.avg(F.col("m") / F.col("p")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("r"))
     f = (1 + beta**2) * F.col("p") * F.col("r") / (beta**2 * F.col("p") + F.col("r"))
     return mean.select(F.coalesce(F.when(F.col("p") + F.col("r") > 0, 100 * f), F.lit(0.0)).alias("chrf"))
