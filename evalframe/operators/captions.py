@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,11 @@ SIGMA, BETA = 6.0, 1.2
 
 
 def gram_counts(rows: DataFrame, keys: list[str], tokens: str, orders: int) -> DataFrame:
-    """(keys, __k, __g, __n): how often each run of k tokens, k = 1 .. orders, occurs in a row."""
+    """(keys, __k, __x, __y, __n): how often each run of k tokens, k = 1 .. orders, occurs in a row; runs go by 128-bit hashes."""
     starts = "filter(sequence(1, greatest(size({t}), 1)), i -> i <= size({t}) - k + 1)".format(t=tokens)
-    grams = f"explode(flatten(transform(sequence(1, {orders}), k -> transform({starts}, i -> struct(k, array_join(slice({tokens}, i, k), '\\n') as g))))) as x"
-    return rows.selectExpr(*keys, grams).groupBy(*keys, F.col("x.k").alias("__k"), F.col("x.g").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    run = f"slice({tokens}, i, k)"
+    grams = f"inline(flatten(transform(sequence(1, {orders}), k -> transform({starts}, i -> struct(k as __k, xxhash64({run}) as __x, xxhash64(k, {run}) as __y)))))"
+    return rows.selectExpr(*keys, grams).groupBy(*keys, "__k", "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
 
 
 def consensus(guesses: DataFrame, references: DataFrame, key: str, tokens: str, ref: str, orders: int = 4) -> DataFrame:
@@ -29,27 +30,30 @@ def consensus(guesses: DataFrame, references: DataFrame, key: str, tokens: str,
     An n-gram weighs its count times log(keys) - log(keys whose references hold it, at least 1). A pair's score is the mean over
     orders of the cosine of both vectors, each weight of the guess clipped to the reference's, times
     exp(-d * d / 72) for d the difference of their numbers of bigrams; a key's is ten times the mean over its references, 0
-    without any. Vectors meet by key and n-gram, so no two keys' rows do.
+    without any. Vectors meet by key and n-gram, so no two keys' rows do. No join is a broadcast but that of the number of
+    keys, so the driver holds no table.
     """
-    mine = durable(gram_counts(guesses, [key], tokens, orders))
-    theirs = durable(gram_counts(references, [key, ref], tokens, orders))
+    texts = guesses.select(key, F.lit(True).alias("__own"), F.lit(None).cast(references.schema[ref].dataType).alias(ref), tokens)
+    texts = texts.union(references.select(key, F.lit(False), ref, tokens)).where(F.col(key).isNotNull())
+    counts = durable(gram_counts(texts, [key, "__own", ref], tokens, orders))
     # One row: the number of keys.
     keys = guesses.agg(F.log(F.count_distinct(key).cast("double")).alias("__all"))
-    held = theirs.groupBy("__k", "__g").agg(F.count_distinct(key).alias("__df"))
-    weigh = lambda rows: rows.join(held, ["__k", "__g"], "left").join(F.broadcast(keys)).withColumn("__w", F.col("__n") * (F.col("__all") - F.log(F.greatest(F.coalesce("__df", F.lit(1)), F.lit(1)).cast("double")))).drop("__df", "__all")
-    mine, theirs = weigh(mine), weigh(theirs)
+    gram = ["__k", "__x", "__y"]
+    held = counts.where("not __own").select(key, *gram).distinct().groupBy(*gram).agg(F.count(F.lit(1)).alias("__df"))
+    rows = counts.join(held.hint("merge"), gram, "left").join(F.broadcast(keys))
+    rows = rows.withColumn("__w", F.col("__n") * (F.col("__all") - F.log(F.greatest(F.coalesce("__df", F.lit(1)), F.lit(1)).cast("double"))))
+    rows = rows.withColumn("__h", F.max(F.when(F.col("__own"), F.col("__w"))).over(Window.partitionBy(key, *gram)))
     length = F.sum(F.when(F.col("__k") == 2, F.col("__n")).otherwise(0))
-    sizes = lambda rows, by, s: rows.groupBy(*by).agg(length.alias(f"__{s}_length"))
-    norms = lambda rows, by, s: rows.groupBy(*by, "__k").agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias(f"__{s}_norm"))
-    dots = theirs.select(key, ref, "__k", "__g", F.col("__w").alias("__r")).join(mine.select(key, "__k", "__g", F.col("__w").alias("__h")), [key, "__k", "__g"])
-    dots = dots.groupBy(key, ref, "__k").agg(F.sum(F.least("__h", "__r") * F.col("__r")).alias("__dot"))
-    near = dots.join(norms(mine, [key], "h"), [key, "__k"]).join(norms(theirs, [key, ref], "r"), [key, ref, "__k"])
+    sums = rows.groupBy(key, "__own", ref, "__k").agg(F.sum(F.when(F.col("__h").isNotNull(), F.least("__h", "__w") * F.col("__w"))).alias("__dot"), F.count("__h").alias("__met"), F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"), length.alias("__length"))
+    # One row for each text and order; a text's length is that of its order 2.
+    own = lambda c: F.max(F.when(F.col("__own"), F.col(c)))
+    sums = sums.withColumn("__h_norm", own("__norm").over(Window.partitionBy(key, "__k"))).withColumn("__h_length", own("__length").over(Window.partitionBy(key)))
+    sums = sums.withColumn("__r_length", F.max("__length").over(Window.partitionBy(key, "__own", ref)))
     gap = F.col("__h_length") - F.col("__r_length")
-    near = near.join(sizes(mine, [key], "h"), key).join(sizes(theirs, [key, ref], "r"), [key, ref])
-    pairs = near.where("__h_norm > 0 and __r_norm > 0").withColumn("__s", F.col("__dot") / (F.col("__h_norm") * F.col("__r_norm")) * F.exp(-gap * gap / (2 * SIGMA * SIGMA)))
+    pairs = sums.where("not __own and __met > 0 and __h_norm > 0 and __norm > 0").withColumn("__s", F.col("__dot") / (F.col("__h_norm") * F.col("__norm")) * F.exp(-gap * gap / (2 * SIGMA * SIGMA)))
     total = pairs.groupBy(key).agg((F.sum("__s") / orders).alias("__s"))
     many = references.groupBy(key).agg(F.count(F.lit(1)).alias("__refs"))
-    met = guesses.select(key).join(total, key, "left").join(many, key, "left")
+    met = guesses.select(key).join(total.hint("merge"), key, "left").join(many.hint("merge"), key, "left")
     return met.select(key, F.coalesce(10.0 * F.col("__s") / F.col("__refs"), F.lit(0.0)).alias("cider"))
 
 
@@ -79,19 +83,49 @@ def rouge_l(guess: Column, references: Column) -> Column:
     return F.coalesce(F.when((p > 0) & (r > 0), (1 + BETA**2) * p * r / (r + BETA**2 * p)), F.lit(0.0))
 
 
+def common_letters(text: str, places: dict[str, int], length: int) -> int:
+    """The length of the longest common subsequence of a text and one of `length` whose letters stand at the bits of `places`."""
+    full = row = (1 << length) - 1
+    for letter in text:
+        if at := places.get(letter):
+            met = row & at
+            row = (row + met | row - met) & full
+    return length - row.bit_count()
+
+
 @F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
-def most_alike(texts: pd.Series, target: pd.Series) -> pd.DataFrame:
-    """The first of a row's texts that is most like its target by matching blocks, from 1; null if none has a character in common."""
+def most_alike(tokens: pd.Series, wanted: pd.Series, target: pd.Series, between: pd.Series) -> pd.DataFrame:
+    """Where, from 1, the first run of a row's tokens starts that is most like its target by matching blocks, of the runs as long as `wanted`
+    that share a token with it; null if none has a character in common.
+
+    Matching blocks make up a common subsequence, so the longest one bounds a run's ratio: runs are compared by falling bound,
+    equal ones once, until no bound is above the best ratio.
+    """
     out = []
-    for row, wanted in zip(texts, target, strict=True):
-        match, best, at = SequenceMatcher(None), 0.0, None
-        match.set_seq2(wanted or "")
-        for i, text in enumerate(row if row is not None else ()):
-            match.set_seq1(text)
-            if match.real_quick_ratio() > best and match.quick_ratio() > best and (ratio := match.ratio()) > best:
-                best, at = ratio, i + 1
+    match = SequenceMatcher(None)
+    for row, gold, text, joint in zip(tokens, wanted, target, between, strict=True):
+        best, at = 0.0, None
+        if row is not None and gold is not None and 0 < len(gold) <= len(row):
+            places, size, known = {}, len(gold), set(gold)
+            for i, letter in enumerate(text):
+                places[letter] = places.get(letter, 0) | 1 << i
+            last, runs = -size, {}
+            for i, token in enumerate(row):
+                last = i if token in known else last
+                if i + 1 >= size and last > i - size:
+                    runs.setdefault(joint.join(row[i + 1 - size : i + 1]), i + 2 - size)
+            match.set_seq2(text)
+            bounds = sorted((-2.0 * common_letters(run, places, len(text)) / (len(run) + len(text)), start, run) for run, start in runs.items())
+            for bound, start, run in bounds:
+                if -bound < best:
+                    break
+                if -bound == best and at is not None and start > at:
+                    continue
+                match.set_seq1(run)
+                if (ratio := match.ratio()) > best or (ratio == best and at is not None and start < at):
+                    best, at = ratio, start
         out.append((at, best))
-    return pd.DataFrame(out, columns=["at", "similarity"])
+    return pd.DataFrame(out, columns=["at", "similarity"]).astype({"at": "Int32"})
 
 
 def filled_blanks(df: DataFrame, response: str, gold: str, word: str = r"(?U)\w+|[^\w\s]", between: str = " ") -> DataFrame:
@@ -110,10 +144,9 @@ def filled_blanks(df: DataFrame, response: str, gold: str, word: str = r"(?U)\w+
     for mark in REFUSALS_IN_ANY_CASE:
         refused = refused | F.contains(F.lower(said), F.lit(mark))
     rows = df.drop(*names).withColumns({"__a": tokens(said), "__g": tokens(gold_text), "__no": refused})
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("__a"), F.lit(1))), lambda i: (i <= F.size("__a") - F.size("__g") + 1) & (F.size("__g") > 0) & ~F.col("__no"))
-    rows = rows.withColumn("__runs", F.filter(F.transform(starts, lambda i: F.slice("__a", i, F.size("__g"))), lambda w: F.arrays_overlap(w, F.col("__g"))))
-    rows = rows.withColumn("__best", most_alike(F.transform("__runs", lambda w: F.array_join(w, between)), gold_text))
-    rows = rows.withColumn("__w", F.coalesce(F.try_element_at("__runs", F.col("__best.at")), F.array().cast("array<string>")))
+    wanted = F.when(~F.col("__no"), F.col("__g"))
+    rows = rows.withColumn("__best", most_alike(F.col("__a"), wanted, gold_text, F.lit(between)))
+    rows = rows.withColumn("__w", F.coalesce(F.slice("__a", F.col("__best.at"), F.size("__g")), F.array().cast("array<string>")))
     both, own = F.size(F.array_intersect("__w", "__g")).cast("double"), F.array_distinct("__w")
     share = lambda n: F.coalesce(both / F.nullif(n, F.lit(0)), F.lit(0.0))
     p, r = share(F.size(own)), share(F.size(F.array_distinct("__g")))
@@ -123,5 +156,5 @@ def filled_blanks(df: DataFrame, response: str, gold: str, word: str = r"(?U)\w+
         "found": F.array_join("__w", between), "similarity": F.coalesce(F.when(F.size("__w") > 0, F.col("__best.similarity")), F.lit(0.0)), "precision": p, "recall": r,
         "f1": F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)), "jaccard": share(F.size(F.array_union("__w", "__g"))),
         "rouge1": F.coalesce(clipped / F.nullif(F.size("__w"), F.lit(0)), F.lit(0.0)), "exact_match": ((F.size("__w") > 0) & (F.col("__w") == F.col("__g"))).cast("double"),
-    }).drop("__a", "__g", "__no", "__runs", "__best", "__w")
+    }).drop("__a", "__g", "__no", "__best", "__w")
 
