@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,14 +85,60 @@ def rouge_l(guess: Column, references: Column) -> Column:
     return F.coalesce(F.when((p > 0) & (r > 0), (1 + BETA**2) * p * r / (r + BETA**2 * p)), F.lit(0.0))
 
 
-def common_letters(text: str, places: dict[str, int], length: int) -> int:
-    """The length of the longest common subsequence of a text and one of `length` whose letters stand at the bits of `places`."""
-    full = row = (1 << length) - 1
-    for letter in text:
-        if at := places.get(letter):
-            met = row & at
-            row = (row + met | row - met) & full
-    return length - row.bit_count()
+#: Lengths of common runs of letters that are tabled; rows with longer ones are compared by the library's matcher.
+LEVELS = 64
+
+
+def common_runs(text: str, target: str) -> tuple[list[tuple[list[int], list[int]]], bool] | None:
+    """For each length k the places where a run of k letters that both texts have ends in `text`, each with the bits of its ends in
+    `target`; and whether letters are left out as too frequent, as the library's matcher does. None beyond LEVELS."""
+    places: dict[str, int] = {}
+    for i, letter in enumerate(target):
+        places[letter] = places.get(letter, 0) | 1 << i
+    most = len(target) // 100 + 1 if len(target) >= 200 else len(target)
+    rare = {letter: bits for letter, bits in places.items() if bits.bit_count() <= most}
+    one = {i: rare[letter] for i, letter in enumerate(text) if letter in rare}
+    levels, now = [], one
+    while now:
+        if len(levels) == LEVELS:
+            return None
+        levels.append((list(now), list(now.values())))
+        now = {i + 1: bits for i, old in now.items() if (bits := old << 1 & one.get(i + 1, 0))}
+    return levels, len(rare) < len(places)
+
+
+def matched(levels: list[tuple[list[int], list[int]]], frequent: bool, a: str, b: str, lo: int, hi: int, best: float = -1.0) -> int:
+    """The letters in matching blocks of a[lo:hi] and b: the longest common run, the first in a and then in b, and so on at both of its sides.
+    0 as soon as it is certain that their ratio can't exceed `best`."""
+    total, rest, hope = 0, [(lo, hi, 0, len(b), len(levels))], min(hi - lo, len(b))
+    least = best * (hi - lo + len(b)) / 2 - 1e-6
+    while rest:
+        alo, ahi, blo, bhi, longest = rest.pop()
+        i, j, size = alo, blo, 0
+        for k in range(min(longest, ahi - alo, bhi - blo), 0, -1):
+            at, ends = levels[k - 1]
+            window = (1 << bhi) - (1 << blo + k - 1)
+            for x in range(bisect_left(at, alo + k - 1), bisect_left(at, ahi)):
+                if bits := ends[x] & window:
+                    i, j, size = at[x] - k + 1, (bits & -bits).bit_length() - k, k
+                    break
+            if size:
+                break
+        longest = size
+        if frequent:
+            while i > alo and j > blo and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+                size += 1
+        # What the sides can still give, in place of what the whole could.
+        hope -= min(ahi - alo, bhi - blo) - (size + min(i - alo, j - blo) + min(ahi - i - size, bhi - j - size) if size else 0)
+        if hope < least:
+            return 0
+        if size:
+            total += size
+            rest += [(alo, i, blo, j, longest)] if alo < i and blo < j else []
+            rest += [(i + size, ahi, j + size, bhi, longest)] if i + size < ahi and j + size < bhi else []
+    return total
 
 
 @F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
@@ -98,32 +146,29 @@ def most_alike(tokens: pd.Series, wanted: pd.Series, target: pd.Series, between:
     """Where, from 1, the first run of a row's tokens starts that is most like its target by matching blocks, of the runs as long as `wanted`
     that share a token with it; null if none has a character in common.
 
-    Matching blocks make up a common subsequence, so the longest one bounds a run's ratio: runs are compared by falling bound,
-    equal ones once, until no bound is above the best ratio.
+    Runs are stretches of the joined tokens, so the runs of letters that these share with the target are found once for all.
     """
     out = []
-    match = SequenceMatcher(None)
     for row, gold, text, joint in zip(tokens, wanted, target, between, strict=True):
         best, at = 0.0, None
         if row is not None and gold is not None and 0 < len(gold) <= len(row):
-            places, size, known = {}, len(gold), set(gold)
-            for i, letter in enumerate(text):
-                places[letter] = places.get(letter, 0) | 1 << i
-            last, runs = -size, {}
+            size, known, whole = len(gold), set(gold), joint.join(row)
+            starts = [0, *accumulate(len(token) + len(joint) for token in row)]
+            found, match = common_runs(whole, text), SequenceMatcher(None, "", text)
+            last = -size
             for i, token in enumerate(row):
                 last = i if token in known else last
-                if i + 1 >= size and last > i - size:
-                    runs.setdefault(joint.join(row[i + 1 - size : i + 1]), i + 2 - size)
-            match.set_seq2(text)
-            bounds = sorted((-2.0 * common_letters(run, places, len(text)) / (len(run) + len(text)), start, run) for run, start in runs.items())
-            for bound, start, run in bounds:
-                if -bound < best:
-                    break
-                if -bound == best and at is not None and start > at:
+                first = i + 1 - size
+                if first < 0 or last < first:
                     continue
-                match.set_seq1(run)
-                if (ratio := match.ratio()) > best or (ratio == best and at is not None and start < at):
-                    best, at = ratio, start
+                lo, hi = starts[first], starts[i] + len(token)
+                if found is not None:
+                    ratio = 2.0 * matched(*found, whole, text, lo, hi, best) / (hi - lo + len(text))
+                else:
+                    match.set_seq1(whole[lo:hi])
+                    ratio = match.ratio() if match.real_quick_ratio() > best and match.quick_ratio() > best else 0.0
+                if ratio > best:
+                    best, at = ratio, first + 1
         out.append((at, best))
     return pd.DataFrame(out, columns=["at", "similarity"]).astype({"at": "Int32"})
 

@@ -66,3 +66,19 @@ def test_filled_blanks(spark):
     assert len(got) == len(rows)
     for x, (said, gold) in zip(got, rows, strict=True):
         assert tuple(x[3:]) == pytest.approx(brute(said, gold)), (said, gold)
+
+
+def test_matching_blocks():
+    """The tabled runs of letters give the library's ratios, with letters that it leaves out as too frequent too."""
+    rng = random.Random(8)
+    for n in range(400):
+        letters = rng.choice(["ab", "abcdefgh ", "etaoin shrdlué猫"])
+        target = "".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 40, 199, 200, 320])))
+        text = "".join(rng.choice([rng.choice(letters), target[k : k + 9]]) for k in (rng.randrange(len(target)) for _ in range(rng.randrange(60))))
+        found = captions.common_runs(text, target)
+        lo = rng.randrange(len(text) + 1)
+        hi = rng.randrange(lo, len(text) + 1)
+        if found is not None and lo < hi:
+            blocks = SequenceMatcher(None, text[lo:hi], target).get_matching_blocks()
+            assert captions.matched(*found, text, target, lo, hi) == sum(b.size for b in blocks), (text, target, lo, hi)
+    assert captions.common_runs("a" * 100, "a" * 100) is None
