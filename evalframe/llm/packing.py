@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import slices
+from evalframe.llm.common import IS_SPACE, slices
 
 #: Words whose ids each worker remembers; with more it starts anew.
 REMEMBERED = 500_000
-#: A word of letters that symbols other than the apostrophe follow: the tokenizer parts it there as well.
-TAIL = re.compile(r"([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters that are lower case and composed, so the tokenizer takes a word of them alone as it is and in one piece.
+LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: What a byte is: nothing (a blank), a letter, an ASCII symbol other than the apostrophe, anything else.
+LETTER, SYMBOL, OTHER = 1, 2, 4
+KINDS = np.full(256, OTHER, dtype=np.uint8)
+KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = LETTER
+KINDS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = SYMBOL
+KINDS[IS_SPACE] = 0
 
-_tokenizers: dict[str, object] = {}
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, Words] = {}
 
 
 def lowered(text: str) -> str:
@@ -35,32 +42,92 @@ def lowered(text: str) -> str:
     return low if plain else text
 
 
+class Words:
+    """The ids of the words that a worker has met, one after another in an array; a word's slot tells where."""
+
+    def __init__(self, path: str):
+        # Spark's tasks are the threads.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.starts, self.used = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Takes the ids of new words; `ends` are those of each word in `ids`."""
+        n, most = len(self.slots), len(self.slots) + len(words)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + len(ids), "<u4")])
+        if most >= len(self.starts):
+            self.starts = np.concatenate([self.starts[: n + 1], np.empty(most + 1, np.int64)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : most + 1] = self.used + ends
+        self.used += len(ids)
+        self.slots.update(zip(words, range(n, most), strict=True))
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of these distinct words start, and their number. New words of letters are encoded in one call, for
+        the token that closes a word shows where it ends; others one by one."""
+        if len(self.slots) >= REMEMBERED:
+            self.clear()
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        plain: list[int] = []
+        odd: list[int] = []
+        for i in np.flatnonzero(slots < 0).tolist():
+            (plain if LETTERS.fullmatch(words[i]) else odd).append(i)
+        slots[plain + odd] = np.arange(len(self.slots), len(self.slots) + len(plain) + len(odd))
+        if plain:
+            fresh = [words[i] for i in plain]
+            ids = np.asarray(self.letters.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype="<u4")
+            self.add(fresh, ids, np.flatnonzero(self.closes[ids]) + 1)
+        if odd:
+            fresh = [words[i] for i in odd]
+            codes = [c.ids for c in self.whole.encode_batch_fast(fresh, add_special_tokens=False)]
+            self.add(fresh, np.fromiter(chain.from_iterable(codes), "<u4"), np.cumsum([len(c) for c in codes]))
+        return self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Token ids of each text as little-endian 32-bit integers.
 
-    The tokenizer ignores case, drops white space and joins nothing across it, so each word between blanks is encoded
-    once and its ids remembered.
+    The tokenizer ignores case, drops white space and joins nothing across it, and it parts letters from symbols other than the
+    apostrophe as well. So each run between blanks is cut there, each distinct word of all texts is encoded once and its ids are
+    remembered. Texts that may hold special tokens are cut at blanks alone.
     """
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-    kept = _known.setdefault(path, {})
-    words = [lowered(t).replace("\n", " ").split(" ") for t in texts]
-    if len(kept) >= REMEMBERED:
-        kept.clear()
-    fresh = {w for w in set().union(*words) if w not in kept}
-    tails = {w: TAIL.fullmatch(w) for w in fresh}
-    parts = {p for w, m in tails.items() for p in (m.groups() if m else (w,)) if p not in kept}
-    part = list(parts)
-    new: dict[str, bytes] = {}
-    for word, code in zip(part, _tokenizers[path].encode_batch_fast(part, add_special_tokens=False), strict=True):
-        new[word] = np.asarray(code.ids, dtype="<u4").tobytes()
-    for word, m in tails.items():
-        if m:
-            new[word] = b"".join([new[p] if p in new else kept[p] for p in m.groups()])
-    kept.update(new)
-    return [b"".join([kept[w] for w in ws]) for ws in words]
+    if path not in _known:
+        _known[path] = Words(path)
+    raw = [lowered(t).encode() for t in texts]
+    edges = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    kinds = KINDS[data]
+    kinds[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7)] = LETTER  # the second byte of a letter from 0xDF to 0xFF
+    for i, text in enumerate(texts):
+        if "<|" in text:
+            own = kinds[edges[i] : edges[i + 1]]
+            own[own > 0] = OTHER
+    before = np.zeros(len(data) + 1, dtype=np.uint8)
+    before[1:] = kinds
+    before[edges] = 0
+    before = before[:-1]
+    begins = np.flatnonzero((kinds > 0) & ((before == 0) | (before ^ kinds == LETTER ^ SYMBOL)))
+    solid = kinds > 0
+    offsets = np.append(np.cumsum(solid)[begins] - 1, np.count_nonzero(solid))
+    words = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+    known = _known[path]
+    starts, counts = (x[words.indices.to_numpy()] for x in known.find(words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    ends = np.cumsum(np.append(0, counts))
+    ids = known.ids[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
+    of_texts = ends[np.searchsorted(begins, edges)].tolist()
+    return [ids[a:b].tobytes() for a, b in pairwise(of_texts)]
 
 
 def piece_lengths(n: int, most: int) -> list[int]:

@@ -121,6 +121,37 @@ def test_pack_lowers_like_the_tokenizer(docs_of):
         assert b"".join(r.ids for r in got if r.doc_id == doc) == np.array(ids, "<u4").tobytes()
 
 
+def test_words_of_letters_are_encoded_in_one_call(monkeypatch):
+    """The tokenizer as a whole gets symbols and odd words alone, each once."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = packing.Words(path)
+    monkeypatch.setitem(packing._known, path, known)
+    plain, asked = Tokenizer.from_file(path), []
+
+    class Whole:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return plain.encode_batch_fast(words, **more)
+
+    known.whole = Whole()
+    texts = ["Seven words, (been) seen; été, straße.", "seen: WORDS, been. don't,", "Words seven été straße"]
+    got = packing.encode(texts, path)
+    assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sorted(asked) == sorted([",", "(", ")", ";", ".", ":", "don't"])
+
+
+def test_cut_words_have_the_ids_of_whole_texts(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(4)
+    bits = "a B é É ß ÿ ÷ × µ e\u0301 \u0301 \u0338 Σ ς İ ' 's 't ’ , . ( ) < | > = _ - * 1 23 ² 한 я 😀 <|endoftext|> <| the ing".split() + [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u3000"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most in (packing.REMEMBERED, 100):
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        monkeypatch.setitem(packing._known, path, packing.Words(path))
+        assert [ids for i in range(0, len(texts), 50) for ids in packing.encode(texts[i : i + 50], path)] == want
+
+
 def test_media_round_trip(docs_of):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh \n") for _ in range(600_000))  # longer than a slice
