@@ -25,6 +25,7 @@ TO_LOWER[65:91] += 32
 #: An odd multiplier, and its inverse modulo 2**64, of the rolling word hash.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text bytes that a Python worker takes at a time; each byte costs some dozens in passing arrays.
 SLICE_BYTES = 512 << 10
@@ -55,11 +56,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a compressed Parquet table in the shared folder; for stages that carry texts or long arrays."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """The same rows from a compressed Parquet table in the shared folder; for stages that carry texts or long arrays.
+
+    With `clean` the files of this write's exchanges go as soon as it ends. Else they stay on the executors' disks until the driver
+    happens to collect its garbage, beside the table that holds the same rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true" if clean else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ LEAST, MASK_BITS, MOST = 1024, 11, 16384
 #: Compression of texts on their way and of stored frames.
 LEVEL = 9
 
+#: Parts in which the texts move, so that an exchange holds that share of them beside the media written so far.
+RUNS = 2
+
 #: One random 64-bit number for each byte value.
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -96,13 +100,14 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     A media row holds the ordered chunk list (digests) and a zstd frame for each chunk that occurs once in the corpus;
     a chunk that occurs again anywhere has a null frame there and one row (digest, frame) in the shared table. Digests
     alone are counted, and one row that has it hands on each repeated one; they meet the rows in a join, and each text,
-    as one compressed frame, meets the list of those it holds in another. Nothing is sent to the driver.
+    as one compressed frame, meets the list of those it holds in another. Nothing is sent to the driver, and what an
+    exchange carried stays on disk no longer than its write. Texts move in RUNS parts by their row hash, one after another.
     """
     every = written(digests(docs), "digests")
-    common = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("digest", "first"), "shared-digests")
+    common = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("digest", "first"), "shared-digests", clean=True)
     # Rows of equal hash share a list, which then only holds more of the repeated digests than each needs.
     again = every.join(common.hint("merge"), "digest").groupBy("row").agg(F.collect_set("digest").alias("again"), F.collect_set(F.when(F.col("first") == F.col("row"), F.col("digest"))).alias("hands"))
-    texts = squeezed(docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text"), LEVEL)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
@@ -121,11 +126,16 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ["doc_id", "n_bytes", "digests", "frames", "handed"],
             )
 
-    media = written(texts.join(again.hint("merge"), "row", "left").select("doc_id", "packed", "again", "hands").mapInArrow(run, STORED), "media")
+    runs = []
+    for k in range(RUNS):
+        some = F.pmod("row", F.lit(RUNS)) == k
+        moved = squeezed(texts.where(some), LEVEL).join(again.where(some).hint("merge"), "row", "left")
+        runs.append(written(moved.select("doc_id", "packed", "again", "hands").mapInArrow(run, STORED), "media", clean=True))
+    media = reduce(DataFrame.unionByName, runs)
     discard(every)
     discard(common)
     # Repeated rows hand on equal chunks; any of them will do.
-    return media.drop("handed"), written(media.select(F.explode("handed").alias("c")).select("c.*").dropDuplicates(["digest"]), "shared-chunks")
+    return media.drop("handed"), written(media.select(F.explode("handed").alias("c")).select("c.*").dropDuplicates(["digest"]), "shared-chunks", clean=True)
 
 
 def rebuild(media: DataFrame, unique: DataFrame) -> DataFrame:

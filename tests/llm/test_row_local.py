@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from evalframe.llm import line_dedup, media, neighbours, packing, queries, sharding
+from evalframe.llm import common, line_dedup, media, neighbours, packing, queries, sharding
 
 ODD = [(0, None), (1, ""), (2, "a"), (2, "a"), (None, "x y\nz"), (3, "é ß " * 4000), (4, "a\nb\nc"), (5, "a\nb\nc"), (6, "\n\n\n\n"), (2, "a\nb\nc\nd")]
 
@@ -181,6 +181,37 @@ def test_media_column_sends_no_digests_to_the_driver(docs_of, monkeypatch):
     assert not any(sent)
 
 
+def test_media_exchanges_leave_nothing_on_disk(docs_of, spark, monkeypatch):
+    """Texts move in parts, and the files of an exchange are gone once what it carried is written."""
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    rng = random.Random(8)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(6000)) for _ in range(40)]
+    docs = docs_of([*enumerate(long), *enumerate(long[:20], 100), (7, None), (7, None)])
+    parts, written = [], media.written
+
+    def watched(df, name, **more):
+        out = written(df, name, **more)
+        if name == "media":
+            parts.append(len(out.collect()))
+        return out
+
+    monkeypatch.setattr(media, "written", watched)
+    before, stay = held(), spark.conf.get(common.CLEANUP)
+    stored, unique = media.store(docs)
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
+    assert spark.conf.get(common.CLEANUP) == stay
+    assert len(parts) == media.RUNS and sum(parts) == 62 and max(parts) < 50
+    assert media.describe(media.rebuild(stored, unique)).count() == 62
+
+
 def test_media_columns_tell_of_the_stored_bytes(docs_of, spark, tmp_path):
     long = "".join(random.Random(7).choice("abcdefgh") for _ in range(20_000))
     docs = docs_of([(1, long), (2, long), (3, "a" * 5000), (4, None)])
