@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,25 +51,33 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(BATCHES, "4m" if spark.conf.get(BATCHES) == "67108864b" else spark.conf.get(BATCHES))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint, so that no lost executor can change what later steps read."""
+@contextmanager
+def cleaned(spark: SparkSession, clean: bool) -> Iterator[None]:
+    """With `clean` the files of an execution's exchanges go as soon as it ends. Else they stay on the executors' disks until the driver
+    happens to collect its garbage, beside the stage that holds the same rows."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true" if clean else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def durable(df: DataFrame, clean: bool = False) -> DataFrame:
+    """The same rows from a reliable checkpoint, so that no lost executor can change what later steps read. For `clean`, see `cleaned`."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with cleaned(df.sparkSession, clean):
+        # A frame keeps the setting under which it was made.
+        return (df.select("*") if clean else df).checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
-    """The same rows from a compressed Parquet table in the shared folder; for stages that carry texts or long arrays.
-
-    With `clean` the files of this write's exchanges go as soon as it ends. Else they stay on the executors' disks until the driver
-    happens to collect its garbage, beside the table that holds the same rows."""
+    """The same rows from a compressed Parquet table in the shared folder; for stages that carry texts or long arrays. For `clean`, see
+    `cleaned`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true" if clean else before)
-    try:
+    with cleaned(spark, clean):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -270,6 +279,15 @@ def contracted(edges: DataFrame, most: int) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def gathered(edges: DataFrame, most: int, clean: bool = False) -> tuple[DataFrame, bool]:
+    """(a, b) of every node in `edges`, hung on the smallest node that its part sees, and whether one part saw all edges, so that these
+    are final. Each partition contracts its own edges first, then partitions are joined up to `most` rows and do so again."""
+    now = durable(contracted(edges, most), clean)
+    with cleaned(now.sparkSession, clean):
+        parts = now.coalesce(now.sparkSession.sparkContext.defaultParallelism).count() // most + 1
+    return durable(contracted(now.coalesce(parts), most), clean), parts == 1
+
+
 def connected(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """(node, component) of every node in `edges` (columns a, b; repeats and loops are allowed): the smallest node reachable.
 
@@ -278,10 +296,8 @@ def connected(edges: DataFrame, most: int = EDGES) -> DataFrame:
     labels spread over the edges that are left and then along labels (node -> label -> label of label), so chains halve in
     each round; each round is a durable table. Work per round is in proportion to the edges.
     """
-    now = durable(contracted(edges, most))
-    parts = now.coalesce(now.sparkSession.sparkContext.defaultParallelism).count() // most + 1
-    now = durable(contracted(now.coalesce(parts), most))
-    if parts == 1:
+    now, whole = gathered(edges, most)
+    if whole:
         return now.toDF("node", "component")
     both = durable(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))

@@ -1,4 +1,4 @@
-"""MinHash near-duplicates: universal hash minima in bands, checked by signature and on whole sets, joined by large-star and small-star."""
+"""MinHash near-duplicates: universal hash minima in bands, checked by signature and on whole sets, joined within partitions, then by large-star and small-star."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import discard, durable, mix, restored, slices, squeezed, written
+from evalframe.llm.common import EDGES, cleaned, discard, durable, gathered, mix, restored, slices, squeezed, written
 from evalframe.llm.ngram_join import differences, shingle_sets, sketch, with_rows
 
 #: Bands and minima in each: two sets of similarity 0.8 miss each other in all bands in 5 of 10**9 cases.
@@ -163,7 +163,7 @@ def candidate_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     wanted = needed.select("cid", F.col("rep.doc_id").alias("__id"), F.col("rep.version").alias("__version"))
     met = squeezed(versioned(docs)).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version")))
     # A row repeated whole gives its text once.
-    return written(met.select("cid", "packed").dropDuplicates(["cid"]), "texts")
+    return written(met.select("cid", "packed").dropDuplicates(["cid"]), "texts", clean=True)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,9 +176,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], ["cid", "set"])
 
     asked = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    made = written(texts.join(asked, "cid", "left_semi").mapInArrow(sets, "cid long, set array<long>"), "sets")
+    made = written(texts.join(asked, "cid", "left_semi").mapInArrow(sets, "cid long, set array<long>"), "sets", clean=True)
     wide = with_rows(pairs, made).withColumn("common", F.expr("size(array_intersect(a_set, b_set))"))
-    links = durable(wide.where(f"100 * common >= {percent} * (size(a_set) + size(b_set) - common)").select("a", "b"))
+    links = durable(wide.where(f"100 * common >= {percent} * (size(a_set) + size(b_set) - common)").select("a", "b"), clean=True)
     discard(made)
     return links
 
@@ -197,13 +197,20 @@ def small_star(edges: DataFrame) -> DataFrame:
     return down.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def starred(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of `edges` (columns a, b): the smallest node reachable. Large-star and small-star take turns,
-    each round durable, until the edges are stars that no round changes; edges stay as few as they were."""
-    now, before = durable(edges.select("a", "b").where("a <> b").distinct()), None
+def starred(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """(node, component) of every node of `edges` (columns a, b): the smallest node reachable.
+
+    Partitions hang their nodes on the smallest ones that they see themselves; if all that is left fits one of `most` rows, that
+    is final. If not, large-star and small-star take turns, each round durable, until the edges are stars that no round
+    changes; edges stay as few as they were."""
+    now, whole = gathered(edges.where("a <> b"), most, clean=True)
+    if whole:
+        return now.toDF("node", "component")
+    now, before = durable(now.where("a <> b").distinct(), clean=True), None
     while True:
-        now = durable(small_star(large_star(now)))
-        state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+        now = durable(small_star(large_star(now)), clean=True)
+        with cleaned(now.sparkSession, True):
+            state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if state == before:
             break
         before = state
@@ -220,18 +227,20 @@ def near_classes(docs: DataFrame, k: int = 4, percent: int = 80, stars: int = 2)
        a family meets the same one in all bands. Pairs that pass signatures and whole sets link, and links join
        components. A large family of near copies costs a multiple of its size.
     4. All pairs of different components in the buckets that still hold several meet in blocks.
+
+    Each stage is durable, and what its exchanges carried goes from the executors' disks with it.
     """
-    rows = written(features(docs, k), "features")
+    rows = written(features(docs, k), "features", clean=True)
     rep = F.min(F.struct("doc_id", "version"))
     groups = rows.where("n > 0").groupBy("s1", "s2", "n").agg(rep.alias("rep"), F.min("doc_id").alias("smallest"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-    classes = written(groups.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    signed = written(rows.select("doc_id", "n", "s1", "s2"), "signed")
+    classes = written(groups.withColumn("cid", F.monotonically_increasing_id()), "classes", clean=True)
+    signed = written(rows.select("doc_id", "n", "s1", "s2"), "signed", clean=True)
     discard(rows)
     every = banded(classes)
-    buckets = written(every.join(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"), "buckets")
+    buckets = written(every.join(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket"), "buckets", clean=True)
     texts = candidate_texts(docs, buckets.select("cid").distinct().join(classes, "cid"))
-    part_of = durable(classes.select("cid", F.col("cid").alias("component")))
-    met = durable(buckets.groupBy("cid").agg(F.sum("size").alias("met")))
+    part_of = durable(classes.select("cid", F.col("cid").alias("component")), clean=True)
+    met = durable(buckets.groupBy("cid").agg(F.sum("size").alias("met")), clean=True)
     for round_ in range(stars + 1):
         now = buckets.join(part_of, "cid").join(met, "cid")
         order = -F.col("met") if round_ == 0 else F.xxhash64(F.lit(round_), "cid")
@@ -243,14 +252,14 @@ def near_classes(docs: DataFrame, k: int = 4, percent: int = 80, stars: int = 2)
         open_ = now.join(spans, "bucket")
         if round_ < stars:
             asked = open_.where("component <> lead.component").selectExpr("least(cid, lead.cid) as a", "greatest(cid, lead.cid) as b").distinct()
-            near = durable(alike(asked, classes, percent))
+            near = durable(alike(asked, classes, percent), clean=True)
         else:
-            near = durable(block_pairs(open_, classes, percent))
-        if near.limit(1).count():
+            near = durable(block_pairs(open_, classes, percent), clean=True)
+        if not near.isEmpty():
             links = verified(near, texts, k, percent)
             crossing = links.join(part_of.toDF("a", "x"), "a").join(part_of.toDF("b", "y"), "b").selectExpr("x as a", "y as b")
             parted = starred(crossing).select(F.col("node").alias("component"), F.col("component").alias("c"))
-            part_of = durable(part_of.join(parted, "component", "left").select("cid", F.coalesce("c", "component").alias("component")))
+            part_of = durable(part_of.join(parted, "component", "left").select("cid", F.coalesce("c", "component").alias("component")), clean=True)
     discard(buckets)
     discard(texts)
     named = classes.select("cid", "s1", "s2", "n", "smallest").join(part_of, "cid")

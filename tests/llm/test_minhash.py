@@ -1,12 +1,13 @@
 """MinHash near-duplicates against brute force; stars against a sequential union."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalframe.llm import minhash
+from evalframe.llm import common, minhash
 from tests.llm.test_pairs import brute_components, edited, text
 
 
@@ -70,3 +71,45 @@ def test_stars(spark):
     got = {r.node: r.component for r in minhash.starred(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
     assert minhash.starred(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [40, 5000])
+def test_stars_after_contraction(spark, monkeypatch, most):
+    """Edges that fit one task need no round; of more than that, stars join what the runs have left."""
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(200)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)] + [(5000, 5000), (7, 7), (200, 199)]
+    rounds, small_star = [], minhash.small_star
+    monkeypatch.setattr(minhash, "small_star", lambda e: rounds.append(1) or small_star(e))
+    got = minhash.starred(spark.createDataFrame(edges, "a long, b long").repartition(4), **({"most": most} if most == 40 else {})).collect()
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    own = {x: x for x in nodes}
+    for _ in range(len(edges)):
+        now = dict(own)
+        for a, b in edges:
+            if a != b:
+                own[a] = own[b] = min(own[a], own[b])
+        if now == own:
+            break
+    assert len(got) == len(nodes) and {r.node: r.component for r in got} == own
+    assert bool(rounds) == (most == 40)
+
+
+def test_exchanges_leave_nothing_on_disk(docs_of, spark):
+    """The files of an exchange are gone once the stage that it fed is durable."""
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    rng = random.Random(9)
+    base = text(rng, 120)
+    docs = docs_of([" ".join(edited(rng, base, rng.randrange(0, 4))) for _ in range(60)] + [" ".join(text(rng, 50)) for _ in range(20)])
+    before, stay = held(), spark.conf.get(common.CLEANUP)
+    signed, named = minhash.near_classes(docs)
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
+    assert spark.conf.get(common.CLEANUP) == stay
+    assert signed.join(named, ["s1", "s2", "n"]).groupBy("component_id").count().count() < 80
